@@ -85,3 +85,8 @@ def count_words(line: Column) -> Column:
     """The number of words in a `word_line`."""
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     return F.when(line == "", F.lit(0)).otherwise(spaces + 1).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)`, with the value computed once for a row however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

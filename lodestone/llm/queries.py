@@ -6,17 +6,56 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, secrets
+from . import classifier, decontaminate, licenses, packing, quality_rules, secrets, url_filter, warc
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(docs, "found").withColumn("base", F.filter("found", lambda s: s["base"]))
+    starts = F.transform("base", lambda s: s["start"])
+    told = F.filter("found", lambda s: s["base"] | s["kept"])
+    return found.select(
+        "doc_id", F.col("found_words").alias("n_words"), F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        licenses.label_list(F.col("base")).alias("base_labels"), licenses.label_list(told).alias("labels"),
+        licenses.score(F.col("found")).alias("score"),
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return packing.pack(docs, "doc_id", public_tokenizers.path(TOKENIZER))
 
 
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Pages as a crawl log: each a full response, then a revisit that agrees, then one that may not.
+
+    The canonical URL is `pages` own; time is the page id times 8, plus 1 and 2 for the revisits.
+    The third record's entity tag has changed for every fifth page.
+    """
+    tag = F.md5("html")
+    base = pages.select("page_id", url_filter.canonical_url(F.col("url")).alias("url"), tag.alias("tag"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    k, changed = F.col("k"), (F.col("k") == 2) & (F.col("page_id") % 5 == 0)
+    none = F.lit(None).cast("string")
+    return base.select(
+        (F.col("page_id") * 8 + k).alias("record_id"), "url", (F.col("page_id") * 8 + k).alias("at"),
+        F.when(k == 0, "response").otherwise("revisit").alias("kind"),
+        F.when(F.col("page_id") % 3 != 2, F.when(changed, F.concat(F.lit("x"), "tag")).otherwise(F.col("tag"))).alias("etag"),
+        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("m"), F.col("page_id").cast("string"))).alias("last_modified"),
+        F.when(k == 0, F.col("tag")).otherwise(none).alias("digest"),
+        F.create_map(F.lit("Date"), F.concat(F.lit("d"), k.cast("string")), F.lit("Content-Type"), F.when(k == 0, "text/html").otherwise("none")).alias("headers"),
+    )
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(crawl_records(read(spark, sf_dir, "pages")))
+    headers = F.col("merged_headers")
+    return found.select("record_id", "url", "status", "response_id", F.get(F.map_values(F.map_filter(headers, lambda k, v: k == "date")), F.lit(0)).alias("date_header"), F.get(F.map_values(F.map_filter(headers, lambda k, v: k == "content-type")), F.lit(0)).alias("type_header"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"), "found")
     spans = F.col("found")
@@ -35,6 +74,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.quality_measures(docs)
+    return judged.select(F.col("_doc.doc_id").alias("doc_id"), *(c for c in judged.columns if c != "_doc"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = classifier.fit(docs, read(spark, sf_dir, "labels"))
@@ -45,9 +90,30 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, listed = url_filter.default_list(spark)
+    judged = url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules, listed)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
+    ids = F.col("item_ids")
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_secret_scan": op4_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_url_filter": op8_url_filter,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
