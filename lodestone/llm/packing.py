@@ -18,6 +18,9 @@ whole. An empty table gives no sequences.
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -37,30 +40,58 @@ PARTITION_BITS = 40
 
 
 class Tokens:
-    """Token ids by a vocabulary file of `tokenizers`, remembered for short strings between spaces.
+    """Token ids by a vocabulary file of `tokenizers`, remembered for strings between spaces.
 
-    The file's rules drop white space and never join tokens across it, so a text's ids
-    are those of its strings between spaces and line ends, one after another.
+    The file's rules drop white space and never join tokens across it, nor across the
+    place where letters end and other signs begin. So a text's ids are those of its
+    strings between spaces and line ends, one after another, and a string of letters
+    with signs behind it has those of the letters, then those of the signs.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    SIGNS = ".,;:!?*$%&#|\")"
+
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.known = most, {}
 
+    @classmethod
+    def of_process(cls, path: str) -> Tokens:
+        """One for all tasks of a Python worker."""
+        kept = sys.modules.setdefault("_lodestone_tokens", types.ModuleType("_lodestone_tokens"))
+        if path not in kept.__dict__:
+            kept.__dict__[path] = cls(path)
+        return kept.__dict__[path]
+
+    def learn(self, strings: set[str]) -> None:
+        known, split, plain = self.known, [], set()
+        for s in strings:
+            core = s.rstrip(self.SIGNS)
+            if core != s and core.isalpha():
+                split.append((s, core))
+                plain |= {core, s[len(core) :]}
+            else:
+                plain.add(s)
+        listed = [s for s in plain if s not in known]
+        for s, e in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False), strict=True):
+            known[s] = np.array(e.ids, "<u4").tobytes()
+        for s, core in split:
+            known[s] = known[core] + known[s[len(core) :]]
+
     def ids(self, text: str) -> np.ndarray:
         known = self.known
+        if text.isascii():
+            text = text.lower()
         strings = text.replace("\n", " ").split(" ")
         new = {s for s in strings if s not in known}
         if new:
             if len(known) + len(new) > self.most:
                 known.clear()
                 new = set(strings)
-            listed = sorted(new)
-            for s, e in zip(listed, self.tokenizer.encode_batch(listed, add_special_tokens=False), strict=True):
-                known[s] = np.array(e.ids, "<u4").tobytes()
+            self.learn(new)
         return np.frombuffer(b"".join([known[s] for s in strings]), "<u4")
 
 
@@ -171,7 +202,7 @@ def pack(docs: DataFrame, key: str, tokenizer_path: str, window: int = 2048, end
     ddl = f"`{key}` {kind}, {PIECES_DDL}" + ", ids array<bigint>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer_path)
+        tokens = Tokens.of_process(tokenizer_path)
         first = TaskContext.get().partitionId() << PARTITION_BITS
         keys, ids, waiting = [], [], 0
 
