@@ -90,3 +90,27 @@ def count_words(line: Column) -> Column:
 def let(value: Column, body) -> Column:
     """`body(value)`, with the value computed once for a row however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Plans made of these give the same rows in the same partitions each time.
+_STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View", "Relation"}
+
+
+def _steady(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName().split(" ")[0] in _STEADY and all(_steady(children.apply(i)) for i in range(children.size()))
+
+
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a number for each row that is the same whenever the result is read.
+
+    Numbers follow the places of rows in partitions. A table that isn't read straight
+    from files is written first, and the split of files no longer follows the number
+    of cores that the cluster has at the moment.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    if not _steady(df._jdf.queryExecution().optimizedPlan()):
+        df = materialize(df, "rows")
+    return df.withColumn(name, F.monotonically_increasing_id())

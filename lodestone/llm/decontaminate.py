@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import count_words, fresh, let, word_line
+from .common import count_words, fresh, let, number_rows, word_line
 
 SHINGLE = 4
 
@@ -61,7 +61,7 @@ def rarest_shingles(windows: DataFrame, size: int) -> DataFrame:
     return each.join(often, "shingle").groupBy("window", "n").agg(F.min_by(F.struct("shingle", "at"), order).alias("x")).select("x.shingle", "x.at", "window", "n")
 
 
-def _candidates(docs: DataFrame, needed: DataFrame, size: int, width: int, blocks: int) -> DataFrame:
+def _candidates(docs: DataFrame, row: str, needed: DataFrame, size: int, width: int, blocks: int) -> DataFrame:
     """Places of documents where a window's words stand: (_row, start, n, window)."""
     bits = bloom.build(needed, "shingle", blocks)
 
@@ -78,9 +78,9 @@ def _candidates(docs: DataFrame, needed: DataFrame, size: int, width: int, block
 
         return let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: let(_shingles(hashes, size), passing))
 
-    # the row number keeps filters on the places from being evaluated below, on the texts again
-    found = docs.select(F.monotonically_increasing_id().alias("_row"), let(_words(word_line(F.col("text"))), likely).alias("_likely"))
-    places = found.select("_row", F.explode("_likely").alias("x")).select("_row", "x.*")
+    # a row number made here keeps filters on the places from being evaluated below, on the texts again
+    found = docs.select(F.col(row).alias("_row"), let(_words(word_line(F.col("text"))), likely).alias("_likely"), F.monotonically_increasing_id().alias("_here"))
+    places = found.where("_here >= 0").select("_row", F.explode("_likely").alias("x")).select("_row", "x.*")
     exact = places.withColumnRenamed("at", "place").join(needed, "shingle")
     start = F.col("place") - F.col("at")
     inside = start - F.col("first")
@@ -110,13 +110,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, s
     windows = item_windows(benchmark, width)
     distinct = windows.select("window", "n").distinct()
     sizes = [r["s"] for r in distinct.select(F.least("n", F.lit(SHINGLE)).alias("s")).distinct().orderBy("s").collect()]
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = number_rows(docs, row)
     names = {n: fresh(docs, n) for n in ("n_words", "n_hit", "item_ids", "contaminated")}
     base = numbered.withColumn(names["n_words"], count_words(word_line(F.col("text"))))
     hits = None
     for size in sizes:
         own = distinct.where(F.least("n", F.lit(SHINGLE)) == size)
-        found = _candidates(docs, rarest_shingles(own, size), size, width, blocks)
+        found = _candidates(numbered, row, rarest_shingles(own, size), size, width, blocks)
         hits = found if hits is None else hits.unionByName(found)
     no_ids = F.array().cast("array<string>")
     if hits is None:

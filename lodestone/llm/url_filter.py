@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower, fresh
+from .common import ascii_lower, fresh, number_rows
 
 #: The rules that every judgement uses.
 RULES = (
@@ -78,7 +78,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str =
     words = bloom.build(entries, "_key", blocks)
     row, host, path = fresh(pages, "_row"), fresh(pages, "host"), fresh(pages, "path")
     rule, verdict = fresh(pages, "rule"), fresh(pages, "verdict")
-    numbered = pages.withColumn(row, F.monotonically_increasing_id()).withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
+    numbered = number_rows(pages, row).withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
     labels = F.split(F.col(host), r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length(path))
