@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, licenses, packing, quality_rules, secrets, url_filter, warc
+from . import classifier, decontaminate, licenses, near_dups, packing, quality_rules, secrets, url_filter, warc
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,6 +96,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classed, name = near_dups.near_duplicate_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classed.select("doc_id", F.col(name).alias("class_id"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
@@ -114,6 +119,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_url_filter": op8_url_filter,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
