@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, licenses, near_dups, packing, quality_rules, secrets, url_filter, warc
+from . import classifier, decontaminate, licenses, near_dups, packing, quality_rules, repeats, secrets, url_filter, warc
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.quality_measures(docs)
@@ -116,6 +121,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_secret_scan": op4_secret_scan,
+    "op5_repeated_strings": op5_repeated_strings,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_url_filter": op8_url_filter,
