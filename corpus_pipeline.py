@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import classifier, packing, secrets
+from lodestone.llm import classifier, decontaminate, near_dups, packing, secrets
 from lodestone.llm.common import materialize, read
 from lodestone.llm.queries import TOKENIZER
 
@@ -16,6 +16,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classifier.keep_good(docs, model)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates stays."""
+    return near_dups.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark items make up a twentieth of the words or more go."""
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are replaced by a mark."""
     return secrets.redact_secrets(docs)
@@ -28,6 +38,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("secrets", secret_scan),
     ("packing", pack),
 ]
