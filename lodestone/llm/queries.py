@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, licenses, near_dups, packing, quality_rules, repeats, secrets, url_filter, warc
+from . import classifier, decontaminate, licenses, near_dups, oracles, packing, quality_rules, repeats, secrets, url_filter, warc
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -128,4 +128,4 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = dict(oracles.ORACLES)
