@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, let
 
 #: Character classes and their usual shares in running text of any of the languages.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "other")
@@ -58,19 +58,20 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, F.lit(pattern), F.lit("")))
 
 
-def class_counts(text: Column) -> Column:
-    """Code points of each of CLASSES; what is in none of the others is other."""
+def class_counts(text: Column, spaces: Column) -> Column:
+    """Code points of each of CLASSES, given those of white space; what is in none of the others is other."""
     total = F.length(text)
-    known = [total - _without(text, pattern) for pattern in (r"\p{Ll}+", r"\p{Lu}+", "[0-9]+", r"[ \n\t\r]+", r"[.,;:!?'\"()-]+")]
-    rest = total
-    for k in known:
-        rest = rest - k
-    return F.array(*known, rest)
+    known = {name: total - _without(text, pattern) for name, pattern in (("lower", r"\p{Ll}+"), ("upper", r"\p{Lu}+"), ("digit", "[0-9]+"), ("stop", r"[.,;:!?'\"()-]+"))}
+    five = F.array(*(spaces if name == "space" else known[name] for name in CLASSES[:-1]))
+    return let(five, lambda c: F.concat(c, F.array(total - F.aggregate(c, F.lit(0), lambda acc, x: acc + x))))
 
 
 def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return F.transform(counts, lambda c: F.when(total > 0, c / total).otherwise(F.lit(0.0)))
+    def of(c: Column) -> Column:
+        total = F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        return let(total, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+
+    return let(counts, of)
 
 
 def _languages() -> Column:
@@ -84,6 +85,13 @@ def _languages() -> Column:
     return F.array(*rows)
 
 
+def _common_words(line: Column) -> Column:
+    """The words of any language's list that a line has, in their order, a space before and one behind each."""
+    known = sorted({w for words in COMMON.values() for w, _ in words})
+    words = F.split(F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ")
+    return F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: w.isin(*known)), "  "), F.lit(" "))
+
+
 def _occurrences(spaced: Column, word: Column) -> Column:
     """Of a word in a line whose words have a space before and one behind each."""
     held = F.concat(F.lit(" "), word, F.lit(" "))
@@ -135,19 +143,19 @@ def quality_measures(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "word_chars": (F.length("_squeezed") - F.greatest(F.size("_words") - 1, F.lit(0))).cast("bigint"),
         "n_symbols": (F.length("_text") - _without(F.col("_text"), r"[#*$%&|<>]+")).cast("bigint"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-        "_classes": _shares(class_counts(F.col("_text"))),
-        "_spaced": F.concat(F.lit(" "), F.regexp_replace(F.lower("_squeezed"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "), F.lit(" ")),
+        "_common": _common_words(F.col("_squeezed")),
     })
+    out = out.withColumn("_classes", _shares(class_counts(F.col("_text"), (F.length("_text") - F.col("word_chars")).cast("int"))))
     for name, column in repeated_words(F.col("_words"), 8):
         out = out.withColumn(name, column)
 
     def hits(language: Column) -> Column:
         first = F.slice(language["words"], 1, 3)
-        return F.aggregate(first, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_spaced"), w))
+        return F.aggregate(first, F.lit(0).cast("bigint"), lambda acc, w: acc + _occurrences(F.col("_common"), w))
 
     ranked = F.array_sort(F.transform(_languages(), lambda x, i: F.struct((-hits(x)).alias("less"), i.alias("i"), x.alias("x"))))
     out = out.withColumn("_language", F.when(F.col("n_words") >= limits.least_words, F.get(ranked, F.lit(0))["x"]))
-    found = F.transform(F.col("_language")["words"], lambda w: _occurrences(F.col("_spaced"), w))
+    found = F.transform(F.col("_language")["words"], lambda w: _occurrences(F.col("_common"), w))
     out = out.withColumn("_found", found)
     others = F.greatest(F.col("n_words") - F.aggregate("_found", F.lit(0).cast("bigint"), lambda acc, x: acc + x), F.lit(0).cast("bigint"))
     out = out.withColumn("_shares", _shares(F.concat("_found", F.array(others))))
