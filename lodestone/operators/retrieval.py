@@ -267,11 +267,11 @@ def apply_filters(df: DataFrame, doc_id=None, trust_id=None, year=None, is_table
     fits = F.lit(True)
     for name, value in (("doc_id", doc_id), ("year", year), ("is_table", is_table)):
         if value is not None:
-            fits = fits & F.coalesce(F.col(name) == value, F.lit(False))
+            fits = fits & (F.col(name) == value)
     if trust_id is not None:
-        fits = fits & F.coalesce(F.lower("trust_id") == trust_id.lower(), F.lit(False))
+        fits = fits & (F.lower("trust_id") == trust_id.lower())
     for name, value in (("section_title", section), ("subsection_title", subsection)):
         if value is not None:
-            fits = fits & F.coalesce(F.contains(F.lower(name), F.lit(value.lower())), F.lit(False))
+            fits = fits & F.contains(F.lower(name), F.lit(value.lower()))
     some = df.where(fits)
     return some if some.limit(1).count() else df

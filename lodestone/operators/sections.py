@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,10 +191,6 @@ def title_matches(wanted: DataFrame, titles: DataFrame, overlap: float = 0.6, se
 
     Letters are compared by the share of matching blocks, in Python, only where words don't decide.
     """
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
