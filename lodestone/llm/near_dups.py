@@ -39,6 +39,10 @@ from .components import components
 ship_by_value(__name__)
 
 
+#: Words handled at once, unless a single text has more.
+BLOCK = 400_000
+
+
 class Settings(NamedTuple):
     width: int = 5
     sketches: int = 20
@@ -170,6 +174,24 @@ def alignment_similarity(a: list, b: list, s: Settings) -> float:
     return found / (total - found) if found >= 0 else 0.0
 
 
+def shared_at_most(a: np.ndarray, b: np.ndarray, width: int) -> int:
+    """How many shingles two texts have in common in any order: no alignment can match more."""
+
+    def grams(words: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(words) - width + 1, np.uint64)
+        for j in range(width):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - width + 1 + j].astype(np.uint64)
+            out ^= out >> np.uint64(29)
+        return np.sort(out)
+
+    if len(a) < width or len(b) < width:
+        return int(np.array_equal(a, b))
+    x, y = grams(a), grams(b)
+    # the n-th of equal shingles in one text meets the n-th in the other
+    nth = np.arange(len(x)) - np.searchsorted(x, x, "left")
+    return int((np.searchsorted(y, x, "right") - np.searchsorted(y, x, "left") > nth).sum())
+
+
 def _word_hashes(text: Column, of, kind: str) -> Column:
     line = word_line(text)
     return F.when(line == "", F.array().cast(f"array<{kind}>")).otherwise(F.transform(F.split(line, " "), lambda w: of(w)))
@@ -184,27 +206,32 @@ def _binary(pairs: np.ndarray) -> pa.Array:
 def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
     """(row, digest of the words, number of shingles, sketches) of rows (row, words)."""
 
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64)
+        offsets = offsets - offsets[0]
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        shingles, counts = shingle_hashes(words, starts, sizes, s.width)
+        sketches = order_sketches(shingles, counts, s)
+        place = (np.arange(len(words)) - np.repeat(starts, sizes)).astype(np.uint64)
+        digest = np.zeros((len(sizes), 2), np.uint64)
+        for j in range(2):
+            step = _mix(words * np.uint64(2 * j + 3) + _mix(place + np.uint64(j << 40)))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(step)])
+            digest[:, j] = _mix(sums[offsets[1:]] - sums[offsets[:-1]] + sizes.astype(np.uint64))
+        ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * s.sketches)
+        listed = pa.ListArray.from_arrays(ends, pa.array(sketches.view(np.int64).ravel()))
+        return pa.RecordBatch.from_arrays([batch.column(0), _binary(digest), pa.array(counts.astype(np.int64)), listed], ["row", "digest", "n", "sketches"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            words = lists.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            starts, sizes = offsets[:-1], np.diff(offsets)
-            shingles, counts = shingle_hashes(words, starts, sizes, s.width)
-            sketches = order_sketches(shingles, counts, s)
-            held, place = words[offsets[0] : offsets[-1]], np.arange(offsets[-1] - offsets[0]) - np.repeat(starts - offsets[0], sizes)
-            digest = np.zeros((len(sizes), 2), np.uint64)
-            for j in range(2):
-                step = _mix(held * np.uint64(2 * j + 3) + _mix(place.astype(np.uint64) + np.uint64(j << 40)))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(step)])
-                at = offsets - offsets[0]
-                digest[:, j] = _mix(sums[at[1:]] - sums[at[:-1]] + sizes.astype(np.uint64))
-            flat = pa.array(sketches.view(np.int64).ravel())
-            ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * s.sketches)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _binary(digest), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(ends, flat)],
-                ["row", "digest", "n", "sketches"],
-            )
+            ends, at = batch.column(1).offsets.to_numpy()[1:].astype(np.int64), 0
+            while at < len(ends):
+                done = ends[at - 1] if at else ends[0] - len(batch.column(1)[0])
+                to = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+                yield of(batch.slice(at, to - at))
+                at = to
 
     return rows.mapInArrow(run, "row bigint, digest binary, n bigint, sketches array<bigint>")
 
@@ -213,9 +240,14 @@ def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) of rows whose texts align well enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def alike(x: np.ndarray, y: np.ndarray) -> bool:
+            total = max(1, len(x) - s.width + 1) + max(1, len(y) - s.width + 1)
+            most = shared_at_most(x, y, s.width)
+            return most >= s.similarity * (total - most) and alignment_similarity(x.tolist(), y.tolist(), s) >= s.similarity
+
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            good = [alignment_similarity(x.as_py(), y.as_py(), s) >= s.similarity for x, y in zip(left, right, strict=True)]
+            (xs, x_at), (ys, y_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
+            good = [alike(xs[x_at[i] : x_at[i + 1]], ys[y_at[i] : y_at[i + 1]]) for i in range(len(batch))]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("words").alias("words_a")), "a")
