@@ -270,7 +270,7 @@ def gold_presence(spark, sf_dir):
     return evaluation.gold_presence(q, c)
 
 
-@register("filters_with_fallback", """SELECT 'es' AS wanted, doc_id FROM documents WHERE lang = 'es' AND source = 'src3' UNION ALL SELECT 'none', doc_id FROM documents""")
+@register("filters_with_fallback", """SELECT 'es' AS wanted, doc_id FROM documents WHERE (lang = 'es' AND source = 'src3') OR NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'es' AND source = 'src3') UNION ALL SELECT 'none', doc_id FROM documents""")
 def filters_with_fallback(spark, sf_dir):
     """a filter that fits, and one that fits nothing and is dropped."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), F.col("lang").alias("section_title"))
