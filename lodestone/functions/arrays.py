@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def unique(values: Column) -> Column:
     """Distinct values, the first of each, in their order."""
@@ -54,15 +56,15 @@ def first_json_object(text: Column) -> Column:
 
 def parse_extraction(raw: Column) -> Column:
     """struct(answer, evidence_span, ok): the first JSON object, with exactly these keys, strings or null."""
-    body = first_json_object(raw)
-    keys = F.array_sort(F.json_object_keys(body))
-    parsed = F.from_json(body, "answer string, evidence_span string")
 
-    def plain(name: str) -> Column:
-        return F.rlike(body, F.lit(rf'"{name}"\s*:\s*("|null)'))
+    def of(body: Column) -> Column:
+        keys = F.array_sort(F.json_object_keys(body))
+        parsed = F.from_json(body, "answer string, evidence_span string")
+        plain = lambda name: F.rlike(body, F.lit(rf'"{name}"\s*:\s*("|null)'))
+        ok = F.coalesce((keys == F.array(F.lit("answer"), F.lit("evidence_span"))) & plain("answer") & plain("evidence_span"), F.lit(False))
+        return F.struct(F.when(ok, parsed["answer"]).alias("answer"), F.when(ok, parsed["evidence_span"]).alias("evidence_span"), ok.alias("ok"))
 
-    ok = F.coalesce((keys == F.array(F.lit("answer"), F.lit("evidence_span"))) & plain("answer") & plain("evidence_span"), F.lit(False))
-    return F.struct(F.when(ok, parsed["answer"]).alias("answer"), F.when(ok, parsed["evidence_span"]).alias("evidence_span"), ok.alias("ok"))
+    return let(first_json_object(raw), of)
 
 
 def parse_generation(raw: Column) -> Column:

@@ -74,6 +74,18 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return met.groupBy("group").agg(F.min_by("chunk_id", F.struct("away", "chunk_id")).alias("medoid"), F.avg("away").alias("radius"), F.count("*").alias("n"))
 
 
+def pca_radius(vectors: DataFrame, by: str, k: int = 2) -> DataFrame:
+    """(group, n, radius): mean distance of a group's members from its middle in the first k components of all vectors."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    shaped = vectors.select(F.col(by).alias("group"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    flat = PCA(k=k, inputCol="v", outputCol="p").fit(shaped).transform(shaped).select("group", vector_to_array("p").alias("p"))
+    middle = flat.groupBy("group").agg(*(F.avg(F.get("p", F.lit(i))).alias(f"m{i}") for i in range(k)))
+    away = sum(((F.get("p", F.lit(i)) - F.col(f"m{i}")) ** 2 for i in range(k)), F.lit(0.0))
+    return flat.join(middle, "group").groupBy("group").agg(F.count("*").alias("n"), F.avg(F.sqrt(away)).alias("radius"))
+
+
 def sampled_similarity(vectors: DataFrame, by: str, step: int = 7) -> DataFrame:
     """(group, pairs, mean, p95): cosines of each vector with the one `step` places on in its group."""
     w = Window.partitionBy(by).orderBy(F.xxhash64("chunk_id"), "chunk_id")

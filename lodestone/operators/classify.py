@@ -69,25 +69,37 @@ RAW_KEYWORDS = ("note", "£", "£000", "£'000", "total", "balance", "expenditur
 
 
 def is_small_financial_table(text: Column) -> Column:
-    def of(lines: Column) -> Column:
-        tokens = F.transform(lines, numeric_tokens)
-        body = F.transform(lines, lambda x, i: (F.rlike(x, F.lit("[A-Za-z]")) & (F.get(tokens, i) >= 2)).cast("int"))
-        words = lambda x: F.array_distinct(F.transform(F.split(F.lower(x), " +"), lambda w: F.regexp_replace(w, "^[.,;:()]+|[.,;:()]+$", "")))
-        header = F.transform(lines, lambda x: F.size(F.array_intersect(words(x), F.array(*map(F.lit, HEADER_WORDS)))) >= 2)
-        spaced = F.exists(F.zip_with(lines, tokens, lambda x, t: (_count(x, "  ") >= 3) & (t >= 2)), lambda p: p)
-        total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-        dense = F.exists(F.sequence(F.lit(1), F.size(lines)), lambda i: total(F.slice(body, i, 12)) >= 3)
-        below = F.exists(F.transform(header, lambda h, i: h & (total(F.slice(body, i + 2, 12)) >= 2)), lambda x: x)
-        return spaced | dense | below
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    words = lambda x: F.array_distinct(F.transform(F.split(F.lower(x), " +"), lambda w: F.regexp_replace(w, "^[.,;:()]+|[.,;:()]+$", "")))
+    headed = F.array(*map(F.lit, HEADER_WORDS))
+
+    def measured(x: Column) -> Column:
+        """What one line has, computed once."""
+        return F.struct(x.alias("x"), numeric_tokens(x).alias("t"))
+
+    def judged(rows: Column) -> Column:
+        spaced = F.exists(rows, lambda r: (_count(r["x"], "  ") >= 3) & (r["t"] >= 2))
+        bodies = F.transform(rows, lambda r: (F.rlike(r["x"], F.lit("[A-Za-z]")) & (r["t"] >= 2)).cast("int"))
+        heads = F.transform(rows, lambda r: F.size(F.array_intersect(words(r["x"]), headed)) >= 2)
+
+        def windows(body: Column) -> Column:
+            dense = F.exists(F.transform(body, lambda b, i: total(F.slice(body, i + 1, 12)) >= 3), lambda x: x)
+            return dense | F.exists(F.transform(heads, lambda h, i: h & (total(F.slice(body, i + 2, 12)) >= 2)), lambda x: x)
+
+        return spaced | tx.let(bodies, windows)
 
     lines = _lines(text)
-    return (F.size(lines) >= 4) & F.rlike(text, F.lit(r"(?i)£\s*'?000'?s?|\(£\s*'?000'?\)")) & F.coalesce(F.when(F.size(lines) > 0, of(lines)), F.lit(False))
+    marked = F.rlike(text, F.lit(r"(?i)£\s*'?000'?s?|\(£\s*'?000'?\)"))
+    return F.coalesce(F.when(marked, tx.let(lines, lambda x: (F.size(x) >= 4) & tx.let(F.transform(x, measured), judged))), F.lit(False))
 
 
 def is_table_like(text: Column) -> Column:
-    lines = _lines(text)
-    spaces = F.aggregate(F.transform(lines, lambda x: _count(x, "  ")), F.lit(0), lambda a, x: a + x) / F.greatest(F.size(lines), F.lit(1))
-    return is_targets_table(text) | ((F.size(lines) >= 1) & (((numeric.digit_ratio(text) > 0.15) & (spaces > 0.3)) | is_small_financial_table(text)))
+    def spaced(lines: Column) -> Column:
+        spaces = F.aggregate(F.transform(lines, lambda x: _count(x, "  ")), F.lit(0), lambda a, x: a + x) / F.greatest(F.size(lines), F.lit(1))
+        return (F.size(lines) >= 1) & (spaces > 0.3)
+
+    ratio = numeric.digit_ratio(text) > 0.15
+    return F.coalesce(is_targets_table(text) | (ratio & tx.let(_lines(text), spaced)) | is_small_financial_table(text), F.lit(False))
 
 
 def is_table_like_raw(lines: Column) -> Column:
@@ -129,21 +141,23 @@ def has_many_numbers(text: Column) -> Column:
 
 def table_type(text: Column) -> Column:
     """The type with the most keywords, the first of equals; 'unknown' without any."""
-    t = tx.normalize_line(F.lower(F.coalesce(text, F.lit(""))))
-    scores = [
-        F.struct(reduce(lambda a, b: a + b, (F.contains(t, F.lit(k)).cast("int") for k in keys)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name"))
-        for i, (name, keys) in enumerate(lex.TABLE_TYPES.items())
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["name"]).otherwise("unknown")
+    def scored(t: Column) -> Column:
+        return F.array(*(
+            F.struct(reduce(lambda a, b: a + b, (F.contains(t, F.lit(k)).cast("int") for k in keys)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name"))
+            for i, (name, keys) in enumerate(lex.TABLE_TYPES.items())
+        ))
+
+    best = tx.let(tx.normalize_line(F.lower(F.coalesce(text, F.lit("")))), lambda t: F.array_max(scored(t)))
+    return tx.let(best, lambda b: F.when(b["n"] > 0, b["name"]).otherwise("unknown"))
 
 
 def classify_page(text: Column) -> Column:
-    table, kind = is_table_like(text), table_type(text)
-    return F.struct(
-        table.alias("is_table"), F.when(table & (kind != "unknown"), kind).alias("table_type"), (~table).alias("is_text"), has_many_numbers(text).alias("has_numbers"),
-        F.when(table & (kind != "unknown"), "high").when(table, "medium").otherwise("low").alias("confidence"),
-    )
+    def of(x: Column) -> Column:
+        table, kind = x["table"], F.when(x["table"] & (x["kind"] != "unknown"), x["kind"])
+        confidence = F.when(kind.isNotNull(), "high").when(table, "medium").otherwise("low")
+        return F.struct(table.alias("is_table"), kind.alias("table_type"), (~table).alias("is_text"), x["many"].alias("has_numbers"), confidence.alias("confidence"))
+
+    return tx.let(F.struct(is_table_like(text).alias("table"), table_type(text).alias("kind"), has_many_numbers(text).alias("many")), of)
 
 
 def accept_ocr_table(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
+from ..functions import numeric
 
 
 def hit_at_k(predicted: Column, gold: Column, k: int) -> Column:
@@ -101,6 +102,50 @@ def numbers_match(expected: Column, found: Column, expected_percent: Column, fou
     )
 
 
+def normalize_answer(text: Column) -> Column:
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[£$]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[\s,]+", " "), "[^a-z0-9% ]+", " "), " +", " "))
+
+
+def numbers_in(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9]+(?:\.[0-9]+)?"), 0)
+
+
+def expected_in_context(expected: Column, context: Column, kind: Column) -> Column:
+    """Whether an expected answer stands in a context, numbers as numbers."""
+    e = normalize_answer(expected)
+    plain = (e != "") & F.contains(normalize_answer(context), e)
+    return F.when(F.coalesce(expected, F.lit("")) == "", F.lit(False)).when(kind == "number", F.size(F.array_intersect(numbers_in(expected), numbers_in(context))) > 0).otherwise(plain)
+
+
+def format_matches(answer: Column, kind: Column) -> Column:
+    date = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b|\b[0-9]{1,2}\s+[A-Z][a-z]+\s+[0-9]{4}\b"
+    return F.when(kind == "number", F.size(numbers_in(answer)) > 0).when(kind == "date", F.rlike(answer, F.lit(date))).when(kind == "list", F.rlike(answer, F.lit("[,;\n]| and "))).otherwise(F.lit(True))
+
+
+def answer_match(expected: Column, found: Column, kind: Column) -> Column:
+    """'correct', 'partial', 'incorrect' or 'not_scored' of an extracted answer."""
+    e, x = normalize_answer(expected), normalize_answer(found)
+    want, got = numeric.normalize_value(expected), numeric.normalize_value(found)
+    percent = lambda n: n["dimension"] == "percent"
+    close = F.coalesce(numbers_match(want["value"], got["value"], percent(want), percent(got)), F.lit("none"))
+    listed = numbers_in(expected)
+    shared = F.size(F.array_intersect(listed, numbers_in(found)))
+    words = F.array_distinct(F.filter(F.split(e, " "), lambda w: F.length(w) > 3))
+    number = (
+        F.when(close == "full", "correct").when(close == "partial", "partial")
+        .when((F.size(listed) > 0) & (shared == F.size(F.array_distinct(listed))), "correct").when(shared > 0, "partial").otherwise("incorrect")
+    )
+    plain = F.when((e != "") & F.contains(x, e), "correct").when(F.arrays_overlap(words, F.split(x, " ")), "partial").otherwise("incorrect")
+    return F.when(F.coalesce(expected, F.lit("")) == "", "not_scored").when(kind == "number", number).otherwise(plain)
+
+
+def accuracy(scored: DataFrame) -> DataFrame:
+    """(n_scored, accuracy, partial_rate) of rows with status, over those that are scored."""
+    s = F.when(F.col("status") != "not_scored", F.col("status"))
+    return scored.agg(F.count(s).alias("n_scored"), F.avg((s == "correct").cast("double")).alias("accuracy"), F.avg((s == "partial").cast("double")).alias("partial_rate"))
+
+
 FAILURES = ("FP1_missing_content", "FP2_missed_top_rank", "FP3_not_in_context", "FP4_not_extracted", "FP5_wrong_format", "FP6_incorrect_specificity", "FP7_incomplete")
 
 
@@ -138,6 +183,24 @@ def mcnemar_p(only_a: int, only_b: int) -> tuple[float, float]:
     return exact, math.erfc(math.sqrt(chi / 2.0))
 
 
+def wilcoxon(a: DataFrame, b: DataFrame) -> tuple[float, float]:
+    """Signed-rank statistic of b over a and its one-sided p (normal approximation, ties averaged, zeros left out)."""
+    import math
+
+    met = a.alias("a").join(b.alias("b"), F.col("a.query_id") == F.col("b.query_id")).select(F.round(F.col("b.value") - F.col("a.value"), 12).alias("d")).where("d != 0")
+    # equal sizes are one row, so that the window runs over distinct sizes only
+    sizes = met.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = sizes.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    row = ranks.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("t")).first()
+    if not row["n"]:
+        return 0.0, 1.0
+    n = row["n"]
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - row["t"] / 48.0)
+    z = (row["w"] - n * (n + 1) / 4.0) / spread if spread else 0.0
+    return float(row["w"]), 0.5 * math.erfc(z / math.sqrt(2.0))
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """Resampled mean differences of paired values: mean, 2.5 % and 97.5 % points.
 

@@ -204,6 +204,32 @@ def table_boost(is_table: Column, intent: Column, section: Column) -> Column:
     return F.when(is_table & F.startswith(intent, F.lit("table_metric_")) & where, lex.BOOST_TABLE).otherwise(F.lit(0.0))
 
 
+def milestone_boost(question: Column, text: Column, base: float = 0.08) -> Column:
+    """What a chunk's words add for questions that are routed to a table metric."""
+    q, t, intent = tx.rerank_normalize(question), tx.rerank_normalize(text), tx.route(question)["intent"]
+    both = lambda *w: tx._any(*(F.contains(q, F.lit(x)) & F.contains(t, F.lit(x)) for x in w))
+    has = lambda c, *w: tx.contains_any(c, w)
+    add = lambda *pairs: sum((F.when(c, v).otherwise(0.0) for c, v in pairs), F.lit(0.0))
+    milestones = add(
+        (has(t, "milestone", "deliverable"), base), (has(q, "deliverable") & has(q, "complete") & has(t, "milestone", "deliverable") & has(t, "complete"), 0.18),
+        (both("on track"), 0.05), (has(q, "significant") & has(q, "delay") & has(t, "significant delay"), 0.05), (has(q, "proportion") & both("complete"), 0.04),
+        *((both(f"q{n}"), 0.03) for n in (1, 2, 3, 4)),
+    )
+    staff = add((has(t, "staff cost", "employee benefit", "remuneration", "pension"), base), (both("pension"), 0.06), (both("remuneration"), 0.06), (has(q, "total") & has(q, "staff") & has(q, "cost") & has(t, "total"), 0.04))
+    emissions = add((has(t, "emission", "greenhouse gas", "co2", "carbon"), base), (has(q, "target") & has(t, "target emissions"), 0.06), (both("percentage change"), 0.06))
+    return (
+        F.when(intent.isin("table_metric_significant_delay", "table_metric_on_track", "table_metric_complete_ratio"), milestones)
+        .when(intent == "table_metric_staff_costs", staff).when(intent == "table_metric_emissions", emissions).otherwise(F.lit(0.0))
+    )
+
+
+def text_lookup(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the text of their chunk: by its global id, else by its local one, the first chunk of equal ids."""
+    first = lambda key, name: chunks.groupBy(F.col(key).alias("chunk_id")).agg(F.min_by("text", "chunk_ord").alias(name))
+    met = hits.join(first("chunk_id_global", "_global"), "chunk_id", "left").join(first("chunk_id", "_local"), "chunk_id", "left")
+    return met.withColumn("text", F.coalesce("_global", "_local")).drop("_global", "_local")
+
+
 def rerank(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, subsection_boost: float = 0.0, cross_page_penalty: float = 0.0) -> DataFrame:
     """Adds rule-based boosts to scores and ranks anew; ties keep their order.
 
