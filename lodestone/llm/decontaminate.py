@@ -122,15 +122,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, s
     if hits is None:
         return base.drop(row).withColumns({names["n_hit"]: F.lit(0).cast("bigint"), names["item_ids"]: no_ids, names["contaminated"]: F.lit(False)})
     named = hits.join(windows.select("window", F.col("item_id").cast("string").alias("item_id")), "window")
+    at, hit_name, ids_name = (fresh(docs, n) for n in ("_at", "_hit", "_ids"))
     judged = named.groupBy("_row").agg(
-        F.collect_set(F.struct("start", "n")).alias("_places"), F.array_sort(F.collect_set("item_id")).alias("_ids")
-    ).select(F.col("_row").alias(fresh(docs, "_at")), _union_length(F.col("_places")).alias("_hit"), "_ids")
-    out = base.join(judged, F.col(row) == F.col(fresh(docs, "_at")), "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(0).cast("bigint"))
+        F.collect_set(F.struct("start", "n")).alias("places"), F.array_sort(F.collect_set("item_id")).alias("ids")
+    ).select(F.col("_row").alias(at), _union_length(F.col("places")).alias(hit_name), F.col("ids").alias(ids_name))
+    out = base.join(judged, F.col(row) == F.col(at), "left")
+    hit = F.coalesce(F.col(hit_name), F.lit(0).cast("bigint"))
     return out.withColumns({
-        names["n_hit"]: hit, names["item_ids"]: F.coalesce("_ids", no_ids),
+        names["n_hit"]: hit, names["item_ids"]: F.coalesce(ids_name, no_ids),
         names["contaminated"]: (hit > 0) & (share * hit >= F.col(names["n_words"])),
-    }).drop(row, fresh(docs, "_at"), "_hit", "_ids")
+    }).drop(row, at, hit_name, ids_name)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:

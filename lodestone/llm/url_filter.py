@@ -92,6 +92,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str =
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("_best"),
         F.bool_or(F.col("rule").isNull()).alias("_listed"),
     )
-    joined = numbered.join(best.withColumnRenamed("_row", row), row, "left") if row != "_row" else numbered.join(best, row, "left")
-    decided = F.coalesce(F.col("_best.verdict"), F.when(F.col("_listed"), "block"), F.lit("allow"))
-    return joined.withColumns({rule: F.col("_best.rule"), verdict: decided}).drop(row, "_best", "_listed")
+    at, chosen, known_bad = (fresh(pages, n) for n in ("_at", "_best", "_listed"))
+    best = best.select(F.col("_row").alias(at), F.col("_best").alias(chosen), F.col("_listed").alias(known_bad))
+    joined = numbered.join(best, F.col(row) == F.col(at), "left")
+    decided = F.coalesce(F.col(chosen)["verdict"], F.when(F.col(known_bad), "block"), F.lit("allow"))
+    return joined.withColumns({rule: F.col(chosen)["rule"], verdict: decided}).drop(row, at, chosen, known_bad)

@@ -140,7 +140,7 @@ def judge(url):
 def test_url_rules(spark, sf):
     odd = [None, "", "no scheme", "http://", "HTTP://A.ORG", "x://y.Example.ORG/es/?q", "http://example.org/en/1", "http://example.org/en/2", "http://fr.com/fr/#x", "a://b://c.com/de/", "http://notexample.org/es/", "https://www.spam-farm.example.net:443/x"]
     rows = [(p["page_id"], p["url"]) for p in table(sf, "pages")] + [(10_000 + i, u) for i, u in enumerate(odd)]
-    df = spark.createDataFrame([(i, u, "z") for i, u in rows + rows[:5]], "page_id long, url string, Host string")
+    df = spark.createDataFrame([(i, u, "z", 1) for i, u in rows + rows[:5]], "page_id long, url string, Host string, _best int")
     listed_rules, listed = url_filter.default_list(spark)
     out = url_filter.judge_urls(df, listed_rules, listed).collect()
     assert len(out) == len(rows) + 5
@@ -194,7 +194,7 @@ def test_decontamination(spark, sf, tmp_path, extra):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted(tuple(r) for r in QUERIES["op10_decontamination"](spark, str(tmp_path)).collect())
     assert got == sorted(contaminated(docs, items))
-    df = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("N_Hit", F.lit("x"))
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("N_Hit", F.lit("x")).withColumn("_hit", F.lit(0)).withColumn("_row", F.lit("r"))
     clean = decontaminate.keep_clean(df, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
     assert clean.columns == df.columns and clean.count() == sum(not g[-1] for g in got)
 
