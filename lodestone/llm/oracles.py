@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import quality_rules, url_filter
 from .common import UPPER
 
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -44,3 +44,39 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(id
 FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id"""
 
 ORACLES = {"op3_warc_revisits": OP3, "op8_url_filter": OP8, "op10_decontamination": OP10}
+
+
+def _distance(counts: str, total: str, shares) -> str:
+    """Jensen-Shannon distance, base 2, of counts (a list) from shares."""
+    q = "[" + ", ".join(repr(float(s)) + "::DOUBLE" for s in shares) + "]"
+    term = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((z[1] / greatest({1}, 1) + z[2]) / 2)) ELSE 0 END"
+    p, r = term.format(f"(z[1] / greatest({total}, 1))", total), term.format("z[2]", total)
+    return f"sqrt(greatest(list_sum(list_transform(list_zip({counts}, {q}), lambda z: ({p} + {r}) / 2)), 0))"
+
+
+def _op6() -> str:
+    limits, languages = quality_rules.Limits(), list(quality_rules.COMMON.values())
+    space = r"\x20\x09-\x0D"
+    hits = ", ".join(f"len(list_filter(tok, lambda x: x IN ({', '.join(repr(w) for w, _ in words[:3])}))) AS h{i}" for i, words in enumerate(languages))
+    last = len(languages) - 1
+    pick = "CASE " + " ".join("WHEN " + " AND ".join(f"h{i} >= h{j}" for j in range(i + 1, last + 1)) + f" THEN {i}" for i in range(last)) + f" ELSE {last} END"
+    counts = {i: "[" + ", ".join(f"len(list_filter(tok, lambda x: x = {w!r}))" for w, _ in words) + "]" for i, words in enumerate(languages)}
+    found = "CASE lang_no " + " ".join(f"WHEN {i} THEN {c}" for i, c in counts.items()) + " END"
+    far = "CASE lang_no " + " ".join(
+        f"WHEN {i} THEN {_distance('alls', 'n_all', [n / 1000 for _, n in words] + [1 - sum(n / 1000 for _, n in words)])}" for i, words in enumerate(languages)
+    ) + " END"
+    without = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+    classes = ", ".join((without(r"\p{Ll}+"), without(r"\p{Lu}+"), without("[0-9]+"), "length(t) - word_chars", without(r"[.,;:!?''\"()-]+")))
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{space}]+') AS w, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS tok FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 8], chr(1)) AS x FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS i FROM d)), rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_rep FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
+m AS (SELECT d.doc_id, t, tok, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {without(r"[#*$%&|<>]+")} AS n_symbols, coalesce(n_rep, 0) AS n_repeat_words,
+list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) AS lines, {hits} FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
+c AS (SELECT *, [{classes}] AS five, {pick} AS lang_no FROM m), f AS (SELECT *, list_append(five, length(t) - list_sum(five)::BIGINT) AS six, {found} AS found FROM c),
+a AS (SELECT *, list_append(found, greatest(n_words - list_sum(found)::BIGINT, 0)) AS alls FROM f), b AS (SELECT *, list_sum(alls)::BIGINT AS n_all FROM a),
+s AS (SELECT *, CASE WHEN length(t) >= {limits.least_chars} THEN {_distance("six", "length(t)", quality_rules.CLASS_SHARES)} END AS cd, CASE WHEN n_words >= {limits.least_words} THEN {far} END AS wd, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, base_failed,
+NOT base_failed AND NOT coalesce(cd > {limits.class_distance}, false) AND NOT coalesce(wd > {limits.word_distance}, false) AS kept FROM s"""
+
+
+ORACLES["op6_quality_rules"] = _op6()

@@ -82,7 +82,8 @@ def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.quality_measures(docs)
-    return judged.select(F.col("_doc.doc_id").alias("doc_id"), *(c for c in judged.columns if c != "_doc"))
+    distances = [F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")]
+    return judged.select(F.col("_doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *distances)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
