@@ -57,11 +57,14 @@ def word_features(word: str, s: Settings) -> list[int]:
     """Buckets of a word and of its character n-grams with word ends marked."""
     raw = word.encode("utf-8", "surrogatepass")
     found = [zlib.crc32(raw) % s.buckets]
-    marked = f"<{word}>"
+    if len(raw) == len(word):  # one byte a character
+        marked = b"<" + raw + b">"
+        for n in range(s.shortest, s.longest + 1):
+            found += [zlib.crc32(marked[i : i + n], n) % s.buckets for i in range(len(marked) - n + 1)]
+        return found
+    text = f"<{word}>"
     for n in range(s.shortest, s.longest + 1):
-        for i in range(len(marked) - n + 1):
-            gram = marked[i : i + n].encode("utf-8", "surrogatepass")
-            found.append(zlib.crc32(gram, n) % s.buckets)
+        found += [zlib.crc32(text[i : i + n].encode("utf-8", "surrogatepass"), n) % s.buckets for i in range(len(text) - n + 1)]
     return found
 
 
@@ -71,9 +74,9 @@ def document_features(text: str | None, s: Settings) -> tuple[np.ndarray, np.nda
     for word in (text or "").split():
         ids.extend(word_features(word, s))
     if not ids:
-        return np.empty(0, np.int64), np.empty(0, np.float64)
-    unique, counts = np.unique(np.asarray(ids, np.int64), return_counts=True)
-    return unique, counts / len(ids)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    unique, counts = np.unique(np.asarray(ids, np.int32), return_counts=True)
+    return unique, (counts / len(ids)).astype(np.float32)
 
 
 def train(rows: list[tuple[str | None, int]], s: Settings = Settings()) -> Model:
@@ -109,12 +112,14 @@ def train(rows: list[tuple[str | None, int]], s: Settings = Settings()) -> Model
 
 def score_texts(texts, model: Model, cache: dict) -> np.ndarray:
     """Chances of label 1. `cache` keeps what short words add, and is emptied when large."""
-    s, margins = model.settings, model.margins
+    s, weights = model.settings, cache.get(None)
+    if weights is None:  # no word is None
+        weights = cache[None] = model.margins.tolist()
     out = np.empty(len(texts), np.float64)
 
     def weigh(word: str) -> tuple[float, int]:
         ids = word_features(word, s)
-        return float(margins[ids].sum()), len(ids)
+        return sum([weights[i] for i in ids]), len(ids)
 
     for i, text in enumerate(texts):
         total, n = 0.0, 0
@@ -125,6 +130,7 @@ def score_texts(texts, model: Model, cache: dict) -> np.ndarray:
                 if len(word) <= 64:
                     if len(cache) >= 400_000:
                         cache.clear()
+                        cache[None] = weights
                     cache[word] = known
             total += known[0]
             n += known[1]
