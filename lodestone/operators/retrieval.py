@@ -192,11 +192,10 @@ def overlap_boost(entities: Column, tokens: Column) -> Column:
     return lex.BOOST_ENTITY * F.least(F.size(F.array_intersect(entities, tokens)), F.lit(lex.MAX_ENTITIES))
 
 
-def density_boost(question: Column, text: Column) -> Column:
-    density, q = tx.numeric_density(text), tx.rerank_normalize(question)
-    sign = (F.contains(q, F.lit("%")) & F.contains(text, F.lit("%"))) | (F.contains(q, F.lit("£")) & F.contains(text, F.lit("£")))
-    amount = lex.BOOST_DENSITY * (1 + F.when(density >= 0.20, 0.5).otherwise(0.0) + F.when(sign, 0.5).otherwise(0.0))
-    return F.when(tx.is_numeric_question(question) & (density >= 0.10), amount).otherwise(F.lit(0.0))
+def density_boost(numeric: Column, density: Column, same_sign: Column) -> Column:
+    """For questions that ask for a number: more for dense text, and for the same sign in both."""
+    amount = lex.BOOST_DENSITY * (1 + F.when(density >= 0.20, 0.5).otherwise(0.0) + F.when(same_sign, 0.5).otherwise(0.0))
+    return F.when(numeric & (density >= 0.10), amount).otherwise(F.lit(0.0))
 
 
 def table_boost(is_table: Column, intent: Column, section: Column) -> Column:
@@ -237,18 +236,27 @@ def rerank(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, subsection_
     know the answer are on. `chunks`: chunk_id, text, is_table, section_title,
     subsection_title, segment_has_search_hit, segment_boundary_type.
     """
-    q = queries.select("query_id", F.col("text").alias("question"), "expected_section", "expected_subsection", tx.query_entities(F.col("text")).alias("entities"))
-    c = chunks.select("chunk_id", "text", "is_table", "section_title", "subsection_title", "segment_has_search_hit", "segment_boundary_type")
+    # what depends on a question or a chunk alone is computed once for each, not for each pair
+    asked, text = F.col("text"), F.col("text")
+    q = queries.select(
+        "query_id", tx.query_entities(asked).alias("entities"), tx.is_numeric_question(asked).alias("numeric"), tx.is_search_hit_question(asked).alias("hit_question"),
+        tx.route(asked)["intent"].alias("intent"), F.contains(asked, F.lit("%")).alias("q_percent"), F.contains(asked, F.lit("£")).alias("q_pound"),
+        tx.rerank_normalize(F.col("expected_section")).alias("target"), tx.rerank_normalize(F.col("expected_subsection")).alias("sub_target"),
+    )
+    c = chunks.join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi").select(
+        "chunk_id", F.array_distinct(tx.normalized_tokens(text)).alias("tokens"), tx.numeric_density(text).alias("density"),
+        F.contains(text, F.lit("%")).alias("c_percent"), F.contains(text, F.lit("£")).alias("c_pound"), F.coalesce("is_table", F.lit(False)).alias("is_table"),
+        "section_title", tx.rerank_normalize(F.col("section_title")).alias("section"), tx.rerank_normalize(F.col("subsection_title")).alias("subsection"),
+        F.coalesce("segment_has_search_hit", F.lit(False)).alias("has_hit"), F.coalesce(F.upper(F.trim("segment_boundary_type")) == "CROSS_PAGE_CONTINUATION", F.lit(False)).alias("crosses"),
+    )
     met = ranked.join(small(q), "query_id").join(c, "chunk_id")
-    question = F.col("question")
-    segment = F.when(F.coalesce("segment_has_search_hit", F.lit(False)) & tx.is_search_hit_question(question), lex.BOOST_SEGMENT).otherwise(F.lit(0.0))
-    section, target = tx.rerank_normalize(F.col("section_title")), tx.rerank_normalize(F.col("expected_section"))
-    stray = (F.upper(F.trim("segment_boundary_type")) == "CROSS_PAGE_CONTINUATION") & (section != "") & (target != "") & (section != target)
-    first = F.col("score") + table_boost(F.coalesce("is_table", F.lit(False)), tx.route(question)["intent"], F.col("section_title"))
-    first = first + overlap_boost(F.col("entities"), tx.normalized_tokens(F.col("text"))) + density_boost(question, F.col("text")) + segment
+    signs = (F.col("q_percent") & F.col("c_percent")) | (F.col("q_pound") & F.col("c_pound"))
+    stray = F.col("crosses") & (F.col("section") != "") & (F.col("target") != "") & (F.col("section") != F.col("target"))
+    first = F.col("score") + table_boost(F.col("is_table"), F.col("intent"), F.col("section_title")) + overlap_boost(F.col("entities"), F.col("tokens"))
+    first = first + density_boost(F.col("numeric"), F.col("density"), signs) + F.when(F.col("has_hit") & F.col("hit_question"), lex.BOOST_SEGMENT).otherwise(F.lit(0.0))
     first = first - F.when(F.coalesce(stray, F.lit(False)), cross_page_penalty).otherwise(F.lit(0.0))
     once = _ranked(met.withColumn("score", first).withColumnRenamed("rank", "old_rank"), F.round("score", 12).desc(), F.col("old_rank"))
-    same = (tx.rerank_normalize(F.col("expected_subsection")) != "") & (tx.rerank_normalize(F.col("subsection_title")) == tx.rerank_normalize(F.col("expected_subsection")))
+    same = (F.col("sub_target") != "") & (F.col("subsection") == F.col("sub_target"))
     twice = once.withColumn("score", F.col("score") + F.when(same, subsection_boost).otherwise(F.lit(0.0))).withColumnRenamed("rank", "once")
     return _ranked(twice, F.round("score", 12).desc(), F.col("once")).select("query_id", "chunk_id", "score", "rank")
 
