@@ -16,9 +16,14 @@ backwards, so each meets the one that extends furthest to the left among those t
 first diverge there to the right. Extension left and prefix together of at least
 `length` bytes make a repeat of both.
 
-A group of more than `group` classes isn't gathered. Its contexts' strings of `length`
-bytes are counted by hash instead, each around the anchor, in a distributed way with
-partial sums; this gives the same result.
+A group of more than `group` classes is first split into halves, and what is still as
+large into bands. Two contexts whose
+extensions make up a repeat agree in at least one of a few strings around the anchor,
+each nearly as long as the repeat; so classes are grouped anew by each of those, which
+leaves those alone that share but a common line. A band's group of more than
+`band_group` classes isn't gathered: its contexts' strings of `length` bytes in that
+band are counted by hash, in a distributed way with partial sums. All three give the
+same result.
 
 Defined results: null and empty texts, and those shorter than `length` bytes, have no
 repeat. Matches don't cross texts. Copies of a text are removed in all places, the
@@ -47,10 +52,12 @@ class Settings(NamedTuple):
     length: int = 400
     gram: int = 100
     group: int = 2000
+    bands: int = 6
+    band_group: int = 20_000
 
 
 #: Bytes handled at once, unless a single text is longer.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -211,31 +218,59 @@ def group_extents(lefts: list[bytes], rights: list[bytes], length: int) -> tuple
 
 
 def _extents_of_groups(groups: DataFrame, s: Settings) -> DataFrame:
-    """(hash, context, before, behind) out of rows (hash, members: contexts with their bytes)."""
+    """(hash, context, left, right) out of rows (hash, members: contexts with their bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for hash_, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i in range(len(batch)):
+                hash_, members = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 lefts = [m["bytes"][: m["before"]][::-1] for m in members]
                 rights = [m["bytes"][m["before"] :] for m in members]
                 left, right = group_extents(lefts, rights, s.length)
                 out += [(hash_, m["context"], a, b) for m, a, b in zip(members, left, right, strict=True) if b]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["hash", "context", "left", "right"])
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["hash", "context", "left", "right"])
 
     return groups.mapInArrow(run, "hash bigint, context bigint, left int, right int")
 
 
-def _extents_by_count(classes: DataFrame, s: Settings) -> DataFrame:
-    """The same for groups of any size: strings of `length` bytes around the anchor, counted by two hashes."""
+def _around(left: Column, size: Column) -> Column:
+    """The bytes of a context from `left` before its anchor on."""
+    return F.substring(F.col("bytes"), F.col("before") - left + 1, size)
+
+
+def _in_bands(classes: DataFrame, s: Settings, n: int) -> DataFrame:
+    """Classes once for each band whose string they hold, with the string's hashes and the group's size.
+
+    In band b the extension behind the anchor is from b steps on, so the one before it has
+    to be more than what the next band would leave.
+    """
+    reach = s.length - s.gram
+    step = -(-reach // n)
+    bands = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(max(0, reach - step * (b + 1))).alias("need"), F.lit(step * b).alias("behind")) for b in range(-(-reach // step))))
+    held = F.filter(bands, lambda x: (x["need"] <= F.col("before")) & (x["behind"] <= F.col("behind")))
+    each = classes.select("hash", "context", "before", "behind", "bytes", F.explode(held).alias("b"))
+    string = _around(F.col("b.need"), F.col("b.need") + F.col("b.behind") + s.gram)
+    keyed = each.select("hash", "context", "before", "behind", "bytes", F.col("b.band").alias("band"), F.xxhash64(string).alias("b1"), F.xxhash64(F.lit(7), string).alias("b2"))
+    key = ["hash", "band", "b1", "b2"]
+    sizes = keyed.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
+    return keyed.join(sizes, key)
+
+
+def _extents_by_count(members: DataFrame, s: Settings) -> DataFrame:
+    """The same for groups of any size: a band's strings of `length` bytes around the anchor, counted by two hashes."""
     reach = s.length - s.gram
-    least = F.greatest(F.lit(0), reach - F.col("behind"))
-    each = classes.select("hash", "context", "before", "bytes", F.explode(F.sequence(least, F.col("before"))).alias("left"))
-    cut = F.substring(F.col("bytes"), F.col("before") - F.col("left") + 1, F.lit(s.length))
-    each = each.select("hash", "context", "left", F.xxhash64(cut).alias("h1"), F.xxhash64(F.lit(7), cut).alias("h2"))
+    step = -(-reach // s.bands)
+    most = F.least(F.col("before"), reach - step * F.col("band"))
+    least = F.greatest(F.lit(0), reach - F.col("behind"), reach - step * (F.col("band") + 1))
+    lefts = F.when(least <= most, F.sequence(least, most))
+    each = members.select("hash", "context", "band", "before", "bytes", F.explode(lefts).alias("left"))
+    string = _around(F.col("left"), F.lit(s.length))
+    each = each.select("hash", "context", "band", "left", F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(7), string).alias("h2"))
     # with the anchor and its place in the string: one string may hold several anchors
-    key = ["hash", "left", "h1", "h2"]
+    key = ["hash", "band", "left", "h1", "h2"]
     often = each.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
     found = each.join(often, key, "left_semi")
     return found.groupBy("hash", "context").agg(F.max("left").alias("left"), (s.length - F.min("left")).cast("int").alias("right"))
@@ -258,9 +293,16 @@ def repeated_places(docs: DataFrame, row: str, s: Settings = Settings()) -> Data
     wanted = bloom.build(different, "row", 1 << 16)
     likely = texts.where(bloom.may_contain(wanted, F.col("row"), 1 << 16))
     bytes_ = F.substring(F.col("text").cast("binary"), F.col("place") - F.col("before") + 1, F.col("before") + F.col("behind") + s.gram)
-    held = materialize(different.join(likely, "row").select("hash", "context", "members", "before", "behind", bytes_.alias("bytes")), "context-bytes")
-    groups = held.where(F.col("members") <= s.group).groupBy("hash").agg(F.collect_list(F.struct("context", "before", "bytes")).alias("members"))
-    found = _extents_of_groups(groups, s).unionByName(_extents_by_count(held.where(F.col("members") > s.group), s))
+    held = materialize(different.join(likely, "row").select("hash", "context", "members", "before", "behind", bytes_.alias("bytes")), "bytes")
+    gathered = F.collect_list(F.struct("context", "before", "bytes")).alias("members")
+    groups = held.where(F.col("members") <= s.group).groupBy("hash").agg(gathered)
+    # halves first: they leave most classes of a common line alone
+    halves = materialize(_in_bands(held.where(F.col("members") > s.group), s, 2), "halves")
+    again = halves.where(F.col("members") > s.group).select("hash", "context", "before", "behind", "bytes").dropDuplicates(["hash", "context"])
+    banded = materialize(_in_bands(again, s, s.bands), "bands")
+    for part, most in ((halves, s.group), (banded, s.band_group)):
+        groups = groups.unionByName(part.where(F.col("members") <= most).groupBy("hash", "band", "b1", "b2").agg(gathered).select("hash", "members"))
+    found = _extents_of_groups(groups, s).unionByName(_extents_by_count(banded.where(F.col("members") > s.band_group), s))
     whole = classes.where("times > 1").select("hash", "context", F.col("before").alias("left"), (F.col("behind") + s.gram).alias("right"))
     extents = whole.unionByName(found).groupBy("hash", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     covered = repeated.join(extents, ["hash", "context"]).select("row", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))

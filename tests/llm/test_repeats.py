@@ -41,10 +41,11 @@ def made_texts(rng, letters, n, length):
     return out
 
 
-@pytest.mark.parametrize(("letters", "group"), [("ab", 2000), ("abcdefghé ", 2000), ("abcdefghé ", 1), ("a", 2000), ("a", 1)])
-def test_small_lengths(spark, letters, group):
+@pytest.mark.parametrize(("letters", "group", "bands", "band_group"), [("ab", 2000, 6, 9), ("abcdefghé ", 2000, 6, 9), ("abcdefghé ", 1, 6, 2000), ("abcdefghé ", 1, 6, 1), ("abcd", 3, 4, 3), ("ab", 1, 7, 2), ("a", 2000, 6, 9), ("a", 1, 6, 1)])
+def test_small_lengths(spark, letters, group, bands, band_group):
+    """All three ways, alone and together."""
     rng = random.Random(len(letters) + group)
-    s = repeats.Settings(40, 10, group)
+    s = repeats.Settings(40, 10, group, bands, band_group)
     texts = made_texts(rng, letters, 120 if len(letters) > 1 else 12, 40) + [None, "", "x" * 39, "y" * 40, "z" * 41]
     df = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, Spans string").repartition(3)
     got = repeats.remove_repeats(df, s).collect()
