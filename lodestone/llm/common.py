@@ -114,3 +114,15 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
     if not _steady(df._jdf.queryExecution().optimizedPlan()):
         df = materialize(df, "rows")
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def free_memory() -> None:
+    """Gives back what a Python worker no longer uses; an idle worker is kept for a while, with all it holds."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import discard, fresh, materialize, number_rows, ship_by_value, word_line
+from .common import discard, free_memory, fresh, materialize, number_rows, ship_by_value, word_line
 from .components import components
 
 ship_by_value(__name__)
@@ -232,6 +232,7 @@ def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
                 yield of(batch.slice(at, to - at))
                 at = to
+        free_memory()
 
     return rows.mapInArrow(run, "row bigint, digest binary, n bigint, sketches array<bigint>")
 
@@ -249,6 +250,7 @@ def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
             (xs, x_at), (ys, y_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
             good = [alike(xs[x_at[i] : x_at[i + 1]], ys[y_at[i] : y_at[i + 1]]) for i in range(len(batch))]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        free_memory()
 
     with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("words").alias("words_a")), "a")
     both = with_a.join(texts.select(F.col("row").alias("b"), F.col("words").alias("words_b")), "b")

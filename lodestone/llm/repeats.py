@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import discard, fresh, materialize, number_rows, ship_by_value
+from .common import discard, free_memory, fresh, materialize, number_rows, ship_by_value
 
 ship_by_value(__name__)
 
@@ -57,7 +57,7 @@ class Settings(NamedTuple):
 
 
 #: Bytes handled at once, unless a single text is longer.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -150,6 +150,7 @@ def find_anchors(texts: DataFrame, s: Settings) -> DataFrame:
                     columns = [rows[at + text], place.astype(np.int32), gram, context, before.astype(np.int32), behind.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "place", "hash", "context", "before", "behind"])
                 at = to
+        free_memory()
 
     return texts.mapInArrow(run, "row bigint, place int, hash bigint, context bigint, before int, behind int")
 
@@ -232,6 +233,7 @@ def _extents_of_groups(groups: DataFrame, s: Settings) -> DataFrame:
                 out += [(hash_, m["context"], a, b) for m, a, b in zip(members, left, right, strict=True) if b]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["hash", "context", "left", "right"])
+        free_memory()
 
     return groups.mapInArrow(run, "hash bigint, context bigint, left int, right int")
 
@@ -280,14 +282,15 @@ def repeated_places(docs: DataFrame, row: str, s: Settings = Settings()) -> Data
     """(row, spans): for rows with repeats the merged (start, end) of bytes that they cover; `row` is a column of `number_rows`."""
     texts = docs.select(F.col(row).alias("row"), "text")
     every = materialize(find_anchors(texts, s), "anchors")
-    again = every.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    # written, so that both sides of the join are dealt for it and a hot hash can be split
+    again = materialize(every.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "again")
     repeated = materialize(every.join(again, "hash"), "repeated")
     discard(every)
     by_class = repeated.groupBy("hash", "context").agg(
         F.count("*").alias("times"), F.min(F.struct("row", "place")).alias("at"), F.first("before").alias("before"), F.first("behind").alias("behind")
     )
     classes = materialize(by_class, "contexts")
-    counted = classes.groupBy("hash").agg(F.count("*").alias("members")).where("members > 1")
+    counted = materialize(classes.groupBy("hash").agg(F.count("*").alias("members")).where("members > 1"), "counted")
     different = classes.join(counted, "hash").select("hash", "context", "members", "before", "behind", F.col("at.row").alias("row"), F.col("at.place").alias("place"))
     different = materialize(different, "different")
     wanted = bloom.build(different, "row", 1 << 16)
