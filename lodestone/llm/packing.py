@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value
+from .common import free_memory, ship_by_value
 
 ship_by_value(__name__)
 
@@ -39,6 +39,17 @@ MAX_OPEN_IDS = 8_000_000
 PARTITION_BITS = 40
 
 
+def _below_256(text: str) -> bool:
+    """Whether all characters are below U+0100: their lower case is one character each, and composed already."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Tokens:
     """Token ids by a vocabulary file of `tokenizers`, remembered for strings between spaces.
 
@@ -83,7 +94,7 @@ class Tokens:
 
     def ids(self, text: str) -> np.ndarray:
         known = self.known
-        if text.isascii():
+        if _below_256(text):
             text = text.lower()
         strings = text.replace("\n", " ").split(" ")
         new = {s for s in strings if s not in known}
@@ -243,5 +254,6 @@ def pack(docs: DataFrame, key: str, tokenizer_path: str, window: int = 2048, end
                 keys.append(batch.column(0).slice(at))
         if ids:
             yield from flush()
+        free_memory()
 
     return docs.select(F.col(key), F.col("text")).mapInArrow(run, ddl)
