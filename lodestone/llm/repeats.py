@@ -308,6 +308,7 @@ def repeated_places(docs: DataFrame, row: str, s: Settings = Settings()) -> Data
     found = _extents_of_groups(groups, s).unionByName(_extents_by_count(banded.where(F.col("members") > s.band_group), s))
     whole = classes.where("times > 1").select("hash", "context", F.col("before").alias("left"), (F.col("behind") + s.gram).alias("right"))
     extents = whole.unionByName(found).groupBy("hash", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    extents = materialize(extents, "extents")
     covered = repeated.join(extents, ["hash", "context"]).select("row", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
     merged = covered.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("parts"))
     return materialize(merged.select("row", _merge(F.col("parts")).alias("spans")), "spans")
