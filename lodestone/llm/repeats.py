@@ -4,7 +4,7 @@ A suffix array of the whole corpus would be one sort of every byte. Here it is a
 sparse one, in pieces. A string of `length` bytes holds length - gram + 1 grams; the
 one with the least hash (the leftmost of equals) is its anchor, so equal strings have
 the same anchor at the same place. Texts are reduced to their anchors, one in about
-150 bytes. Anchors of a hash that comes once are dropped: nothing is repeated there.
+120 bytes. Anchors of a hash that comes once are dropped: nothing is repeated there.
 
 What is left is grouped by hash. The bytes around an anchor, as far as a string of
 `length` bytes can reach, are its context; equal contexts collapse into a class. In a
