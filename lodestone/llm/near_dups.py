@@ -6,11 +6,11 @@ hashes and keeps them in the order of the text, so it agrees where two texts agr
 what they say and in its order: the chance falls with edits and with rearrangement.
 Several sketches are taken; texts that share one are candidates.
 
-Copies (the same words) collapse first. In a bucket of texts that share a sketch, all
-are linked to one of them, the least by a hash. Later rounds link, in buckets that
-still hold several components, a member of each component to a member of another one,
-chosen by other hashes each time. So a bucket of any size costs a link for each member
-at most, and there is no cap.
+Copies (the same words) collapse first. In a bucket of texts that share a sketch, a few
+turns link a member of each component to a hub, so that a large group costs a link for
+each member. Then all pairs of members that are still in different components are
+compared: no candidate pair is left out, and classes don't depend on the hubs. Counters
+of shingles (`bins`) rule out pairs before their words are read, and never one that counts.
 
 A link counts if the texts' words, aligned within the band of diagonals that the
 similarity allows, have enough shingles in common: matched / (all of both - matched) is
@@ -24,6 +24,7 @@ id is the doc_id of its first row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,6 +42,10 @@ ship_by_value(__name__)
 
 #: Words handled at once, unless a single text has more.
 BLOCK = 400_000
+#: Members of a bucket and band on one side of a join for all pairs, about.
+GROUP = 256
+#: Counters of shingles in a text's `bins`.
+BINS = 256
 
 
 class Settings(NamedTuple):
@@ -199,12 +204,12 @@ def _word_hashes(text: Column, of, kind: str) -> Column:
 
 def _binary(pairs: np.ndarray) -> pa.Array:
     raw = np.ascontiguousarray(pairs).tobytes()
-    offsets = np.arange(len(pairs) + 1, dtype=np.int32) * 16
+    offsets = np.arange(len(pairs) + 1, dtype=np.int32) * (pairs.itemsize * pairs.shape[1])
     return pa.Array.from_buffers(pa.binary(), len(pairs), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
 
 
 def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
-    """(row, digest of the words, number of shingles, sketches) of rows (row, words)."""
+    """(row, digest of the words, number of shingles, sketches, bins) of rows (row, words)."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(1)
@@ -220,9 +225,12 @@ def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
             step = _mix(words * np.uint64(2 * j + 3) + _mix(place + np.uint64(j << 40)))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(step)])
             digest[:, j] = _mix(sums[offsets[1:]] - sums[offsets[:-1]] + sizes.astype(np.uint64))
+        owner = np.repeat(np.arange(len(sizes)), counts)
+        bins = np.bincount(owner * BINS + (shingles >> np.uint64(32)).astype(np.int64) % BINS, minlength=len(sizes) * BINS)
+        bins = np.minimum(bins, 255).astype(np.uint8).reshape(len(sizes), BINS)
         ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * s.sketches)
         listed = pa.ListArray.from_arrays(ends, pa.array(sketches.view(np.int64).ravel()))
-        return pa.RecordBatch.from_arrays([batch.column(0), _binary(digest), pa.array(counts.astype(np.int64)), listed], ["row", "digest", "n", "sketches"])
+        return pa.RecordBatch.from_arrays([batch.column(0), _binary(digest), pa.array(counts.astype(np.int64)), listed, _binary(bins)], ["row", "digest", "n", "sketches", "bins"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +242,25 @@ def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
                 at = to
         free_memory()
 
-    return rows.mapInArrow(run, "row bigint, digest binary, n bigint, sketches array<bigint>")
+    return rows.mapInArrow(run, "row bigint, digest binary, n bigint, sketches array<bigint>, bins binary")
+
+
+def _possible(pairs: DataFrame, features: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose counters of shingles allow `s.similarity`: the sum of the lesser ones bounds what is in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in (batch.column(4), batch.column(5)))
+            least = np.minimum(x, y)
+            most = least.sum(axis=1, dtype=np.int64)
+            # a full counter says nothing
+            good = (most >= s.similarity * (total - most)) | (least == 255).any(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    with_a = pairs.join(features.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")), "a")
+    both = with_a.join(features.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b")), "b")
+    return both.select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -257,6 +283,35 @@ def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _hub_pairs(members: DataFrame, turn: int, s: Settings) -> DataFrame:
+    """Pairs (a, b) of one member of each component with the hub of its bucket."""
+    mark = F.xxhash64("node", "bucket", F.lit(turn))
+    chosen = members.groupBy("bucket", "label").agg(F.min(F.struct(mark.alias("m"), "node", "n")).alias("x"))
+    hub = chosen.groupBy("bucket").agg(F.min(F.struct("x.m", "x.node", "x.n", "label")).alias("hub"))
+    met = chosen.join(hub, "bucket").where(F.col("hub.label") != F.col("label"))
+    near = F.least("x.n", "hub.n") >= s.similarity * F.greatest("x.n", "hub.n")
+    return met.where(near).select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
+
+
+def _all_pairs(members: DataFrame, s: Settings) -> DataFrame:
+    """Every pair (a, b) of members of a bucket, of different components, whose numbers of shingles are near enough.
+
+    One side is in its own band of lengths, the other in that and both next ones; a large group is cut
+    into parts on one side, each of which meets all of the other.
+    """
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    band = F.floor(F.log("n") / (math.log(1 / s.similarity) + 0.01))
+    left = members.join(mixed, "bucket").withColumn("band", band)
+    sizes = left.groupBy("bucket", "band").agg((F.count("*") / GROUP).cast("int").alias("cuts"))
+    left = left.join(sizes, ["bucket", "band"])
+    right = left.select("bucket", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), "node", "n", "label")
+    right = right.join(sizes, ["bucket", "band"]).select("bucket", "band", F.explode(F.sequence(F.lit(0), F.col("cuts"))).alias("part"), F.struct("node", "n", "label").alias("y"))
+    left = left.withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("cuts") + 1).cast("int"))
+    met = left.join(right, ["bucket", "band", "part"]).where((F.col("node") < F.col("y.node")) & (F.col("label") != F.col("y.label")))
+    near = F.least("n", "y.n") >= s.similarity * F.greatest("n", "y.n")
+    return met.where(near).select(F.col("node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> tuple[DataFrame, str]:
     """`docs` with each row's class id, the `key` of the class's first row, in a new column whose name comes second."""
     numbered = number_rows(docs, row := fresh(docs, "_row"))
@@ -273,31 +328,25 @@ def near_duplicate_classes(docs: DataFrame, s: Settings = Settings(), key: str =
     likely = texts.where(bloom.may_contain(wanted, F.col("row"), 1 << 16))
     words = materialize(likely.select("row", _word_hashes(F.col("text"), F.hash, "int").alias("words")), "words")
     links, tried, labels = None, None, None
-    for turn in range(s.rounds):
-        mark = F.xxhash64("node", F.lit(turn))
-        if labels is None:
-            chosen = members.select("bucket", "node", "n", F.col("node").alias("label"))
-        else:
-            labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            best = labelled.groupBy("bucket", "label").agg(F.min(F.struct(mark.alias("m"), "node", "n")).alias("x"))
-            chosen = best.select("bucket", "x.node", "x.n", "label")
-        hub = chosen.groupBy("bucket").agg(F.min(F.struct(mark.alias("m"), "node", "n", "label")).alias("hub"))
-        met = chosen.join(hub, "bucket").where(F.col("hub.label") != F.col("label"))
-        near = F.least("n", "hub.n") >= s.similarity * F.greatest("n", "hub.n")
-        pairs = met.where(near).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    for turn in range(s.rounds + 1):
+        chosen = members.select("bucket", "node", "n", F.col("node").alias("label"))
+        if labels is not None:
+            labelled = members.join(labels, "node", "left")
+            chosen = labelled.select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+        pairs = _hub_pairs(chosen, turn, s) if turn < s.rounds else _all_pairs(chosen, s)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.limit(1).count():
-            break
-        found = materialize(_links(pairs, words, s), "links")
+            continue
+        found = materialize(_links(_possible(pairs, features, s), words, s), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        if not found.limit(1).count():
+            continue
         links = found if links is None else links.unionByName(found)
         if labels is not None:
             discard(labels)
-        labels = components(links) if links.limit(1).count() else None
-        if labels is None:
-            break
+        labels = components(links)
     if labels is None:
         named = nodes.select("digest", F.col("node").alias("first"))
     else:

@@ -120,3 +120,29 @@ def test_sketches_feel_order(spark):
     s = near_dups.Settings()
     a, b = (near_dups.sketch_texts(x, s).first()["sketches"] for x in (df, turned))
     assert sum(x == y for x, y in zip(a, b, strict=True)) < 12
+
+
+def shared_passage(rng, families):
+    """Pairs of near copies, one pair a family, that all have a passage in common."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for f in range(families):
+        own = [f"f{f}x{i}" for i in range(40)]
+        rows += [" ".join(passage + own), " ".join(passage + own[:-1] + ["end"])]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_all_pairs_of_a_crowded_bucket(spark):
+    rows = shared_passage(random.Random(3), 60)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    s = near_dups.Settings(sketches=1, picks=1)
+    hashed = df.select(F.col("doc_id").alias("row"), near_dups._word_hashes(F.col("text"), F.xxhash64, "bigint").alias("words"))
+    sketch = {r["row"]: r["sketches"][0] for r in near_dups.sketch_texts(hashed, s).collect()}
+    assert max(Counter(sketch.values()).values()) > 20  # many families in one bucket
+    family = lambda i: rows[i].split(" ")[60]
+    want = Counter((family(i), sketch[i]) for i in sketch)
+    want = {frozenset(i for i in sketch if (family(i), sketch[i]) == k) for k, n in want.items() if n > 1}
+    classed, name = near_dups.near_duplicate_classes(df, s)
+    out = classed.collect()
+    assert partition([r[name] for r in out], [r["doc_id"] for r in out]) == want
