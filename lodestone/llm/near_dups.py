@@ -284,11 +284,18 @@ def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def _hub_pairs(members: DataFrame, turn: int, s: Settings) -> DataFrame:
-    """Pairs (a, b) of one member of each component with the hub of its bucket."""
+    """Pairs (a, b) of one member of each component with the hub of its group.
+
+    Groups are the members of a bucket whose numbers of shingles lie in a band in which
+    any two are near enough; each member is in two bands that overlap by half.
+    """
+    place = F.log("n") / math.log(1 / s.similarity + 1e-3)
+    bands = F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)
     mark = F.xxhash64("node", "bucket", F.lit(turn))
-    chosen = members.groupBy("bucket", "label").agg(F.min(F.struct(mark.alias("m"), "node", "n")).alias("x"))
-    hub = chosen.groupBy("bucket").agg(F.min(F.struct("x.m", "x.node", "x.n", "label")).alias("hub"))
-    met = chosen.join(hub, "bucket").where(F.col("hub.label") != F.col("label"))
+    banded = members.select("bucket", F.explode(bands).alias("band"), "label", F.struct(mark.alias("m"), "node", "n").alias("x"))
+    chosen = banded.groupBy("bucket", "band", "label").agg(F.min("x").alias("x"))
+    hub = chosen.groupBy("bucket", "band").agg(F.min(F.struct("x.m", "x.node", "x.n", "label")).alias("hub"), F.count("*").alias("several")).where("several > 1")
+    met = chosen.join(hub, ["bucket", "band"]).where(F.col("hub.label") != F.col("label"))
     near = F.least("x.n", "hub.n") >= s.similarity * F.greatest("x.n", "hub.n")
     return met.where(near).select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
 

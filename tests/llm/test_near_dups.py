@@ -146,3 +146,15 @@ def test_all_pairs_of_a_crowded_bucket(spark):
     classed, name = near_dups.near_duplicate_classes(df, s)
     out = classed.collect()
     assert partition([r[name] for r in out], [r["doc_id"] for r in out]) == want
+
+
+def test_hubs_of_near_lengths(spark):
+    members = [("b", 10 * k + i, n, 10 * k + i) for k, n in enumerate((40, 100, 300, 900)) for i in range(5)]
+    df = spark.createDataFrame([(1, *m[1:]) for m in members], "bucket long, node long, n long, label long")
+    for turn in range(3):
+        met = near_dups._hub_pairs(df, turn, near_dups.Settings()).collect()
+        assert {x for r in met for x in (r["a"], r["b"])} == {m[1] for m in members}
+        assert all(r["a"] // 10 == r["b"] // 10 for r in met)
+    two = df.drop("bucket").crossJoin(spark.range(4).withColumnRenamed("id", "bucket"))
+    hubs = {frozenset(r) for r in near_dups._hub_pairs(two, 0, near_dups.Settings()).collect()}
+    assert len(hubs) > 16  # buckets take hubs of their own
