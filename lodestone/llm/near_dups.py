@@ -14,7 +14,8 @@ of shingles (`bins`) rule out pairs before their words are read, and never one t
 
 A link counts if the texts' words, aligned within the band of diagonals that the
 similarity allows, have enough shingles in common: matched / (all of both - matched) is
-at least `similarity`. Classes are the connected components of links that count.
+at least `similarity`. The alignment of fewest edits is tried first; where it falls short,
+the one that matches most shingles decides. Classes are the connected components of links that count.
 
 Defined results: null texts and texts without words are in classes of their own, row by
 row. Texts of fewer than five words match only copies. Texts are read whole. Repeated
@@ -166,6 +167,32 @@ def matched_shingles(a: list, b: list, width: int, most: int) -> int:
     return -1
 
 
+def most_matched(a: list, b: list, width: int, most: int, least: float) -> int:
+    """The most shingles that any alignment of at most `most` insertions and deletions matches; -1 if below `least`.
+
+    Row by row over the band of diagonals: the best score at a place, and that with a run of
+    1 to `width` (or more) matches behind it.
+    """
+    n, m, never = len(a), len(b), -(1 << 30)
+    x, y = np.asarray(a), np.asarray(b)
+    diagonals = np.arange(-most, most + 1)
+    best = np.where((diagonals >= 0) & (diagonals <= m), 0, never)
+    runs = [np.full(len(diagonals), never)] * width
+    for i in range(n):
+        at = diagonals + i
+        same = (at >= 0) & (at < m) & (y[np.clip(at, 0, m - 1)] == x[i])
+        before = [best, *runs]
+        runs = [np.where(same, before[r], never) for r in range(width - 1)]
+        runs.append(np.where(same, np.maximum(before[width - 1], before[width]) + 1, never))
+        best = np.append(best[1:], never)
+        for run in runs:
+            best = np.maximum(best, run)
+        best = np.maximum.accumulate(best)
+        if best[-1] + n - i - 1 < least - 1e-6:
+            return -1
+    return int(best[m - n + most])
+
+
 def alignment_similarity(a: list, b: list, s: Settings) -> float:
     """Of two lists of words; 0 where it must be below `s.similarity`."""
     if len(a) < s.width or len(b) < s.width:
@@ -176,6 +203,8 @@ def alignment_similarity(a: list, b: list, s: Settings) -> float:
     if abs(len(a) - len(b)) > most:
         return 0.0
     found = matched_shingles(a, b, s.width, most)
+    if found < s.similarity * (total - found):  # the shortest path isn't always the best one
+        found = max(found, most_matched(a, b, s.width, most, least))
     return found / (total - found) if found >= 0 else 0.0
 
 

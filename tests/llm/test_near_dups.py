@@ -158,3 +158,38 @@ def test_hubs_of_near_lengths(spark):
     two = df.drop("bucket").crossJoin(spark.range(4).withColumnRenamed("id", "bucket"))
     hubs = {frozenset(r) for r in near_dups._hub_pairs(two, 0, near_dups.Settings()).collect()}
     assert len(hubs) > 16  # buckets take hubs of their own
+
+
+def test_best_alignment_decides():
+    s = near_dups.Settings()
+    a = list(range(49))
+    b = a[:20] + [a[21]] + a[21:]
+    assert near_dups.alignment_similarity(a, b, s) == 0.8  # 40 of 50; along the fewest edits 39 of 51
+
+    def slow(a, b):
+        """Over all alignments."""
+        best = {(0, 0, 0): 0}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                for run in range(6):
+                    at = best.get((i, j, run))
+                    if at is None:
+                        continue
+                    onward = [((i + 1, j, 0), at), ((i, j + 1, 0), at)]
+                    if i < len(a) and j < len(b) and a[i] == b[j]:
+                        onward.append(((i + 1, j + 1, min(run + 1, 5)), at + (run >= 4)))
+                    for to, value in onward:
+                        best[to] = max(best.get(to, -1), value)
+        return max(best.get((len(a), len(b), run), -1) for run in range(6))
+
+    rng = random.Random(7)
+    for _ in range(60):
+        a = [rng.randrange(6) for _ in range(rng.randrange(20, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 3)):
+            b[rng.randrange(len(b))] = rng.randrange(6)
+        want = slow(a, b)
+        total = len(a) + len(b) - 8
+        assert near_dups.most_matched(a, b, 5, total, 0) == want
+        got = near_dups.alignment_similarity(a, b, s)
+        assert (got >= 0.8) == (want >= 0.8 * (total - want))
