@@ -109,7 +109,7 @@ NAMES = (
     ("ms-pl", "microsoft", f"microsoft public {_LIC}", "ms pl", "opensource org licenses? ms pl"),
     ("ms-rl", "microsoft", f"microsoft reciprocal {_LIC}", "ms rl", "opensource org licenses? ms rl"),
     ("unicode", "unicode", f"unicode {_LIC}", "unicode dfs 201[56]", "unicode org copyright"),
-    ("openrail-m", "openrail", f"(?:creativeml |bigscience )?open ?rail m(?: {_LIC})?", "openrail m", "huggingface co spaces bigscience license"),
+    ("openrail-m", "rail", f"(?:creativeml |bigscience )?open ?rail m(?: {_LIC})?", "openrail m", "huggingface co spaces bigscience license"),
 )
 
 #: Creative Commons: parts, versions. Their rules come from the parts.
@@ -143,7 +143,7 @@ def _rules() -> tuple[Rule, ...]:
 
 RULES = _rules()
 #: Every rule needs one of these in the line with a space at either end.
-GATE = ("licen", " cc ", "spdx", "creative", "cc0", "public domain", "reserved", "training", "rail", "unlicense", " org ", " net ", " com ", " co ", " se ", " eu ")
+GATE = ("licen", " cc ", "spdx", "creative", "cc0", "public domain", "reserved", "training", "rail", "unlicense", "mit no attribution", "bsd", " org ", " net ", " com ", " co ", " se ", " eu ")
 #: What a detection of each priority is worth.
 WORTH = (0.2, 0.5, 0.9, 1.0)
 

@@ -64,6 +64,44 @@ def test_license_base(spark, sf, tmp_path):
             assert labels == ["gpl-3.0-or-later"]
 
 
+def minimal_text(pattern, branch, most):
+    """A text that a rule's pattern matches: one branch of each choice, with all that is optional or nothing of it."""
+
+    def text(parsed):
+        out = ""
+        for kind, arg in parsed:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "NOT_LITERAL":
+                out += "x"
+            elif kind == "IN":
+                first, value = arg[0]
+                out += "x" if str(first) == "NEGATE" else chr(value if str(first) == "LITERAL" else value[0])
+            elif kind == "MAX_REPEAT":
+                low, high, body = arg
+                out += text(body) * (low if not most or low else 1)
+            elif kind == "SUBPATTERN":
+                out += text(arg[-1])
+            else:
+                assert kind == "BRANCH", kind
+                out += text(arg[1][min(branch, len(arg[1]) - 1)])
+        return out
+
+    return text(re._parser.parse(pattern))
+
+
+def test_every_license_rule_fires(spark):
+    rows = [(r.label, minimal_text(r.pattern, b, m)) for r in licenses.RULES for b in range(3) for m in (False, True)]
+    rows += [("0bsd", "Distributed under 0BSD"), ("0bsd", "zero-clause BSD"), ("mit-0", "MIT No Attribution"), ("openrail-m", "Open RAIL-M")]
+    rows = [(a, b) for a, b in dict.fromkeys(rows)]
+    missed = []
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "label string, text string"), "found").collect():
+        if r["label"] not in {s["label"] for s in r["found"]}:
+            missed.append((r["label"], r["text"]))
+    assert not missed
+
+
 def test_license_suppression(spark):
     df = spark.createDataFrame([("x licensed under the mit license y", "a")], "text string, licenses string")
     spans = licenses.scan_licenses(df).first()["_licenses"]
