@@ -1,15 +1,36 @@
 """A blocked Bloom filter out of DataFrame functions.
 
 A key belongs to one block of 64 bits and sets four of them. The filter is a single
-literal array of all blocks, whose number is fixed by a parameter, so its size doesn't
-grow with the keys; with more keys more strangers pass, and none of the keys is lost.
+literal array of all blocks. Blocks are counted out from the keys, four keys to a block,
+up to `MOST_BLOCKS`; at four keys one stranger in 200 passes. With more than
+16 keys to each of the most blocks the filter would tell little: then there is none, all keys
+pass, and the exact join behind it does the whole work. No key is ever lost.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Half a megabyte of bits.
+MOST_BLOCKS = 1 << 16
+
+
+class Filter(NamedTuple):
+    """`words` is None where all keys pass."""
+
+    words: Column | None
+    blocks: int
+
+    def may_contain(self, key: Column) -> Column:
+        """False only for keys that the filter doesn't have."""
+        if self.words is None:
+            return F.lit(True)
+        mask = _mask(key)
+        return F.get(self.words, _block(key, self.blocks)).bitwiseAND(mask) == mask
+
 
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
@@ -27,19 +48,18 @@ def number_array(numbers: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
 
 
-def build(keys: DataFrame, key: str, blocks: int = 1 << 14) -> Column:
-    """The filter of the values of a column: a literal array of `blocks` numbers.
+def build(keys: DataFrame, key: str, most: int = MOST_BLOCKS) -> Filter:
+    """The filter of the values of a column of a table that is cheap to read twice.
 
     What comes to the driver is at most one number for each block, whatever the keys are.
     """
-    some = keys.where(F.col(key).isNotNull()).groupBy(_block(F.col(key), blocks).alias("b")).agg(F.bit_or(_mask(F.col(key))).alias("m"))
+    known = keys.where(F.col(key).isNotNull())
+    count = known.count()
+    if count > 16 * most:
+        return Filter(None, 0)
+    blocks = min(most, 1 << max(0, (count // 4)).bit_length())
+    some = known.groupBy(_block(F.col(key), blocks).alias("b")).agg(F.bit_or(_mask(F.col(key))).alias("m"))
     words = [0] * blocks
     for row in some.collect():
         words[row["b"]] = row["m"]
-    return number_array(words)
-
-
-def may_contain(filter_words: Column, key: Column, blocks: int = 1 << 14) -> Column:
-    """False only for keys that the filter doesn't have."""
-    mask = _mask(key)
-    return F.get(filter_words, _block(key, blocks)).bitwiseAND(mask) == mask
+    return Filter(number_array(words), blocks)

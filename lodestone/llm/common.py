@@ -30,15 +30,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's `spark.checkpoint.dir`; only a session without one
-    (local tests) gets a temporary folder.
+    It is the session's `spark.checkpoint.dir`, or the folder of `setCheckpointDir`. Only a
+    session without either whose executors are threads of the driver (tests) gets a
+    temporary folder, the same for the whole application.
     """
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not context._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -116,6 +122,21 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def without_rows(numbered: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows of `numbered` (by `number_rows`) whose number isn't in the written table `gone` (_row).
+
+    Rows that a Bloom filter clears are passed on where they are read; only the others meet `gone`.
+    """
+    from . import bloom
+
+    may_go, at = bloom.build(gone, "_row"), fresh(numbered, "_gone")
+    gone = gone.select(F.col("_row").alias(at))
+    if may_go.words is None:
+        return numbered.join(gone, F.col(row) == F.col(at), "left_anti")
+    doubtful = may_go.may_contain(F.col(row))
+    return numbered.where(~doubtful).unionByName(numbered.where(doubtful).join(gone, F.col(row) == F.col(at), "left_anti"))
+
+
 def free_memory() -> None:
     """Gives back what a Python worker no longer uses; an idle worker is kept for a while, with all it holds."""
     import ctypes

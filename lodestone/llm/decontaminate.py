@@ -6,10 +6,11 @@ has fewer than four). A document that holds a window holds each of its shingles,
 one is enough to find it: the rarest. Shingles are ordered by how often they come in
 the benchmark, then by their length in letters, the longer first, then by hash.
 
-Document positions whose shingle may be some window's rarest (a Bloom filter of fixed
-size tells) carry the words around them into a join by shingle. Length and position
-say where the window would have to lie, and its words are compared there. What is
-shuffled are those positions, never texts.
+Texts are read once, for all sizes of shingles. Positions whose shingle may be some
+window's rarest (a Bloom filter sized by the benchmark tells; none beyond about a million
+windows, then every position is carried) carry the words around them into a join by
+shingle. Length and position say where the window would have to lie, and its words are
+compared there. What is shuffled are those positions, never texts.
 
 All of it is DataFrame functions.
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import count_words, fresh, let, number_rows, word_line
+from .common import fresh, let, materialize, number_rows, without_rows, word_line
 
 SHINGLE = 4
 
@@ -61,27 +62,30 @@ def rarest_shingles(windows: DataFrame, size: int) -> DataFrame:
     return each.join(often, "shingle").groupBy("window", "n").agg(F.min_by(F.struct("shingle", "at"), order).alias("x")).select("x.shingle", "x.at", "window", "n")
 
 
-def _candidates(docs: DataFrame, row: str, needed: DataFrame, size: int, width: int, blocks: int) -> DataFrame:
-    """Places of documents where a window's words stand: (_row, start, n, window)."""
-    bits = bloom.build(needed, "shingle", blocks)
+def _looked_at(needed: DataFrame, sizes: list[int], width: int):
+    """A function from a text's words to the places whose shingle may be needed, each with the words around it."""
+    bits = bloom.build(needed, "shingle")
 
     def likely(words: Column) -> Column:
-        """Positions that pass the filter, each with the words around it."""
-
         def around(i: Column, s: Column) -> Column:
             first = F.greatest(i - width + 1, F.lit(0))
-            return F.struct(s.alias("shingle"), i.alias("at"), first.alias("first"), F.slice(words, first + 1, 2 * width).alias("near"))
+            return F.struct(s.alias("shingle"), i.alias("place"), first.alias("first"), F.slice(words, first + 1, 2 * width).alias("near"))
 
         def passing(shingles: Column) -> Column:
-            marked = F.transform(shingles, lambda s, i: F.when(bloom.may_contain(bits, s, blocks), i))
+            marked = F.transform(shingles, lambda s, i: F.when(bits.may_contain(s), i))
             return F.transform(F.filter(marked, lambda i: i.isNotNull()), lambda i: around(i, F.get(shingles, i)))
 
-        return let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: let(_shingles(hashes, size), passing))
+        def of_sizes(hashes: Column) -> Column:
+            return F.concat(*(let(_shingles(hashes, size), passing) for size in sizes))
+
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), let(F.transform(words, lambda w: F.xxhash64(w)), of_sizes).alias("likely"))
 
-    # a row number made here keeps filters on the places from being evaluated below, on the texts again
-    found = docs.select(F.col(row).alias("_row"), let(_words(word_line(F.col("text"))), likely).alias("_likely"), F.monotonically_increasing_id().alias("_here"))
-    places = found.where("_here >= 0").select("_row", F.explode("_likely").alias("x")).select("_row", "x.*")
-    exact = places.withColumnRenamed("at", "place").join(needed, "shingle")
+    return likely
+
+
+def _hits(read: DataFrame, needed: DataFrame) -> DataFrame:
+    """Places of documents where a window's words stand: (_row, start, n, window)."""
+    exact = read.select("_row", F.explode("read.likely").alias("x")).select("_row", "x.*").join(needed, "shingle")
     start = F.col("place") - F.col("at")
     inside = start - F.col("first")
     fits = (start >= 0) & (inside + F.col("n") <= F.size("near"))
@@ -101,41 +105,62 @@ def _union_length(places: Column) -> Column:
     )
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, blocks: int = 1 << 14) -> DataFrame:
-    """`docs` with n_words, n_hit, item_ids (sorted strings) and contaminated.
+def _judge(numbered: DataFrame, row: str, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
+    """What one reading of the texts gives, and what is hit: (_row, hit, longest, ids); None without any window.
 
-    A document is contaminated if at least one word in `share` of its words is hit.
+    The first has the columns of `numbered` but for text, under `doc`, besides _row and `read`.
     """
-    row = fresh(docs, "_row")
     windows = item_windows(benchmark, width)
     distinct = windows.select("window", "n").distinct()
     sizes = [r["s"] for r in distinct.select(F.least("n", F.lit(SHINGLE)).alias("s")).distinct().orderBy("s").collect()]
-    numbered = number_rows(docs, row)
-    names = {n: fresh(docs, n) for n in ("n_words", "n_hit", "item_ids", "contaminated")}
-    base = numbered.withColumn(names["n_words"], count_words(word_line(F.col("text"))))
-    hits = None
+    other = F.struct(*(c for c in numbered.columns if c not in ("text", row)), F.lit(0).alias(fresh(numbered, "_none")))
+    words = _words(word_line(F.col("text")))
+    if not sizes:
+        return numbered.select(F.col(row).alias("_row"), other.alias("doc"), F.struct(F.size(words).cast("bigint").alias("n_words")).alias("read")), None
+    needed = None
     for size in sizes:
-        own = distinct.where(F.least("n", F.lit(SHINGLE)) == size)
-        found = _candidates(numbered, row, rarest_shingles(own, size), size, width, blocks)
-        hits = found if hits is None else hits.unionByName(found)
-    no_ids = F.array().cast("array<string>")
-    if hits is None:
-        return base.drop(row).withColumns({names["n_hit"]: F.lit(0).cast("bigint"), names["item_ids"]: no_ids, names["contaminated"]: F.lit(False)})
-    named = hits.join(windows.select("window", F.col("item_id").cast("string").alias("item_id")), "window")
-    at, hit_name, ids_name = (fresh(docs, n) for n in ("_at", "_hit", "_ids"))
+        own = rarest_shingles(distinct.where(F.least("n", F.lit(SHINGLE)) == size), size)
+        needed = own if needed is None else needed.unionByName(own)
+    needed = materialize(needed, "prefixes")
+    likely = _looked_at(needed, sizes, width)
+    read = materialize(numbered.select(F.col(row).alias("_row"), other.alias("doc"), let(words, likely).alias("read")), "read")
+    named = _hits(read, needed).join(windows.select("window", F.col("item_id").cast("string").alias("item_id")), "window")
     judged = named.groupBy("_row").agg(
-        F.collect_set(F.struct("start", "n")).alias("places"), F.array_sort(F.collect_set("item_id")).alias("ids")
-    ).select(F.col("_row").alias(at), _union_length(F.col("places")).alias(hit_name), F.col("ids").alias(ids_name))
-    out = base.join(judged, F.col(row) == F.col(at), "left")
-    hit = F.coalesce(F.col(hit_name), F.lit(0).cast("bigint"))
-    return out.withColumns({
-        names["n_hit"]: hit, names["item_ids"]: F.coalesce(ids_name, no_ids),
-        names["contaminated"]: (hit > 0) & (share * hit >= F.col(names["n_words"])),
-    }).drop(row, at, hit_name, ids_name)
+        F.collect_set(F.struct("start", "n")).alias("places"), F.array_sort(F.collect_set("item_id")).alias("ids"), F.max("n").alias("longest")
+    )
+    return read, judged.select("_row", _union_length(F.col("places")).alias("hit"), "longest", "ids")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
+    """`docs` without the texts, with n_words, n_hit, item_ids (sorted strings) and contaminated.
+
+    A document is contaminated if at least one word in `share` of its words is hit.
+    """
+    row = fresh(docs, "_row")
+    names = {n: fresh(docs, n) for n in ("n_words", "n_hit", "item_ids", "contaminated")}
+    read, judged = _judge(number_rows(docs, row), row, benchmark, width)
+    none, no_ids = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    own = [F.col("doc")[c].alias(c) for c in docs.columns if c != "text"] + [F.col("read.n_words").alias(names["n_words"])]
+    if judged is None:
+        return read.select(*own, none.alias(names["n_hit"]), no_ids.alias(names["item_ids"]), F.lit(False).alias(names["contaminated"]))
+    hit = F.coalesce(F.col("hit"), none)
+    return read.join(judged, "_row", "left").select(
+        *own, hit.alias(names["n_hit"]), F.coalesce("ids", no_ids).alias(names["item_ids"]),
+        ((hit > 0) & (share * hit >= F.col("read.n_words"))).alias(names["contaminated"]),
+    )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """The documents that aren't contaminated, with the columns of `docs`."""
-    judged = find_contamination(docs, benchmark, width, share)
-    flag = next(c for c in judged.columns if c not in docs.columns and c.strip("_") == "contaminated")
-    return judged.where(~F.col(flag)).select(*docs.columns)
+    """The documents without a benchmark passage, with the columns of `docs`.
+
+    A document goes if it holds a window of `width` words. Windows of shorter items may be
+    a common phrase: those count by the share of words that all hits make up.
+    """
+    row = fresh(docs, "_row")
+    numbered = number_rows(docs, row)
+    read, judged = _judge(numbered, row, benchmark, width)
+    if judged is None:
+        return docs
+    met = read.select("_row", "read.n_words").join(judged, "_row")
+    gone = met.where((F.col("longest") == width) | (share * F.col("hit") >= F.col("n_words"))).select("_row")
+    return without_rows(numbered, row, materialize(gone, "gone")).select(*docs.columns)

@@ -360,8 +360,7 @@ def near_duplicate_classes(docs: DataFrame, s: Settings = Settings(), key: str =
     keyed = nodes.where(F.col("n") > 1).select("node", "n", F.explode("sketches").alias("bucket"))
     several = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = materialize(keyed.join(several, "bucket"), "buckets")
-    wanted = bloom.build(members, "node", 1 << 16)
-    likely = texts.where(bloom.may_contain(wanted, F.col("row"), 1 << 16))
+    likely = texts.where(bloom.build(members.select("node").distinct(), "node").may_contain(F.col("row")))
     words = materialize(likely.select("row", _word_hashes(F.col("text"), F.hash, "int").alias("words")), "words")
     links, tried, labels = None, None, None
     for turn in range(s.rounds + 1):

@@ -293,8 +293,7 @@ def repeated_places(docs: DataFrame, row: str, s: Settings = Settings()) -> Data
     counted = materialize(classes.groupBy("hash").agg(F.count("*").alias("members")).where("members > 1"), "counted")
     different = classes.join(counted, "hash").select("hash", "context", "members", "before", "behind", F.col("at.row").alias("row"), F.col("at.place").alias("place"))
     different = materialize(different, "different")
-    wanted = bloom.build(different, "row", 1 << 16)
-    likely = texts.where(bloom.may_contain(wanted, F.col("row"), 1 << 16))
+    likely = texts.where(bloom.build(different.select("row").distinct(), "row").may_contain(F.col("row")))
     bytes_ = F.substring(F.col("text").cast("binary"), F.col("place") - F.col("before") + 1, F.col("before") + F.col("behind") + s.gram)
     held = materialize(different.join(likely, "row").select("hash", "context", "members", "before", "behind", bytes_.alias("bytes")), "bytes")
     gathered = F.collect_list(F.struct("context", "before", "bytes")).alias("members")
@@ -348,7 +347,8 @@ def _kept(text: Column, spans: Column) -> Column:
 def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """`docs` without the texts, with n_bytes, n_removed, spans and kept_sha256 of each whole text.
 
-    Only texts that lose a part and keep a part are shuffled.
+    Of up to a million texts that lose a part, only those (and one in some hundred others) are
+    shuffled; beyond that, all texts are.
     """
     row = fresh(docs, "_row")
     names = {n: fresh(docs, n) for n in ("n_bytes", "n_removed", "spans", "kept_sha256")}
@@ -357,8 +357,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     length = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, p: acc + p["end"] - p["start"])
     sized = found.select("row", "spans", length.alias("removed"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    wanted = bloom.build(found, "row", 1 << 16)
-    likely = numbered.select(F.col(row).alias("row"), text.alias("text")).where(bloom.may_contain(wanted, F.col("row"), 1 << 16))
+    likely = numbered.select(F.col(row).alias("row"), text.alias("text")).where(bloom.build(found, "row").may_contain(F.col(row)))
     partly = sized.where(F.size("spans") > 0).join(likely, "row").select("row", "spans", "removed", F.sha2(_kept(F.col("text"), F.col("spans")), 256).alias("kept"))
     at = f"{row}_"
     measured = numbered.withColumns({names["n_bytes"]: F.octet_length(text).cast("bigint"), names["kept_sha256"]: F.sha2(text.cast("binary"), 256)})

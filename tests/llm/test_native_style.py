@@ -193,11 +193,14 @@ def test_url_rules(spark, sf):
 
 def test_bloom_loses_no_key(spark):
     keys = spark.range(3000).select((F.col("id") * 2).cast("string").alias("k"))
-    words = bloom.build(keys, "k", 256)
-    some = spark.range(6000).select(F.col("id").cast("string").alias("k")).where(bloom.may_contain(words, F.col("k"), 256))
-    assert some.where("cast(k as long) % 2 = 0").count() == 3000
-    few = bloom.build(keys.limit(20), "k", 256)
-    assert some.where(bloom.may_contain(few, F.col("k"), 256)).count() < 200
+    every = spark.range(6000).select(F.col("id").cast("string").alias("k"))
+    for most in (1 << 16, 256, 16):
+        some = every.where(bloom.build(keys, "k", most).may_contain(F.col("k")))
+        assert some.where("cast(k as long) % 2 = 0").count() == 3000
+        assert some.count() < 3100 if most > 256 else some.count() <= 6000
+    assert bloom.build(keys, "k", 16).words is None
+    few = bloom.build(keys.limit(20), "k")
+    assert every.where(few.may_contain(F.col("k"))).count() < 200
 
 
 # decontamination
@@ -222,11 +225,20 @@ def contaminated(docs, items, width=13):
         yield doc_id, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
+def dropped(docs, items, width=13):
+    """Of documents that a filter drops: contaminated, or a window of full width anywhere."""
+    full = {tuple(w[i : i + width]) for w in (words_of(t) for _, t in items) for i in range(len(w) - width + 1)}
+    for (_, text), row in zip(docs, contaminated(docs, items, width), strict=True):
+        w = words_of(text)
+        yield row[-1] or any(tuple(w[i : i + width]) in full for i in range(len(w) - width + 1))
+
+
 @pytest.mark.parametrize("extra", [[], [(900, "the"), (901, "of the"), (902, "a b c"), (903, "one two three four five"), (904, None), (905, "..."), (906, "x " * 40), (906, "the"), (None, "of the")]])
 def test_decontamination(spark, sf, tmp_path, extra):
     docs = [(d["doc_id"], d["text"]) for d in table(sf, "documents")]
     docs += [(10_000, None), (10_001, ""), (10_002, "x " * 100), (10_003, "One, two; THREE four five"), (10_003, "a b c a b c"), (10_004, "x " * 39)]
     docs += [(20_000 + i, f"start {b['text']} end") for i, b in enumerate(table(sf, "benchmark"))]
+    docs += [(30_000, "long " * 3000 + table(sf, "benchmark")[3]["text"] + " text" * 70_000), (30_001, "plain words " * 50_000)]
     items = [(b["item_id"], b["text"]) for b in table(sf, "benchmark")] + extra
     spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -234,7 +246,7 @@ def test_decontamination(spark, sf, tmp_path, extra):
     assert got == sorted(contaminated(docs, items))
     df = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("N_Hit", F.lit("x")).withColumn("_hit", F.lit(0)).withColumn("_row", F.lit("r"))
     clean = decontaminate.keep_clean(df, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
-    assert clean.columns == df.columns and clean.count() == sum(not g[-1] for g in got)
+    assert clean.columns == df.columns and clean.count() == sum(not gone for gone in dropped(docs, items))
 
 
 def test_decontamination_without_items(spark, sf):

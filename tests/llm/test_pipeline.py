@@ -9,7 +9,7 @@ from lodestone.llm.queries import ORACLES, QUERIES
 from tests.compare import connect, same
 
 from .test_free_style import check_pieces
-from .test_native_style import contaminated
+from .test_native_style import dropped, words_of
 from .test_near_dups import brute_classes
 
 
@@ -36,8 +36,11 @@ def test_stages(spark):
             roots = brute_classes([before[i] for i in ids])
             assert sorted(kept) == sorted(ids[r] for r in set(roots))
         elif name == "decontamination":
-            bad = {row[0] for row in contaminated(list(before.items()), items) if row[-1]}
+            bad = {d for d, gone in zip(before, dropped(list(before.items()), items), strict=True) if gone}
             assert bad and set(before) - set(kept) == bad
+            windows = {tuple(w[i : i + 13]) for w in (words_of(t) for _, t in items) for i in range(len(w) - 12)}
+            left = (words_of(t) for t in kept.values())
+            assert not any(tuple(w[i : i + 13]) in windows for w in left for i in range(len(w) - 12))
         else:
             assert set(kept) == set(before)
             changed = {d for d in kept if kept[d] != before[d]}
