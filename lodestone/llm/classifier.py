@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -141,13 +141,15 @@ def score_texts(texts, model: Model, cache: dict) -> np.ndarray:
 
 def scorer(spark: SparkSession, model: Model):
     """A vectorised function from a text column to the chance of label 1."""
-    shared = spark.sparkContext.broadcast(model)
+    # plain values: a worker without this package can read them
+    shared = spark.sparkContext.broadcast((asdict(model.settings), model.margins, model.bias))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict = {}
+        settings, margins, bias = shared.value
+        own, cache = Model(Settings(**settings), margins, bias), {}
         for texts in batches:
-            yield pd.Series(score_texts(texts, shared.value, cache))
+            yield pd.Series(score_texts(texts, own, cache))
 
     return score
 

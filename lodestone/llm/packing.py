@@ -56,7 +56,8 @@ class Tokens:
     The file's rules drop white space and never join tokens across it, nor across the
     place where letters end and other signs begin. So a text's ids are those of its
     strings between spaces and line ends, one after another, and a string of letters
-    with signs behind it has those of the letters, then those of the signs.
+    with signs behind it has those of the letters, then those of the signs. A text that
+    has the name of one of the vocabulary's added tokens goes to the tokenizer whole.
     """
 
     SIGNS = ".,;:!?*$%&#|\")"
@@ -66,7 +67,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.known = most, {}
 
     @classmethod
@@ -94,6 +95,8 @@ class Tokens:
 
     def ids(self, text: str) -> np.ndarray:
         known = self.known
+        if any(name in text or name in text.lower() for name in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if _below_256(text):
             text = text.lower()
         strings = text.replace("\n", " ").split(" ")
