@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,26 +49,45 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Folders written by `materialize` since each open `scratch` began, the innermost last.
+_SCRATCH: list[set[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are written inside, unless they are written to be kept."""
+    _SCRATCH.append(set())
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes `df` as Parquet into the shared folder and returns a scan of it.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation. `keep` is for
+    tables that are read after the `scratch` around has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of `materialize` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/lodestone-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, parent)
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -118,7 +139,7 @@ def number_rows(df: DataFrame, name: str) -> DataFrame:
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     if not _steady(df._jdf.queryExecution().optimizedPlan()):
-        df = materialize(df, "rows")
+        df = materialize(df, "rows", keep=True)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import fresh, let, materialize, number_rows, without_rows, word_line
+from .common import fresh, let, materialize, number_rows, scratch, without_rows, word_line
 
 SHINGLE = 4
 
@@ -105,7 +105,7 @@ def _union_length(places: Column) -> Column:
     )
 
 
-def _judge(numbered: DataFrame, row: str, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
+def _judge(numbered: DataFrame, row: str, benchmark: DataFrame, width: int, keep: bool) -> tuple[DataFrame, DataFrame | None]:
     """What one reading of the texts gives, and what is hit: (_row, hit, longest, ids); None without any window.
 
     The first has the columns of `numbered` but for text, under `doc`, besides _row and `read`.
@@ -121,9 +121,9 @@ def _judge(numbered: DataFrame, row: str, benchmark: DataFrame, width: int) -> t
     for size in sizes:
         own = rarest_shingles(distinct.where(F.least("n", F.lit(SHINGLE)) == size), size)
         needed = own if needed is None else needed.unionByName(own)
-    needed = materialize(needed, "prefixes")
+    needed = materialize(needed, "prefixes", keep=keep)
     likely = _looked_at(needed, sizes, width)
-    read = materialize(numbered.select(F.col(row).alias("_row"), other.alias("doc"), let(words, likely).alias("read")), "read")
+    read = materialize(numbered.select(F.col(row).alias("_row"), other.alias("doc"), let(words, likely).alias("read")), "read", keep=keep)
     named = _hits(read, needed).join(windows.select("window", F.col("item_id").cast("string").alias("item_id")), "window")
     judged = named.groupBy("_row").agg(
         F.collect_set(F.struct("start", "n")).alias("places"), F.array_sort(F.collect_set("item_id")).alias("ids"), F.max("n").alias("longest")
@@ -138,7 +138,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, s
     """
     row = fresh(docs, "_row")
     names = {n: fresh(docs, n) for n in ("n_words", "n_hit", "item_ids", "contaminated")}
-    read, judged = _judge(number_rows(docs, row), row, benchmark, width)
+    read, judged = _judge(number_rows(docs, row), row, benchmark, width, True)
     none, no_ids = F.lit(0).cast("bigint"), F.array().cast("array<string>")
     own = [F.col("doc")[c].alias(c) for c in docs.columns if c != "text"] + [F.col("read.n_words").alias(names["n_words"])]
     if judged is None:
@@ -158,9 +158,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: in
     """
     row = fresh(docs, "_row")
     numbered = number_rows(docs, row)
-    read, judged = _judge(numbered, row, benchmark, width)
-    if judged is None:
-        return docs
-    met = read.select("_row", "read.n_words").join(judged, "_row")
-    gone = met.where((F.col("longest") == width) | (share * F.col("hit") >= F.col("n_words"))).select("_row")
-    return without_rows(numbered, row, materialize(gone, "gone")).select(*docs.columns)
+    with scratch(docs.sparkSession):
+        read, judged = _judge(numbered.select(row, "text"), row, benchmark, width, False)
+        if judged is None:
+            return docs
+        met = read.select("_row", "read.n_words").join(judged, "_row")
+        gone = met.where((F.col("longest") == width) | (share * F.col("hit") >= F.col("n_words"))).select("_row")
+        gone = materialize(gone, "gone", keep=True)
+    return without_rows(numbered, row, gone).select(*docs.columns)

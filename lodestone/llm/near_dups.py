@@ -4,18 +4,24 @@ A text is its lower-cased words; shingles are five words in a row, labelled with
 often they occurred before. A sketch takes the few labelled shingles with the least
 hashes and keeps them in the order of the text, so it agrees where two texts agree in
 what they say and in its order: the chance falls with edits and with rearrangement.
-Several sketches are taken; texts that share one are candidates.
-
-Copies (the same words) collapse first. In a bucket of texts that share a sketch, a few
-turns link a member of each component to a hub, so that a large group costs a link for
-each member. Then all pairs of members that are still in different components are
-compared: no candidate pair is left out, and classes don't depend on the hubs. Counters
-of shingles (`bins`) rule out pairs before their words are read, and never one that counts.
-
-A link counts if the texts' words, aligned within the band of diagonals that the
-similarity allows, have enough shingles in common: matched / (all of both - matched) is
-at least `similarity`. The alignment of fewest edits is tried first; where it falls short,
-the one that matches most shingles decides. Classes are the connected components of links that count.
+Several sketches are taken; texts that share one are in a bucket, and are candidates.
+
+Two texts are linked if an alignment of their words, within the band of diagonals that the
+bound allows, shows one of two things. Either it takes at most a share `edits` of the
+longer text's words as edits (a word put in, left out or replaced). Or it has enough
+shingles in common: matched / (all of both - matched) is at least `similarity`; the
+alignment of fewest insertions and deletions is tried first; where it falls short, the one that
+matches most shingles decides. Classes are the connected components of links.
+
+Copies (the same words) collapse first. In a bucket, a few turns link a member of each
+component to a hub, so that a large group costs a link for each member. Then the pairs of
+members that are still in different components are settled, all of them: in a bucket of up
+to `SMALL` members pair by pair; for members of larger ones by an exact set join. Linked
+texts have at least about 0.8 of the longer one's pairs of neighbouring words in common
+(`least_grams`), so they share one of each text's rarest ones, as many as it can lack and one more:
+only texts that share such a prefix meet, in any bucket. Counters of word pairs (`bins`)
+rule out pairs before their words are read, and never one that counts. So no candidate pair is left
+out, and classes don't depend on the hubs.
 
 Defined results: null texts and texts without words are in classes of their own, row by
 row. Texts of fewer than five words match only copies. Texts are read whole. Repeated
@@ -35,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import discard, free_memory, fresh, materialize, number_rows, ship_by_value, word_line
+from .common import free_memory, fresh, materialize, number_rows, scratch, ship_by_value, word_line
 from .components import components
 
 ship_by_value(__name__)
@@ -43,18 +49,30 @@ ship_by_value(__name__)
 
 #: Words handled at once, unless a single text has more.
 BLOCK = 400_000
-#: Members of a bucket and band on one side of a join for all pairs, about.
-GROUP = 256
-#: Counters of shingles in a text's `bins`.
+#: Members of a bucket that are compared pair by pair; larger ones go into the set join.
+SMALL = 12
+#: Counters of word pairs in a text's `bins`.
 BINS = 256
 
 
 class Settings(NamedTuple):
     width: int = 5
-    sketches: int = 20
-    picks: int = 3
+    sketches: int = 24
+    picks: int = 2
     similarity: float = 0.8
-    rounds: int = 3
+    edits: float = 0.1
+    rounds: int = 2
+    small: int = SMALL
+
+
+def least_grams(words, s: Settings):
+    """How many word pairs (of `words` - 1) a text of so many words has in common with any text linked to it that isn't longer.
+
+    An edit takes two at most; matched shingles that make up the similarity stand in one run at worst.
+    """
+    edited = words - 1 - 2 * np.floor(s.edits * words + 1e-9)
+    alike = np.ceil(s.similarity * (words - s.width + 1) - 1e-6) + s.width - 2
+    return np.minimum(edited, alike)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,8 +81,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled shingles of texts (slices of `words`), text after text, and how many each has.
+def plain_shingles(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of shingles of texts (slices of `words`), text after text, the text of each, and how many each text has.
 
     A text of fewer words than `width` has one shingle, of all its words.
     """
@@ -79,7 +97,12 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wid
         inside = at < reach
         values = np.where(inside, words[np.minimum(at, max(len(words) - 1, 0))] if len(words) else 0, np.uint64(7))
         shingles = _mix(shingles * odd + values + np.uint64(j + 1))
-    # how many equal shingles of the same text come before
+    return shingles, owner, counts
+
+
+def shingle_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same shingles, labelled with how often they came before in their text, and how many each text has."""
+    shingles, owner, counts = plain_shingles(words, starts, sizes, width)
     order = np.argsort(shingles ^ _mix(owner.astype(np.uint64) + np.uint64(1)), kind="stable")
     same = np.zeros(len(order), bool)
     if len(order) > 1:
@@ -88,7 +111,7 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wid
     run = place - np.maximum.accumulate(np.where(same, 0, place))
     labels = np.empty(len(order), np.uint64)
     labels[order] = run.astype(np.uint64)
-    return np.where(labels > 0, _mix(shingles + labels * odd), shingles), counts
+    return np.where(labels > 0, _mix(shingles + labels * np.uint64(0x9E3779B97F4A7C15)), shingles), counts
 
 
 def order_sketches(shingles: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
@@ -103,7 +126,7 @@ def order_sketches(shingles: np.ndarray, counts: np.ndarray, s: Settings) -> np.
     want = np.minimum(counts, s.picks)
     for j in range(s.sketches):
         seed = _mix(np.array([j + 1], np.uint64) * np.uint64(0xD6E8FEB86659FD93))[0]
-        hashed = _mix(shingles ^ seed)
+        hashed = shingles * (seed | np.uint64(1))  # shingles are mixed already
         at = np.flatnonzero(hashed <= bar)
         few = np.flatnonzero(np.bincount(owner[at], minlength=len(counts)) < want)
         if len(few):
@@ -193,6 +216,47 @@ def most_matched(a: list, b: list, width: int, most: int, least: float) -> int:
     return int(best[m - n + most])
 
 
+def edits_within(a: list, b: list, most: int) -> int:
+    """The fewest words to put in, leave out or replace that turn `a` into `b`; -1 if more than `most`.
+
+    Column by column over the band of diagonals that `most` edits can reach. A column's cells are
+    bits: where the next one down is one more (`up`) or one less (`down`) than it; the band moves down
+    one row with each column. The sum of steps along the last cell's diagonal is the answer.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    head, short = 0, len(b)
+    while head < short and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < short - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    found = len(a) - len(b)
+    if found > most:
+        return -1
+    band = (1 << (2 * most + 1)) - 1
+    watched = 1 << (found + most)
+    where: dict = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    down = (1 << most) - 1  # above the first row, where nothing is, each cell is one less than that over it
+    up = band ^ down
+    for j, w in enumerate(b):
+        same = where.get(w, 0)
+        same = (same >> (j - most) if j >= most else same << (most - j)) & band
+        equal = ((((same & up) + up) ^ up) | same | down) & band  # as much as the cell up left
+        if not equal & watched:
+            found += 1
+            if found > most:
+                return -1
+        right_up = down | (band ^ (equal | up) & band)
+        right_down = equal & up
+        up = (right_down | (band ^ ((equal >> 1) | right_up))) & band
+        down = (equal >> 1) & right_up
+    return found
+
+
 def alignment_similarity(a: list, b: list, s: Settings) -> float:
     """Of two lists of words; 0 where it must be below `s.similarity`."""
     if len(a) < s.width or len(b) < s.width:
@@ -226,6 +290,21 @@ def shared_at_most(a: np.ndarray, b: np.ndarray, width: int) -> int:
     return int((np.searchsorted(y, x, "right") - np.searchsorted(y, x, "left") > nth).sum())
 
 
+def linked(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
+    """Whether two texts, as numbers for words, are near enough."""
+    if len(x) < s.width or len(y) < s.width:
+        return bool(np.array_equal(x, y))
+    longer = max(len(x), len(y))
+    if shared_at_most(x, y, 2) < least_grams(longer, s):
+        return False
+    a, b = x.tolist(), y.tolist()
+    if edits_within(a, b, int(s.edits * longer + 1e-9)) >= 0:
+        return True
+    total = len(x) + len(y) - 2 * (s.width - 1)
+    most = shared_at_most(x, y, s.width)
+    return most >= s.similarity * (total - most) and alignment_similarity(a, b, s) >= s.similarity
+
+
 def _word_hashes(text: Column, of, kind: str) -> Column:
     line = word_line(text)
     return F.when(line == "", F.array().cast(f"array<{kind}>")).otherwise(F.transform(F.split(line, " "), lambda w: of(w)))
@@ -254,8 +333,8 @@ def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
             step = _mix(words * np.uint64(2 * j + 3) + _mix(place + np.uint64(j << 40)))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(step)])
             digest[:, j] = _mix(sums[offsets[1:]] - sums[offsets[:-1]] + sizes.astype(np.uint64))
-        owner = np.repeat(np.arange(len(sizes)), counts)
-        bins = np.bincount(owner * BINS + (shingles >> np.uint64(32)).astype(np.int64) % BINS, minlength=len(sizes) * BINS)
+        grams, owner, _ = plain_shingles(words, starts, sizes, 2)
+        bins = np.bincount(owner * BINS + (grams >> np.uint64(32)).astype(np.int64) % BINS, minlength=len(sizes) * BINS)
         bins = np.minimum(bins, 255).astype(np.uint8).reshape(len(sizes), BINS)
         ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * s.sketches)
         listed = pa.ListArray.from_arrays(ends, pa.array(sketches.view(np.int64).ravel()))
@@ -275,16 +354,15 @@ def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, features: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose counters of shingles allow `s.similarity`: the sum of the lesser ones bounds what is in common."""
+    """The pairs (a, b) whose counters of word pairs allow a link: the sum of the lesser ones bounds what is in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            longer = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) + s.width - 1
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in (batch.column(4), batch.column(5)))
             least = np.minimum(x, y)
-            most = least.sum(axis=1, dtype=np.int64)
             # a full counter says nothing
-            good = (most >= s.similarity * (total - most)) | (least == 255).any(axis=1)
+            good = (least.sum(axis=1, dtype=np.int64) >= least_grams(longer, s)) | (least == 255).any(axis=1)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     with_a = pairs.join(features.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")), "a")
@@ -293,17 +371,12 @@ def _possible(pairs: DataFrame, features: DataFrame, s: Settings) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) of rows whose texts align well enough."""
+    """The pairs (a, b) of rows whose texts are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def alike(x: np.ndarray, y: np.ndarray) -> bool:
-            total = max(1, len(x) - s.width + 1) + max(1, len(y) - s.width + 1)
-            most = shared_at_most(x, y, s.width)
-            return most >= s.similarity * (total - most) and alignment_similarity(x.tolist(), y.tolist(), s) >= s.similarity
-
         for batch in batches:
             (xs, x_at), (ys, y_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
-            good = [alike(xs[x_at[i] : x_at[i + 1]], ys[y_at[i] : y_at[i + 1]]) for i in range(len(batch))]
+            good = [linked(xs[x_at[i] : x_at[i + 1]], ys[y_at[i] : y_at[i + 1]], s) for i in range(len(batch))]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
         free_memory()
 
@@ -312,63 +385,104 @@ def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _near(a: Column, b: Column, s: Settings) -> Column:
+    """Whether numbers of shingles allow a link."""
+    return F.least(a, b) >= min(s.similarity, 1 - 2 * s.edits) * F.greatest(a, b)
+
+
 def _hub_pairs(members: DataFrame, turn: int, s: Settings) -> DataFrame:
     """Pairs (a, b) of one member of each component with the hub of its group.
 
     Groups are the members of a bucket whose numbers of shingles lie in a band in which
-    any two are near enough; each member is in two bands that overlap by half.
+    any two are near enough; each member is in two bands that overlap by half. Hubs go by the
+    hash of what texts say (`mark`).
     """
     place = F.log("n") / math.log(1 / s.similarity + 1e-3)
     bands = F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)
-    mark = F.xxhash64("node", "bucket", F.lit(turn))
+    mark = F.xxhash64("mark", "bucket", F.lit(turn))
     banded = members.select("bucket", F.explode(bands).alias("band"), "label", F.struct(mark.alias("m"), "node", "n").alias("x"))
     chosen = banded.groupBy("bucket", "band", "label").agg(F.min("x").alias("x"))
     hub = chosen.groupBy("bucket", "band").agg(F.min(F.struct("x.m", "x.node", "x.n", "label")).alias("hub"), F.count("*").alias("several")).where("several > 1")
     met = chosen.join(hub, ["bucket", "band"]).where(F.col("hub.label") != F.col("label"))
-    near = F.least("x.n", "hub.n") >= s.similarity * F.greatest("x.n", "hub.n")
-    return met.where(near).select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
+    return met.where(_near(F.col("x.n"), F.col("hub.n"), s)).select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
 
 
-def _all_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Every pair (a, b) of members of a bucket, of different components, whose numbers of shingles are near enough.
+def _different(groups: DataFrame, key: str, s: Settings) -> DataFrame:
+    """Pairs (a, b) of rows of a `key` with different labels.
 
-    One side is in its own band of lengths, the other in that and both next ones; a large group is cut
-    into parts on one side, each of which meets all of the other.
+    Rows of a key's most frequent label meet the others, never one another.
     """
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    band = F.floor(F.log("n") / (math.log(1 / s.similarity) + 0.01))
-    left = members.join(mixed, "bucket").withColumn("band", band)
-    sizes = left.groupBy("bucket", "band").agg((F.count("*") / GROUP).cast("int").alias("cuts"))
-    left = left.join(sizes, ["bucket", "band"])
-    right = left.select("bucket", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), "node", "n", "label")
-    right = right.join(sizes, ["bucket", "band"]).select("bucket", "band", F.explode(F.sequence(F.lit(0), F.col("cuts"))).alias("part"), F.struct("node", "n", "label").alias("y"))
-    left = left.withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("cuts") + 1).cast("int"))
-    met = left.join(right, ["bucket", "band", "part"]).where((F.col("node") < F.col("y.node")) & (F.col("label") != F.col("y.label")))
-    near = F.least("n", "y.n") >= s.similarity * F.greatest("n", "y.n")
-    return met.where(near).select(F.col("node").alias("a"), F.col("y.node").alias("b")).distinct()
+    counts = groups.groupBy(key, "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy(key).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    marked = groups.join(main, key)
+    others = marked.where("label != main").select(key, F.struct("node", "n", "label").alias("x"))
+    every = marked.select(key, "node", "n", "label")
+    met = every.join(others, key).where((F.col("label") != F.col("x.label")) & _near(F.col("n"), F.col("x.n"), s))
+    return met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+
+
+def _prefixes(nodes: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
+    """(token, node, n, label): of each text its rarest word pairs, as many as a linked text may lack and one more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            hashes = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64)
+            offsets = offsets - offsets[0]
+            grams, counts = shingle_hashes(hashes, offsets[:-1], np.diff(offsets), 2)
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))], ["node", "tokens"])
+        free_memory()
+
+    listed = nodes.select("node").join(words.select(F.col("row").alias("node"), "words"), "node").mapInArrow(run, "node bigint, tokens array<bigint>")
+    tokens = materialize(listed.select("node", F.explode("tokens").alias("token")), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
+    size = F.col("n") + (s.width - 1)
+    edited = size - 1 - 2 * F.floor(s.edits * size + 1e-9)
+    alike = F.ceil(s.similarity * F.col("n") - 1e-6) + (s.width - 2)
+    prefix = F.slice("ranked", 1, (size - 1 - F.least(edited, alike) + 1).cast("int"))
+    each = ranked.join(nodes, "node").select("node", "n", "label", F.explode(prefix).alias("x"))
+    return each.where("x.often > 1").select(F.col("x.token").alias("token"), "node", "n", "label")
+
+
+def _remaining_pairs(members: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of members of a bucket in different components that may be linked: all those of small buckets, and those of large ones that share a prefix."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    mixed = materialize(members.join(sizes.select("bucket", "size"), "bucket"), "mixed")
+    few = _different(mixed.where(F.col("size") <= s.small), "bucket", s)
+    large = mixed.where(F.col("size") > s.small).select("node", "n", "label").distinct()
+    prefixes = materialize(_prefixes(materialize(large, "large"), words, s), "prefixes")
+    return few.unionByName(_different(prefixes, "token", s)).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> tuple[DataFrame, str]:
     """`docs` with each row's class id, the `key` of the class's first row, in a new column whose name comes second."""
+    with scratch(docs.sparkSession):
+        return _classes(docs, s, key)
+
+
+def _classes(docs: DataFrame, s: Settings, key: str) -> tuple[DataFrame, str]:
     numbered = number_rows(docs, row := fresh(docs, "_row"))
     texts = numbered.select(F.col(row).alias("row"), F.col(key).alias("key"), "text")
     rows = texts.select("row", _word_hashes(F.col("text"), F.xxhash64, "bigint").alias("words"))
     features = materialize(sketch_texts(rows, s), "sketches")
     worded = features.where("n > 0")
     one = worded.groupBy("digest").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    nodes = materialize(one, "texts")
-    keyed = nodes.where(F.col("n") > 1).select("node", "n", F.explode("sketches").alias("bucket"))
+    nodes = materialize(one.withColumn("mark", F.xxhash64("digest")), "texts")
+    keyed = nodes.where(F.col("n") > 1).select("node", "n", "mark", F.explode("sketches").alias("bucket"))
     several = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = materialize(keyed.join(several, "bucket"), "buckets")
     likely = texts.where(bloom.build(members.select("node").distinct(), "node").may_contain(F.col("row")))
     words = materialize(likely.select("row", _word_hashes(F.col("text"), F.hash, "int").alias("words")), "words")
     links, tried, labels = None, None, None
     for turn in range(s.rounds + 1):
-        chosen = members.select("bucket", "node", "n", F.col("node").alias("label"))
+        chosen = members.select("bucket", "node", "n", "mark", F.col("node").alias("label"))
         if labels is not None:
             labelled = members.join(labels, "node", "left")
-            chosen = labelled.select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-        pairs = _hub_pairs(chosen, turn, s) if turn < s.rounds else _all_pairs(chosen, s)
+            chosen = labelled.select("bucket", "node", "n", "mark", F.coalesce("label", "node").alias("label"))
+        pairs = _hub_pairs(chosen, turn, s) if turn < s.rounds else _remaining_pairs(chosen, words, s)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -379,8 +493,6 @@ def near_duplicate_classes(docs: DataFrame, s: Settings = Settings(), key: str =
         if not found.limit(1).count():
             continue
         links = found if links is None else links.unionByName(found)
-        if labels is not None:
-            discard(labels)
         labels = components(links)
     if labels is None:
         named = nodes.select("digest", F.col("node").alias("first"))
@@ -388,7 +500,7 @@ def near_duplicate_classes(docs: DataFrame, s: Settings = Settings(), key: str =
         named = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("first"))
     classed = features.select("row", "digest", "n").join(named, "digest", "left")
     first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("row"))
-    of_row = materialize(classed.select("row", first.alias("first")), "classes")
+    of_row = materialize(classed.select("row", first.alias("first")), "classes", keep=True)
     heads = of_row.where("row = first").select("row").join(texts.select("row", "key"), "row").select(F.col("row").alias("first"), F.col("key").alias("class_id"))
     name = fresh(docs, "class_id")
     ids = of_row.join(heads, "first").select(F.col("row").alias(f"{row}_"), F.col("class_id").alias(name), (F.col("row") == F.col("first")).alias(f"{row}_head"))

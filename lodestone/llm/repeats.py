@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import discard, free_memory, fresh, materialize, number_rows, ship_by_value
+from .common import discard, free_memory, fresh, materialize, number_rows, scratch, ship_by_value
 
 ship_by_value(__name__)
 
@@ -280,6 +280,11 @@ def _extents_by_count(members: DataFrame, s: Settings) -> DataFrame:
 
 def repeated_places(docs: DataFrame, row: str, s: Settings = Settings()) -> DataFrame:
     """(row, spans): for rows with repeats the merged (start, end) of bytes that they cover; `row` is a column of `number_rows`."""
+    with scratch(docs.sparkSession):
+        return _places(docs, row, s)
+
+
+def _places(docs: DataFrame, row: str, s: Settings) -> DataFrame:
     texts = docs.select(F.col(row).alias("row"), "text")
     every = materialize(find_anchors(texts, s), "anchors")
     # written, so that both sides of the join are dealt for it and a hot hash can be split
@@ -310,7 +315,7 @@ def repeated_places(docs: DataFrame, row: str, s: Settings = Settings()) -> Data
     extents = materialize(extents, "extents")
     covered = repeated.join(extents, ["hash", "context"]).select("row", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
     merged = covered.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("parts"))
-    return materialize(merged.select("row", _merge(F.col("parts")).alias("spans")), "spans")
+    return materialize(merged.select("row", _merge(F.col("parts")).alias("spans")), "spans", keep=True)
 
 
 def _merge(parts: Column) -> Column:
