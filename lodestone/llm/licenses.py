@@ -1,4 +1,4 @@
-"""License scans: ordered signature rules over a text's words.
+"""License scans: some 460 ordered signature rules over a text's words.
 
 A text is lower-cased (A-Z) and reduced to its words, one space apart. A rule is a
 regular expression over that line, with a keyword that has to occur in the line
@@ -118,13 +118,135 @@ CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial",
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 
 
+_GNU = "as published by the free software foundation"
+_LATER = "or at your option any later version"
+_FREE = "(?:this|the|[^ ]+) (?:[^ ]+ )?is free software you can redistribute it and or modify it under the terms of (?:the |version [0-9](?: [0-9])? of the )"
+_GRANT = "permission is hereby granted free of charge to any person"
+
+#: Label, keyword, words of the licence's own text or notice. These are worth most.
+TEXTS = (
+    ("mit", "free of charge", f"{_GRANT} obtaining a copy of this software and associated documentation files(?: the software)? to deal in the software without restriction"),
+    ("mit", "free of charge", f"{_GRANT} obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission notice", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("ncsa", "free of charge", f"{_GRANT} obtaining a copy of this software and associated documentation files(?: the software)? to deal with the software without restriction"),
+    ("bsl-1.0", "free of charge", f"{_GRANT} or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsl-1.0", "boost", "boost software license version 1 0 august 17th 2003"),
+    ("ofl-1.1", "free of charge", f"{_GRANT} obtaining a copy of the font software"),
+    ("ofl-1.1", "open font", "this font software is licensed under the sil open font license(?: version 1 1)?"),
+    ("unicode", "free of charge", f"{_GRANT} obtaining a copy of (?:the unicode )?data files and any associated documentation"),
+    ("isc", "with or without fee", "permission to use copy modify and(?: or)? distribute this software(?: and its documentation)? for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "with or without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("postgresql", "written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "without fee", "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: and)?(?: is hereby granted)? without fee(?: is hereby granted)?(?! and without)"),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "binary form", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "express or implied", "this software is provided by the (?:copyright holders|authors?|regents)(?: and contributors)? as is and any express or implied warranties"),
+    ("bsd-3-clause", "endorse or promote", "neither the names? of (?:[^ ]+ ){1,12}?nor the names of (?:its|their|the|any)(?: other)? contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "as is basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "january 2004", "apache license version 2 0 january 2004"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    ("gpl-1.0-or-later", "free software", f"{_FREE}gnu general public license {_GNU} either version 1(?: of the license)? {_LATER}"),
+    ("gpl-2.0-or-later", "free software", f"{_FREE}gnu general public license {_GNU} either version 2(?: of the license)? {_LATER}"),
+    ("gpl-3.0-or-later", "free software", f"{_FREE}gnu general public license {_GNU} either version 3(?: of the license)? {_LATER}"),
+    ("gpl-2.0-only", "free software", f"{_FREE}gnu general public license version 2(?: only)? {_GNU}"),
+    ("gpl-3.0-only", "free software", f"{_FREE}gnu general public license version 3(?: only)? {_GNU}"),
+    ("lgpl-2.0-or-later", "free software", f"{_FREE}gnu library general public license {_GNU} either version 2(?: of the license)? {_LATER}"),
+    ("lgpl-2.1-or-later", "free software", f"{_FREE}gnu lesser general public license {_GNU} either version 2 1(?: of the license)? {_LATER}"),
+    ("lgpl-3.0-or-later", "free software", f"{_FREE}gnu lesser general public license {_GNU} either version 3(?: of the license)? {_LATER}"),
+    ("agpl-3.0-or-later", "free software", f"{_FREE}gnu affero general public license {_GNU} either version 3(?: of the license)? {_LATER}"),
+    ("gpl-1.0", "february 1989", "gnu general public license version 1 february 1989"),
+    ("gpl-2.0", "june 1991", "gnu general public license version 2 june 1991"),
+    ("gpl-3.0", "june 2007", "gnu general public license version 3 29 june 2007"),
+    ("lgpl-2.0", "june 1991", "gnu library general public license version 2 june 1991"),
+    ("lgpl-2.1", "february 1999", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3.0", "june 2007", "gnu lesser general public license version 3 29 june 2007"),
+    ("agpl-3.0", "november 2007", "gnu affero general public license version 3 19 november 2007"),
+    ("gfdl-1.2", "november 2002", "gnu free documentation license version 1 2 november 2002"),
+    ("gfdl-1.3", "november 2008", "gnu free documentation license version 1 3 3 november 2008"),
+    ("gfdl", "this document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gpl-2.0", "take away your freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl", "in the hope", "this (?:program|library|software|file) is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "license document", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("wtfpl", "license document", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.0", "mozilla", "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("epl-1.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0"),
+    ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?2 0"),
+    ("epl", "eclipse", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("cddl", "distribution license", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "eupl", "this european union public licence the eupl applies to the work"),
+    ("artistic-1.0", "intent of this document", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "free software package", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("zlib", "authors be held liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "altered source", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "waived all copyright", "has waived all copyright and related or neighboring rights to"),
+    ("cc0-1.0", "this deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("public-domain", "public domain", "this (?:work|software|file|code|book|article|program) is (?:in|hereby (?:placed|released) (?:in|into)) the public domain"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("openssl", "cryptographic", "this product includes cryptographic software written by eric young"),
+    ("php-3.01", "php", "this product includes php software freely available from"),
+    ("python-2.0", "python", "this license agreement is between the python software foundation psf and the individual or organization"),
+    ("json", "not evil", "the software shall be used for good not evil"),
+    ("beerware", "with this stuff", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("zpl-2.1", "zope", "zope public license zpl version 2 1"),
+    ("ms-pl", "accompanying software", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("elastic-2.0", "managed service", "you may not provide the software to third parties as a hosted or managed service"),
+    ("busl-1.1", "non production", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl-1.0", "as a service", "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("odbl-1.0", "database", "(?:this|the) (?:[^ ]+ ){1,12}?is made available under the open database license"),
+    ("llama", "llama", "llama (?:[0-9] (?:[0-9] )?)?community license agreement"),
+    ("gemma", "gemma", "gemma is provided under and subject to the gemma terms of use"),
+    ("proprietary", "proprietary", "(?:this|the) (?:software|file|document|program|code) (?:is|contains) (?:the )?confidential and proprietary (?:information|property)"),
+    ("proprietary", "strictly prohibited", "unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document|material|work)(?: via any medium)? is strictly prohibited"),
+    ("proprietary", "may be reproduced", "no part of this (?:publication|book|work|document|article|website) may be reproduced"),
+    ("proprietary", "prior written", "may not be (?:copied|reproduced|republished|redistributed|published broadcast rewritten or redistributed)(?: in any form)? without (?:the )?(?:express )?prior written (?:permission|consent)"),
+    ("eula", "end user", "end user licen[cs]e agreement"),
+    ("cc", "creative commons", "this (?:work|article|book|document|page|content|dataset) is licen[cs]ed under (?:a|the) creative commons"),
+)
+
+#: Label, keyword, what people write for short.
+SHORT = (
+    ("gpl", "gnu gpl", "gnu gpl"),
+    ("lgpl", "gnu lgpl", "gnu lgpl"),
+    ("agpl", "gnu agpl", "gnu agpl"),
+    ("gpl-1.0", "gpl", "(?:gnu )?gpl ?(?:v|version )?1(?: 0)?"),
+    ("gpl-2.0", "gpl", "(?:gnu )?gpl ?(?:v|version )?2(?: 0)?"),
+    ("gpl-3.0", "gpl", "(?:gnu )?gpl ?(?:v|version )?3(?: 0)?"),
+    ("gpl-2.0-or-later", "gpl", "(?:gnu )?gpl ?(?:v|version )?2(?: 0)? or (?:later|newer|any later version)"),
+    ("gpl-3.0-or-later", "gpl", "(?:gnu )?gpl ?(?:v|version )?3(?: 0)? or (?:later|newer|any later version)"),
+    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl ?(?:v|version )?2(?: 1)?"),
+    ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl ?(?:v|version )?3(?: 0)?"),
+    ("agpl-3.0", "agpl", "(?:gnu )?agpl ?(?:v|version )?3(?: 0)?"),
+    ("apache-2.0", "apache", "apache ?2(?: 0)?"),
+    ("apache-2.0", "asl", "asl ?2(?: 0)? licen[cs]ed?"),
+    ("mpl-2.0", "mpl", "mpl ?(?:v|version )?2(?: 0)? licen[cs]ed?"),
+    ("mit", "mit", "mit licen[cs]ed"),
+    ("bsd", "bsd", "bsd (?:style )?licen[cs]ed?"),
+    ("bsd-2-clause", "bsd", "bsd 2(?: clause)?(?: licen[cs]e)?"),
+    ("bsd-3-clause", "bsd", "bsd 3(?: clause)?(?: licen[cs]e)?"),
+    ("cc0-1.0", "cc0", "cc0 licen[cs]ed?"),
+    ("public-domain", "public domain", "public domain(?: dedication)?"),
+    ("epl", "epl", "epl licen[cs]ed"),
+)
+
+
 def _rules() -> tuple[Rule, ...]:
     out = list(BASE)
+    for label, keyword, text in TEXTS:
+        out.append(Rule(label, keyword, text, 4))
     for label, keyword, name, spdx, url in NAMES:
         out.append(Rule(label, keyword, name, 2))
         out.append(Rule(label, keyword, f"(?:licen[cs]ed|released|distributed|available|published|redistributed?) (?:only )?under {_THE}{name}", 3))
         out.append(Rule(label, "spdx", f"spdx license identifier {spdx}", 4))
         out.append(Rule(label, url.split(" ")[0], f"(?:https? )?(?:www )?{url}", 3))
+    for label, keyword, short in SHORT:
+        out.append(Rule(label, keyword, short, 2))
     for parts in CC_PARTS:
         words = " ".join(CC_WORDS[p] for p in parts.split(" "))
         short = f"cc-{parts.replace(' ', '-')}"
@@ -143,7 +265,7 @@ def _rules() -> tuple[Rule, ...]:
 
 RULES = _rules()
 #: Every rule needs one of these in the line with a space at either end.
-GATE = ("licen", " cc ", "spdx", "creative", "cc0", "public domain", "reserved", "training", "rail", "unlicense", "mit no attribution", "bsd", " org ", " net ", " com ", " co ", " se ", " eu ")
+GATE = ("licen", "software", "gpl", "permi", "document", "prohibited", "proprietary", "terms of use", "this stuff", "waived", "this deed", " apache", "hope that", "no part of", "prior written", "third parties", " cc ", "spdx", "creative", "cc0", "public domain", "reserved", "training", "rail", "unlicense", "mit no attribution", "bsd", " org ", " net ", " com ", " co ", " se ", " eu ")
 #: What a detection of each priority is worth.
 WORTH = (0.2, 0.5, 0.9, 1.0)
 
