@@ -75,8 +75,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), passages=repeats.PASSAGES)
+    removed = F.col("n_removed") > 0
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256",
+        removed.alias("removed"), "n_passages", "passage_bytes",
+    )
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

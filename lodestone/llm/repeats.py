@@ -54,6 +54,12 @@ class Settings(NamedTuple):
     group: int = 2000
     bands: int = 6
     band_group: int = 20_000
+    across: bool = False
+
+
+#: For passages of more than `PASSAGE_WORDS` words that other rows have too; those of under 240 bytes aren't looked for.
+PASSAGES = Settings(length=240, gram=60, band_group=2000, across=True)
+PASSAGE_WORDS = 50
 
 
 #: Bytes handled at once, unless a single text is longer.
@@ -170,10 +176,11 @@ def common(a: bytes, b: bytes) -> int:
     return low
 
 
-def group_extents(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[list[int], list[int]]:
+def group_extents(lefts: list[bytes], rights: list[bytes], length: int, owners: list | None = None) -> tuple[list[int], list[int]]:
     """For different contexts of one anchor: how far repeats of `length` bytes reach before and from the anchor; 0 if none.
 
-    `lefts` are read backwards from the anchor; `rights` begin with it.
+    `lefts` are read backwards from the anchor; `rights` begin with it. With `owners` (the row of a context
+    that only one row has, else None), two contexts of the same owner aren't compared.
     """
     m = len(rights)
     far_left, far_right = [0] * m, [0] * m
@@ -195,10 +202,20 @@ def group_extents(lefts: list[bytes], rights: list[bytes], length: int) -> tuple
         if len(one) < len(two):
             one, two = two, one
         for r in two:
-            at = bisect_left(one, r)
-            for near in (at - 1, at):
-                if 0 <= near < len(one):
-                    meet(by_left[one[near]], by_left[r], depth)
+            at, i = bisect_left(one, r), by_left[r]
+            for near, way in ((at - 1, -1), (at, 1)):
+                seen: set = set()
+                while 0 <= near < len(one):
+                    j = by_left[one[near]]
+                    if owners is None or owners[i] is None or owners[j] != owners[i]:
+                        meet(j, i, depth)
+                        if owners is None or owners[j] is None:
+                            break
+                        # what lies further off has a nearer one of another owner, once two owners are passed
+                        seen.add(owners[j])
+                        if len(seen) > 1:
+                            break
+                    near += way
             one.insert(at, r)
         return one
 
@@ -229,7 +246,8 @@ def _extents_of_groups(groups: DataFrame, s: Settings) -> DataFrame:
                 hash_, members = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 lefts = [m["bytes"][: m["before"]][::-1] for m in members]
                 rights = [m["bytes"][m["before"] :] for m in members]
-                left, right = group_extents(lefts, rights, s.length)
+                owners = [m["low"] if m["low"] == m["high"] else None for m in members] if s.across else None
+                left, right = group_extents(lefts, rights, s.length, owners)
                 out += [(hash_, m["context"], a, b) for m, a, b in zip(members, left, right, strict=True) if b]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["hash", "context", "left", "right"])
@@ -253,9 +271,9 @@ def _in_bands(classes: DataFrame, s: Settings, n: int) -> DataFrame:
     step = -(-reach // n)
     bands = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(max(0, reach - step * (b + 1))).alias("need"), F.lit(step * b).alias("behind")) for b in range(-(-reach // step))))
     held = F.filter(bands, lambda x: (x["need"] <= F.col("before")) & (x["behind"] <= F.col("behind")))
-    each = classes.select("hash", "context", "before", "behind", "bytes", F.explode(held).alias("b"))
+    each = classes.select("hash", "context", "before", "behind", "low", "high", "bytes", F.explode(held).alias("b"))
     string = _around(F.col("b.need"), F.col("b.need") + F.col("b.behind") + s.gram)
-    keyed = each.select("hash", "context", "before", "behind", "bytes", F.col("b.band").alias("band"), F.xxhash64(string).alias("b1"), F.xxhash64(F.lit(7), string).alias("b2"))
+    keyed = each.select("hash", "context", "before", "behind", "low", "high", "bytes", F.col("b.band").alias("band"), F.xxhash64(string).alias("b1"), F.xxhash64(F.lit(7), string).alias("b2"))
     key = ["hash", "band", "b1", "b2"]
     sizes = keyed.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
     return keyed.join(sizes, key)
@@ -268,12 +286,13 @@ def _extents_by_count(members: DataFrame, s: Settings) -> DataFrame:
     most = F.least(F.col("before"), reach - step * F.col("band"))
     least = F.greatest(F.lit(0), reach - F.col("behind"), reach - step * (F.col("band") + 1))
     lefts = F.when(least <= most, F.sequence(least, most))
-    each = members.select("hash", "context", "band", "before", "bytes", F.explode(lefts).alias("left"))
+    each = members.select("hash", "context", "band", "before", "low", "high", "bytes", F.explode(lefts).alias("left"))
     string = _around(F.col("left"), F.lit(s.length))
-    each = each.select("hash", "context", "band", "left", F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(7), string).alias("h2"))
+    each = each.select("hash", "context", "band", "low", "high", "left", F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(7), string).alias("h2"))
     # with the anchor and its place in the string: one string may hold several anchors
     key = ["hash", "band", "left", "h1", "h2"]
-    often = each.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    several = F.min("low") < F.max("high") if s.across else F.count("*") > 1
+    often = each.groupBy(*key).agg(several.alias("several")).where("several").select(*key)
     found = each.join(often, key, "left_semi")
     return found.groupBy("hash", "context").agg(F.max("left").alias("left"), (s.length - F.min("left")).cast("int").alias("right"))
 
@@ -292,25 +311,25 @@ def _places(docs: DataFrame, row: str, s: Settings) -> DataFrame:
     repeated = materialize(every.join(again, "hash"), "repeated")
     discard(every)
     by_class = repeated.groupBy("hash", "context").agg(
-        F.count("*").alias("times"), F.min(F.struct("row", "place")).alias("at"), F.first("before").alias("before"), F.first("behind").alias("behind")
+        F.count("*").alias("times"), F.min(F.struct("row", "place")).alias("at"), F.max("row").alias("high"), F.first("before").alias("before"), F.first("behind").alias("behind")
     )
     classes = materialize(by_class, "contexts")
     counted = materialize(classes.groupBy("hash").agg(F.count("*").alias("members")).where("members > 1"), "counted")
-    different = classes.join(counted, "hash").select("hash", "context", "members", "before", "behind", F.col("at.row").alias("row"), F.col("at.place").alias("place"))
+    different = classes.join(counted, "hash").select("hash", "context", "members", "before", "behind", "high", F.col("at.row").alias("row"), F.col("at.place").alias("place"))
     different = materialize(different, "different")
     likely = texts.where(bloom.build(different.select("row").distinct(), "row").may_contain(F.col("row")))
     bytes_ = F.substring(F.col("text").cast("binary"), F.col("place") - F.col("before") + 1, F.col("before") + F.col("behind") + s.gram)
-    held = materialize(different.join(likely, "row").select("hash", "context", "members", "before", "behind", bytes_.alias("bytes")), "bytes")
-    gathered = F.collect_list(F.struct("context", "before", "bytes")).alias("members")
+    held = materialize(different.join(likely, "row").select("hash", "context", "members", "before", "behind", F.col("row").alias("low"), "high", bytes_.alias("bytes")), "bytes")
+    gathered = F.collect_list(F.struct("context", "before", "low", "high", "bytes")).alias("members")
     groups = held.where(F.col("members") <= s.group).groupBy("hash").agg(gathered)
     # halves first: they leave most classes of a common line alone
     halves = materialize(_in_bands(held.where(F.col("members") > s.group), s, 2), "halves")
-    again = halves.where(F.col("members") > s.group).select("hash", "context", "before", "behind", "bytes").dropDuplicates(["hash", "context"])
+    again = halves.where(F.col("members") > s.group).select("hash", "context", "before", "behind", "low", "high", "bytes").dropDuplicates(["hash", "context"])
     banded = materialize(_in_bands(again, s, s.bands), "bands")
     for part, most in ((halves, s.group), (banded, s.band_group)):
         groups = groups.unionByName(part.where(F.col("members") <= most).groupBy("hash", "band", "b1", "b2").agg(gathered).select("hash", "members"))
     found = _extents_of_groups(groups, s).unionByName(_extents_by_count(banded.where(F.col("members") > s.band_group), s))
-    whole = classes.where("times > 1").select("hash", "context", F.col("before").alias("left"), (F.col("behind") + s.gram).alias("right"))
+    whole = classes.where("at.row < high" if s.across else "times > 1").select("hash", "context", F.col("before").alias("left"), (F.col("behind") + s.gram).alias("right"))
     extents = whole.unionByName(found).groupBy("hash", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     extents = materialize(extents, "extents")
     covered = repeated.join(extents, ["hash", "context"]).select("row", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
@@ -349,14 +368,29 @@ def _kept(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["kept"], F.substring(raw, acc["at"] + 1, F.octet_length(text))))
 
 
-def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def count_passages(numbered: DataFrame, row: str, s: Settings = PASSAGES, words: int = PASSAGE_WORDS) -> DataFrame:
+    """(row, n, bytes): for rows with passages of more than `words` whole words that other rows have too, how many and their bytes."""
+    with scratch(numbered.sparkSession):
+        found = repeated_places(numbered, row, s)
+        likely = numbered.select(F.col(row).alias("row"), "text").where(bloom.build(found, "row").may_contain(F.col(row)))
+        raw = F.col("text").cast("binary")
+        # with a byte more at either end, to tell whole words
+        around = F.concat(F.when(F.col("x.start") == 0, F.lit(b" ")).otherwise(F.lit(b"")), F.substring(raw, F.greatest(F.col("x.start"), F.lit(1)), F.col("x.end") - F.greatest(F.col("x.start") - 1, F.lit(0)) + 1), F.when(F.col("x.end") == F.octet_length("text"), F.lit(b" ")).otherwise(F.lit(b"")))
+        spans = found.join(likely, "row").select("row", "text", F.explode("spans").alias("x"))
+        long = spans.where(F.regexp_count(around.cast("string"), F.lit(r"(?<=[\x20\x09-\x0D])[^\x20\x09-\x0D]+(?=[\x20\x09-\x0D])")) > words)
+        told = long.groupBy("row").agg(F.count("*").alias("n"), F.sum(F.col("x.end") - F.col("x.start")).alias("bytes"))
+        return materialize(told, "passages", keep=True)
+
+
+def remove_repeats(docs: DataFrame, s: Settings = Settings(), passages: Settings | None = None) -> DataFrame:
     """`docs` without the texts, with n_bytes, n_removed, spans and kept_sha256 of each whole text.
 
+    With settings for `passages`, n_passages and passage_bytes too (`count_passages`).
     Of up to a million texts that lose a part, only those (and one in some hundred others) are
     shuffled; beyond that, all texts are.
     """
     row = fresh(docs, "_row")
-    names = {n: fresh(docs, n) for n in ("n_bytes", "n_removed", "spans", "kept_sha256")}
+    names = {n: fresh(docs, n) for n in ("n_bytes", "n_removed", "spans", "kept_sha256", "n_passages", "passage_bytes")}
     numbered = number_rows(docs, row)
     found = repeated_places(numbered, row, s)
     length = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, p: acc + p["end"] - p["start"])
@@ -364,14 +398,17 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     likely = numbered.select(F.col(row).alias("row"), text.alias("text")).where(bloom.build(found, "row").may_contain(F.col(row)))
     partly = sized.where(F.size("spans") > 0).join(likely, "row").select("row", "spans", "removed", F.sha2(_kept(F.col("text"), F.col("spans")), 256).alias("kept"))
+    if passages is not None:
+        partly = partly.join(count_passages(numbered, row, passages), "row", "full")
     at = f"{row}_"
     measured = numbered.withColumns({names["n_bytes"]: F.octet_length(text).cast("bigint"), names["kept_sha256"]: F.sha2(text.cast("binary"), 256)})
     other = [c for c in docs.columns if c != "text"]
     thin = measured.select(*other, row, names["n_bytes"], names["kept_sha256"])
-    changed = partly.select(F.col("row").alias(at), F.col("spans").alias(f"{at}s"), F.col("removed").alias(f"{at}r"), F.col("kept").alias(f"{at}k"))
-    joined = thin.join(changed, F.col(row) == F.col(at), "left")
+    changed = partly.select(F.struct("*").alias(at))
+    joined, zero = thin.join(changed, F.col(row) == F.col(at)["row"], "left"), F.lit(0).cast("bigint")
     return joined.select(
-        *other, names["n_bytes"], F.coalesce(f"{at}r", F.lit(0).cast("bigint")).alias(names["n_removed"]),
-        F.coalesce(f"{at}s", F.array().cast("array<struct<start:int,end:int>>")).alias(names["spans"]),
-        F.coalesce(f"{at}k", names["kept_sha256"]).alias(names["kept_sha256"]),
+        *other, names["n_bytes"], F.coalesce(F.col(at)["removed"], zero).alias(names["n_removed"]),
+        F.coalesce(F.col(at)["spans"], F.array().cast("array<struct<start:int,end:int>>")).alias(names["spans"]),
+        F.coalesce(F.col(at)["kept"], names["kept_sha256"]).alias(names["kept_sha256"]),
+        *([F.coalesce(F.col(at)["n"], zero).alias(names["n_passages"]), F.coalesce(F.col(at)["bytes"], zero).alias(names["passage_bytes"])] if passages is not None else []),
     )
