@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import classifier, decontaminate, near_dups, packing, secrets
-from lodestone.llm.common import materialize, read
+from lodestone.llm.common import discard, materialize, read
 from lodestone.llm.queries import TOKENIZER
 
 
@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark items make up a twentieth of the words or more go."""
+    """Documents with a window of 13 words of a benchmark item go; so do those of which shorter items make up a twentieth of the words."""
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -51,6 +51,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage but the last is written and read again."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

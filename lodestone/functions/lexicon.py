@@ -89,3 +89,13 @@ KS = (1, 3, 5, 10)
 
 # Windows of words: what stands for 224 and 56 tokens.
 WINDOW_WORDS, OVERLAP_WORDS, LEAST_WORDS = 168, 42, 20
+
+#: Words of a question that ask for a share, for money; what a question is about, and what stands near its answer.
+PERCENT_WORDS = ("%", "percent", "percentage", "proportion", "share", "rate", "ratio")
+CURRENCY_WORDS = ("£", "cost", "spend", "spending", "budget", "deficit", "surplus", "overspend", "shortfall", "income", "expenditure", "funding")
+ANSWER_CUES = (
+    (("budget", "spending", "spend", "differ", "difference", "underspend", "overspend"), ("variance", "surplus", "deficit", "overspend", "underspend", "budget")),
+    (("deficit", "surplus", "overspend", "shortfall"), ("deficit", "surplus", "overspend", "shortfall", "variance")),
+    (("total", "overall total", "sum"), ("total",)),
+    (("cash requirement",), ("cash requirement",)),
+)

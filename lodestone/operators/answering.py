@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lex
 from ..functions import numeric
 from ..functions import text as tx
 
@@ -25,23 +26,14 @@ def keywords(question: Column) -> Column:
 
 def expected_dimension(question: Column) -> Column:
     q = F.lower(question)
-    return (
-        F.when(tx.contains_any(q, ("%", "percent", "proportion", "share", "rate", "ratio")), "percent")
-        .when(tx.contains_any(q, ("£", "cost", "spend", "budget", "deficit", "surplus", "shortfall", "income", "expenditure")), "currency")
-    )
+    return F.when(tx.contains_any(q, lex.PERCENT_WORDS), "percent").when(tx.contains_any(q, lex.CURRENCY_WORDS), "currency")
 
 
 def cue_terms(question: Column) -> Column:
     """What stands near an answer, given what a question is about."""
     q = F.lower(question)
-    lit = lambda *w: F.array(*map(F.lit, w))
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(
-        F.when(tx.contains_any(q, ("budget", "spend", "differ")), lit("variance", "surplus", "deficit", "overspend", "underspend", "budget")).otherwise(none),
-        F.when(tx.contains_any(q, ("deficit", "surplus", "overspend", "shortfall")), lit("deficit", "surplus", "overspend", "shortfall", "variance")).otherwise(none),
-        F.when(tx.contains_any(q, ("total", "sum")), lit("total")).otherwise(none),
-        F.when(F.contains(q, F.lit("cash requirement")), lit("cash requirement")).otherwise(none),
-    ))
+    return F.array_distinct(F.concat(*(F.when(tx.contains_any(q, about), F.array(*map(F.lit, cues))).otherwise(none) for about, cues in lex.ANSWER_CUES)))
 
 
 def number_spans(text: Column, width: int = 120) -> Column:
@@ -105,16 +97,66 @@ def single_chunk_answer(question: Column, text: Column) -> Column:
     return F.when(found != "", F.trim(found))
 
 
-def extraction_fallback(intent: Column, text: Column) -> Column:
-    """What a rule of the intent finds in a chunk; null without one."""
-    near = lambda p, g=1: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
-    return (
-        F.when(intent == "table_metric_on_track", near(r"(?i)on track\D{0,40}([0-9]+(?:\.[0-9]+)?%?)"))
-        .when(intent == "table_metric_significant_delay", near(r"(?i)significant delay\D{0,40}([0-9]+(?:\.[0-9]+)?%?)"))
-        .when(intent == "table_metric_complete_ratio", near(r"(?i)complete\D{0,40}([0-9]+(?:\.[0-9]+)?%)"))
-        .when(F.startswith(intent, F.lit("table_metric_")), near(r"([0-9][0-9,]*(?:\.[0-9]+)?%?)"))
-        .when(intent == "governance_board_committee", near(r"(?i)\b([A-Z][a-z]+(?: [A-Z][a-z]+)* Committee)\b"))
-    )
+NO_RULE, NO_TEXT = "(no extraction rule matched)", "(no chunk text available)"
+_DAY = r"(?i)endorsed.*?on(?: the)?\s+([0-9]{1,2}(?:st|nd|rd|th)?\s+[A-Z][a-z]+\s+[0-9]{4})"
+_MONTH = r"(?i)endorsed.*?strategic risk profile.*?in\s+([A-Z][a-z]+\s+[0-9]{4})"
+
+
+def _sentences(text: Column) -> Column:
+    return F.split(text, r"(?<=[.!?])\s+")
+
+
+def first_sentence(text: Column) -> Column:
+    """At most 200 characters of the first sentence; null if there is none."""
+    return F.trim(F.left(F.get(F.filter(_sentences(F.regexp_replace(text, r"^\s+|\s+$", "")), lambda x: x != ""), F.lit(0)), F.lit(200)))
+
+
+def _of_quarter(label: str, question: Column, text: Column) -> Column:
+    """struct(answer, label): of four values behind a label the one of the quarter that a question names; '-' is none."""
+    pattern = rf"(?i){label}\s+([0-9-]+)\s+([0-9-]+)\s+([0-9-]+)\s+([0-9-]+)"
+    answer, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i in (4, 3, 2, 1):
+        asked = F.contains(question, F.lit(f"q{i}"))
+        value = F.regexp_extract(text, pattern, i)
+        answer = F.when(asked, F.when(~value.isin("", "-"), value)).otherwise(answer)
+        name = F.when(asked, F.lit(f"{label} (Q{i})")).otherwise(name)
+    return F.struct(answer.alias("answer"), name.alias("label"))
+
+
+def extraction_answer(question: Column, intent: Column, text: Column, others: Column) -> Column:
+    """struct(answer, label): what the rule for a question finds in its best chunk, else that chunk's first sentence.
+
+    `others` are the texts of the next chunks, in order. The first rule whose words the question has is the only one tried.
+    """
+    q = F.lower(question)
+    has = lambda *words: F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(q, w))
+    found = lambda p, t=text, g=1: F.nullif(F.regexp_extract(t, p, g), F.lit(""))
+    pair = lambda answer, label: F.struct(answer.alias("answer"), F.lit(label).alias("label"))
+    low = F.lower
+    # where both endorsements are asked for, 'endorsed' counts in any case
+    days = lambda t, any_case: F.array_compact(F.transform(F.filter(_sentences(t), lambda x: F.contains(low(x) if any_case else x, F.lit("endorsed")) & F.contains(low(x), F.lit("risk appetite statement"))), lambda x: found(_DAY, x)))
+    months = lambda t, any_case: F.array_compact(F.transform(F.filter(_sentences(t), lambda x: F.contains(low(x) if any_case else x, F.lit("endorsed")) & F.contains(low(x), F.lit("strategic risk profile"))), lambda x: found(_MONTH, x)))
+    profile = F.coalesce(F.try_element_at(months(text, True), F.lit(-1)), F.get(F.flatten(F.transform(others, lambda t: months(t, True))), F.lit(0)))
+    appetite = F.try_element_at(days(text, True), F.lit(-1))
+    both = F.nullif(F.concat_ws("; ", F.concat(F.lit("Risk Appetite: "), appetite), F.concat(F.lit("Strategic Risk Profile: "), profile)), F.lit(""))
+    share = F.coalesce(found(r"(?i)([0-9]+(?:\.[0-9]+)?)%[^\n]{0,80}complete"), found(r"(?i)complete[^\n]{0,80}?([0-9]+(?:\.[0-9]+)?)%"))
+    committee = F.coalesce(*(found(f"(?i)the ([A-Za-z &-]+ committee) {v} delegated responsibility") for v in ("have", "has")))
+    titled = F.array_join(F.transform(F.split(F.trim(committee), "-"), lambda w: F.initcap(w)), "-")
+    issue = F.get(F.filter(_sentences(text), lambda x: F.contains(low(x), F.lit("funding arrangement"))), F.lit(0))
+    rule = (
+        F.when(F.startswith(intent, F.lit("table_metric_")), pair(F.coalesce(first_sentence(text), F.lit(NO_RULE)), "Snippet"))
+        .when(has("significant", "delay"), _of_quarter("Significant Delay", q, text))
+        .when(has("on track"), _of_quarter("On Track", q, text))
+        .when(has("proportion", "complete"), pair(F.concat(share, F.lit("%")), "Complete (%)"))
+        .when(has("board committee", "strategic risk register"), pair(titled, "Delegated Committee"))
+        .when(has("endorse", "risk appetite", "strategic risk profile"), pair(both, "Board Endorsements"))
+        .when(has("endorse", "risk appetite"), pair(F.get(days(text, False), F.lit(0)), "Risk Appetite Endorsement"))
+        .when(has("endorse", "strategic risk profile"), pair(F.get(months(text, False), F.lit(0)), "Strategic Risk Profile Endorsement"))
+        .when(has("significant issue", "accountable officer"), pair(F.trim(issue), "Significant Issue"))
+    )
+    snippet = pair(F.coalesce(first_sentence(text), F.lit(NO_RULE)), "Snippet")
+    nothing = F.coalesce(text, F.lit("")) == ""
+    return F.when(nothing, pair(F.lit(NO_TEXT), "Snippet")).when(F.coalesce(rule["answer"], F.lit("")) != "", rule).otherwise(snippet)
 
 
 def sentence_answer(results: DataFrame) -> DataFrame:

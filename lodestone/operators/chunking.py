@@ -89,7 +89,7 @@ def chunks_of(pages: DataFrame, size: int = lex.WINDOW_WORDS, overlap: int = lex
     )
 
 
-#: Numbered headings before which a line break is put; lines that open a segment; what a search looks for.
+#: Numbered headings before which a line break is put; lines that open a segment; what a search looks for.
 INSERT = r"(\b[0-9]+(?:\.[0-9]+){1,4}\s+[A-Z][A-Za-z][^\n]{0,120})"
 MATCH = (r"^[0-9]+(?:\.[0-9]+){1,5}\b", r"(?i)^[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3}\s+(?:integration\s+joint\s+board\s*\(ijb\)|ijb)\b")
 SEARCH = r"(?i)\b(?:integration\s+joint\s+boards?|ijbs?)\b"
@@ -97,18 +97,20 @@ UPPERCASE = r"^[A-Z][A-Z0-9 ,/&()\-]{8,}$"
 
 
 def segments(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_number, segment, text, boundary_type, has_search_hit): pages cut at headings."""
-    inserted = F.regexp_replace("text", INSERT, "\u0001\n$1")
-    lines = pages.select("doc_id", "page_number", F.posexplode(F.split(inserted, "\n", -1)).alias("i", "raw"))
+    """(doc_id, page_number, segment, title, text, boundary_type, has_search_hit): pages cut at headings, lines joined by a space."""
+    inserted = F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), INSERT, "\n$1")
+    lines = pages.select("doc_id", "page_number", F.posexplode(F.split(inserted, r"\r?\n")).alias("i", "raw"))
+    line = F.regexp_replace("raw", r"^\s+|\s+$", "")
+    opens = tx._any(*(F.rlike(line, F.lit(p)) for p in MATCH))
+    large = F.rlike(line, F.lit(UPPERCASE)) & (F.size(F.split(line, r"\s+")) <= 14)
+    kind = F.when(opens, F.when(F.rlike(line, F.lit(f"^(?:{INSERT})")), "INSERT").otherwise("MATCH")).when(large, "MATCH")
+    typed = lines.select("doc_id", "page_number", "i", line.alias("line"), kind.alias("opens")).where("line != ''")
     page = Window.partitionBy("doc_id", "page_number").orderBy("i")
-    made = F.coalesce(F.endswith(F.lag("raw").over(page), F.lit("\u0001")), F.lit(False))
-    line = F.trim(F.replace("raw", F.lit("\u0001"), F.lit("")))
-    heading = tx._any(*(F.rlike(line, F.lit(p)) for p in MATCH)) | (F.rlike(line, F.lit(UPPERCASE)) & (F.size(F.split(line, " +")) <= 14))
-    typed = lines.select("doc_id", "page_number", "i", line.alias("line"), F.when(made, "INSERT").when(heading, "MATCH").alias("opens")).where("line != ''")
     numbered = typed.withColumn("segment", F.sum(F.col("opens").isNotNull().cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = numbered.groupBy("doc_id", "page_number", "segment").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"), F.coalesce(F.min_by("opens", "i"), F.lit("CONTINUATION")).alias("boundary_type"))
-    text = F.array_join(F.col("l.line"), "\n")
-    return whole.select("doc_id", "page_number", "segment", text.alias("text"), "boundary_type", F.rlike(text, F.lit(SEARCH)).alias("has_search_hit"))
+    hit = F.bool_or(F.rlike("line", F.lit(SEARCH)))
+    whole = numbered.groupBy("doc_id", "page_number", "segment").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"), F.coalesce(F.min_by("opens", "i"), F.lit("CONTINUATION")).alias("boundary_type"), hit.alias("has_search_hit"))
+    title = F.when(F.col("boundary_type") == "CONTINUATION", "segment_000").otherwise(F.left(F.regexp_replace(F.get("l.line", F.lit(0)), r"\s+", " "), F.lit(96)))
+    return whole.select("doc_id", "page_number", "segment", title.alias("title"), F.array_join(F.col("l.line"), " ").alias("text"), "boundary_type", "has_search_hit")
 
 
 def cross_page_chunks(pages: DataFrame, most: int = 320) -> DataFrame:

@@ -91,20 +91,50 @@ def summary(headers: Column, cells: Column, kind: Column, most_rows: int = 5) ->
     return F.concat(F.lit("Table ("), F.coalesce(kind, F.lit("unknown")), F.lit(") with columns "), F.array_join(F.filter(headers, lambda h: h != ""), ", "), F.lit(". Rows: "), F.array_join(labels, "; "), F.lit("."))
 
 
-def row_records(tables: DataFrame) -> DataFrame:
-    """(table_id, row_no, category, label, line, fact_lines): rows with the last category row above; categories aren't records.
+#: Cells that count as blank; words and rows of a table's chunks; words of a first line that tells a unit.
+BLANK = ("", "-", "—", "n/a", "na", "none")
+SUMMARY_WORDS, KEY_ROWS = 140, 5
+BLOCK_WORDS, BLOCK_WORDS_MOST, BLOCK_ROWS, BLOCK_FACTS = 320, 450, 10, 24
+UNIT_SIGNS = ("£", "%", "000", "million", "m ")
 
-    A category row has a label and no other cell.
-    """
-    rows = tables.select("table_id", "headers", F.posexplode("cells").alias("row_no", "row"))
-    others = F.filter(F.slice("row", F.lit(2), F.greatest(F.size("row"), F.lit(1))), lambda c: F.trim(c) != "")
-    label = F.trim(F.get("row", F.lit(0)))
-    is_category = (label != "") & (F.size(others) == 0)
+_NONE = "array<string>"
+
+
+def _is_blank(cell: Column) -> Column:
+    return F.lower(F.trim(cell)).isin(*BLANK)
+
+
+def _named(headers: Column) -> Column:
+    """Headers with a number for those without a name."""
+    return F.transform(headers, lambda h, i: F.when(tx.normalize_line(F.coalesce(h, F.lit(""))) == "", F.concat(F.lit("col_"), (i + 1).cast("string"))).otherwise(tx.normalize_line(h)))
+
+
+def _is_category(label: Column, cells: Column) -> Column:
+    """A label of four letters or more without a digit, and at most one other cell, which isn't a number."""
+    full = F.filter(cells, lambda c: ~_is_blank(c))
+    digit = lambda c: F.rlike(c, F.lit("[0-9]"))
+    return (F.length(label) >= 4) & ~digit(label) & ~F.exists(full, digit) & (F.size(full) <= 1)
+
+
+def row_records(tables: DataFrame) -> DataFrame:
+    """(table_id, row_no, category, label, line, fact_lines): rows with the last category row above ('General' before any); categories aren't records."""
+    clean = F.transform("row", lambda c: tx.normalize_line(F.coalesce(c, F.lit(""))))
+    rows = tables.select("table_id", _named(F.col("headers")).alias("headers"), F.posexplode("cells").alias("row_no", "row")).withColumn("row", clean)
+    rows = rows.where(F.exists("row", lambda c: c != ""))
+    label, cells = F.get("row", F.lit(0)), F.slice("row", F.lit(2), F.greatest(F.size("row"), F.lit(1)))
+    is_category = _is_category(label, cells)
     w = Window.partitionBy("table_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     held = rows.withColumn("category", F.coalesce(F.last(F.when(is_category, label), ignorenulls=True).over(w), F.lit("General")))
-    line = F.array_join(F.transform("row", lambda c: F.when(F.trim(c) == "", F.lit("-")).otherwise(tx.normalize_line(c))), " | ")
-    pairs = F.zip_with(F.slice("headers", F.lit(2), F.greatest(F.size("headers"), F.lit(1))), F.slice("row", F.lit(2), F.greatest(F.size("row"), F.lit(1))), lambda h, c: F.when(F.trim(c) != "", F.concat(label, F.lit(" | "), F.coalesce(h, F.lit("")), F.lit(": "), F.trim(c))))
-    return held.where(~is_category & (F.size(F.filter("row", lambda c: F.trim(c) != "")) > 0)).select("table_id", "row_no", "category", label.alias("label"), line.alias("line"), F.array_compact(pairs).alias("fact_lines"))
+    line = F.array_join(F.transform("row", lambda c: F.when(c == "", F.lit("-")).otherwise(c)), " | ")
+    named = F.when(label == "", F.concat(F.lit("row_"), (F.col("row_no") + 1).cast("string"))).otherwise(label)
+    subject = F.when(F.lower("category") != "general", F.concat(F.lit("[Category: "), F.col("category"), F.lit("] "), named)).otherwise(named)
+    column = lambda i: F.coalesce(F.get("headers", i + 1), F.concat(F.lit("col_"), (i + 1).cast("string")))
+    told = F.transform(cells, lambda c, i: F.when(c != "", F.concat(F.lit("- "), subject, F.lit(" > "), column(i), F.lit(" : "), c)))
+    return held.where(~is_category).select("table_id", "row_no", "category", label.alias("label"), line.alias("line"), F.array_compact(told).alias("fact_lines"))
+
+
+def _word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
 def pack_lines(lines: Column, prefix: Column, budget: int) -> Column:
@@ -112,13 +142,12 @@ def pack_lines(lines: Column, prefix: Column, budget: int) -> Column:
 
     A line that is over the budget alone makes a pack of its own. Tokens are words / 0.75.
     """
-    tokens = lambda words: F.floor(words / 0.75)
-    count = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    room = max(40, budget) - F.when(prefix != "", tokens(count(prefix))).otherwise(F.lit(0))
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
+    tokens = lambda words: F.when(words > 0, F.greatest(F.lit(1), F.floor(words / 0.75))).otherwise(0)
+    room = max(40, budget) - F.when(prefix != "", tokens(_word_count(prefix))).otherwise(F.lit(0))
+    zero = F.struct(F.array().cast(_NONE).alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
 
     def step(a: Column, line: Column) -> Column:
-        n = count(line)
+        n = _word_count(line)
         fits = a["open"].isNull() | (tokens(a["n"] + n) <= room)
         return F.struct(
             F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"),
@@ -129,53 +158,94 @@ def pack_lines(lines: Column, prefix: Column, budget: int) -> Column:
     return F.transform(packs, lambda p: F.when(prefix != "", F.concat(prefix, F.lit("\n"), p)).otherwise(p))
 
 
-def pack_groups(records: DataFrame, target: int = 320, hard: int = 450, most_rows: int = 10) -> DataFrame:
-    """(table_id, group_no, rows): row records in order, grouped up to a target of words and a number of rows.
+def _cut(text: Column, words: int) -> Column:
+    """The first `words` words, one space apart, of a text that has more."""
+    split = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.when(F.size(split) > words, F.array_join(F.slice(split, 1, words), " ")).otherwise(F.trim(text))
+
+
+def _block_text(rows: Column, caption: Column, page: Column, kind: Column, headers: Column) -> Column:
+    """A group of row records as text: what the table is, categories, columns, rows and facts."""
+    own = F.array_distinct(F.filter(F.transform(rows, lambda r: r["category"]), lambda c: (c != "") & (F.lower(c) != "general")))
+    several = F.size(own) > 1
+    line = lambda r: F.when(several & (F.lower(r["category"]) != "general") & (r["category"] != ""), F.concat(r["category"], F.lit(" :: "), r["line"])).otherwise(r["line"])
+    facts = F.slice(F.flatten(F.transform(rows, lambda r: r["facts"])), 1, BLOCK_FACTS)
+    told = F.array_join(headers, " | ")
+    return F.concat_ws(
+        "\n", F.concat(F.lit("Table: "), caption), F.concat(F.lit("Page: "), page.cast("string")), F.concat(F.lit("Type: "), kind),
+        F.when(several, F.concat(F.lit("Categories in block: "), F.array_join(F.slice(own, 1, 4), " | "))).when(F.size(own) == 1, F.concat(F.lit("Active category: "), F.get(own, F.lit(0)))),
+        F.concat(F.lit("Columns: "), told), F.lit("Rows:"), told, F.transform(rows, line), F.when(F.size(facts) > 0, F.lit("Facts:")), facts,
+    )
+
+
+def row_blocks(tables: DataFrame, target: int = BLOCK_WORDS, hard: int = BLOCK_WORDS_MOST, most_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(table_id, block_no, first_row, last_row, text): row records in order, grouped up to a target of words and a number of rows.
 
-    A group over the hard limit falls apart into its rows.
+    A group over the hard limit falls apart into its rows. `tables` has caption, page_number, kind and names besides its cells.
     """
-    words = F.size(F.filter(F.split(F.concat_ws(" ", "line", F.array_join("fact_lines", " ")), r"\s+"), lambda w: w != ""))
-    listed = records.withColumn("n", words).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "n", "line"))).alias("rows"))
-    group = "array<struct<row_no:int,n:int,line:string>>"
-    zero = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.array().cast(group).alias("open"), F.lit(0).alias("n"))
+    listed = row_records(tables).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "category", "line", F.col("fact_lines").alias("facts")))).alias("rows"))
+    met = listed.join(tables.select("table_id", "caption", "page_number", "kind", "names"), "table_id")
+    text = lambda rows: _block_text(rows, F.col("caption"), F.col("page_number"), F.col("kind"), F.col("names"))
+    group = "array<struct<row_no:int,category:string,line:string,facts:array<string>>>"
+    zero = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.array().cast(group).alias("open"))
 
     def step(a: Column, r: Column) -> Column:
-        fits = (F.size(a["open"]) == 0) | ((F.size(a["open"]) < most_rows) & (a["n"] + r["n"] <= target))
-        return F.struct(
-            F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"),
-            F.when(fits, F.concat(a["open"], F.array(r))).otherwise(F.array(r)).alias("open"), F.when(fits, a["n"] + r["n"]).otherwise(r["n"]).alias("n"),
-        )
+        more = F.concat(a["open"], F.array(r))
+        fits = (F.size(a["open"]) == 0) | ((F.size(a["open"]) < most_rows) & (_word_count(text(more)) <= target))
+        return F.struct(F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"), F.when(fits, more).otherwise(F.array(r)).alias("open"))
 
     groups = F.aggregate("rows", zero, step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
-    total = lambda g: F.aggregate(g, F.lit(0), lambda s, r: s + r["n"])
-    split = F.flatten(F.transform(groups, lambda g: F.when(total(g) > hard, F.transform(g, lambda r: F.array(r))).otherwise(F.array(g))))
-    return listed.select("table_id", F.posexplode(split).alias("group_no", "g")).select("table_id", "group_no", F.col("g.row_no").alias("rows"), F.array_join(F.col("g.line"), "\n").alias("body"))
+    split = F.flatten(F.transform(groups, lambda g: F.when((F.size(g) > 1) & (_word_count(text(g)) > hard), F.transform(g, lambda r: F.array(r))).otherwise(F.array(g))))
+    each = met.select("table_id", "caption", "page_number", "kind", "names", F.posexplode(split).alias("block_no", "g"))
+    return each.select("table_id", "block_no", F.col("g.row_no")[0].alias("first_row"), F.element_at("g.row_no", -1).alias("last_row"), _cut(text(F.col("g")), hard).alias("text"))
 
 
 def table_chunks(tables: DataFrame, strategy: str = "baseline", budget: int = 224) -> DataFrame:
     """(chunk_id, table_id, page_number, text, table_chunk_kind) by strategy.
 
-    baseline: summary and markdown in one; row_preserving: packs of whole rows; row_blocks: a
-    summary, then groups of rows; anything else: a header chunk, then packs under 'COLUMNS:'.
+    `tables` may have summary, table_type and injected_facts. baseline: summary, facts and
+    markdown in one; row_preserving: packs of whole rows under the table's name and columns;
+    row_blocks: a summary with key rows, then groups of rows with their facts; anything else:
+    a header chunk with units and years of the first rows, then the packs.
     """
-    head = F.concat(F.lit("COLUMNS: "), F.array_join("headers", " | "))
-    lines = F.transform("cells", lambda r: F.array_join(F.transform(r, lambda c: F.when(F.trim(c) == "", F.lit("-")).otherwise(tx.normalize_line(c))), " | "))
-    told = summary(F.col("headers"), F.col("cells"), F.lit("unknown"))
-    base = tables.select("table_id", "page_number", "headers", "cells")
+    there = lambda name, other: F.col(name) if name in tables.columns else other
+    none = F.lit(None).cast("string")
+    told = there("summary", summary(F.col("headers"), F.col("cells"), there("table_type", F.lit("unknown"))))
+    first = tx.normalize_line(F.get(F.split(told, "\n"), F.lit(0)))
+    base = tables.select(
+        "table_id", "page_number", "headers", "cells", told.alias("summary"), there("injected_facts", none).alias("facts"),
+        F.initcap(F.replace(there("table_type", none), F.lit("_"), F.lit(" "))).alias("kind"), _named(F.col("headers")).alias("names"),
+        F.when(first == "", "Unknown").otherwise(F.left(first, F.lit(120))).alias("caption"),
+    )
+    columns = F.concat(F.lit("COLUMNS: "), F.array_join("names", " | "))
+    prefix = F.concat(F.lit("TABLE | page="), F.col("page_number").cast("string"), F.lit(" | "), F.col("caption"), F.lit("\n"), columns)
+    cleaned = F.transform("cells", lambda r: F.transform(r, lambda c: tx.normalize_line(F.coalesce(c, F.lit("")))))
+    lines = F.transform(cleaned, lambda r: F.array_join(F.transform(r, lambda c: F.when(c == "", F.lit("-")).otherwise(c)), " | "))
 
-    def numbered(df: DataFrame, texts: Column, name: str) -> DataFrame:
-        each = df.select("table_id", "page_number", F.posexplode(texts).alias("i", "text"))
+    def numbered(texts: Column, name: str) -> DataFrame:
+        each = base.select("table_id", "page_number", F.posexplode(texts).alias("i", "text"))
         return each.select(F.concat_ws("_", "table_id", F.lit(name), F.col("i").cast("string")).alias("chunk_id"), "table_id", "page_number", "text", F.lit(name).alias("table_chunk_kind"))
 
     if strategy == "baseline":
-        return numbered(base, F.array(F.concat_ws("\n", told, markdown(F.col("headers"), F.col("cells")))), "whole")
+        injected = F.when(F.coalesce("facts", F.lit("")) != "", F.concat(F.lit("Table (header-injected facts):\n\n"), F.col("facts")))
+        return numbered(F.array(F.concat_ws("\n\n", "summary", injected, F.lit("Table (markdown):"), markdown(F.col("headers"), F.col("cells")))), "full_table")
     if strategy == "row_preserving":
-        return numbered(base, pack_lines(lines, F.lit(""), budget), "rows")
+        return numbered(pack_lines(lines, prefix, budget), "row_preserving")
     if strategy == "row_blocks":
-        groups = pack_groups(row_records(base)).join(base.select("table_id", "page_number", head.alias("head")), "table_id")
-        blocks = groups.select(F.concat_ws("_", "table_id", F.lit("block"), F.col("group_no").cast("string")).alias("chunk_id"), "table_id", "page_number", F.concat_ws("\n", "head", "body").alias("text"), F.lit("block").alias("table_chunk_kind"))
-        return numbered(base, F.array(told), "summary").unionByName(blocks)
-    return numbered(base, F.array(F.concat_ws("\n", told, head)), "header").unionByName(numbered(base, pack_lines(lines, head, budget), "body"))
+        rich = F.filter(F.transform(cleaned, lambda r: F.filter(r, lambda c: c != "")), lambda r: F.size(r) >= 2)
+        keys = F.transform(F.slice(rich, 1, KEY_ROWS), lambda r: F.concat(F.lit("- "), F.array_join(F.slice(r, 1, 4), " | ")))
+        head = F.concat_ws(
+            "\n", F.concat(F.lit("Table: "), F.col("caption")), F.concat(F.lit("Page: "), F.col("page_number").cast("string")), F.concat(F.lit("Type: "), F.col("kind")), F.nullif(F.trim("summary"), F.lit("")),
+            F.concat(F.lit("Columns: "), F.array_join(F.slice("names", 1, 8), " | ")), F.when(F.size(keys) > 0, F.lit("Key rows:")), keys,
+        )
+        blocks = row_blocks(base).join(base.select("table_id", "page_number"), "table_id")
+        made = blocks.select(F.concat_ws("_", "table_id", F.lit("row_block"), F.col("block_no").cast("string")).alias("chunk_id"), "table_id", "page_number", "text", F.lit("row_block").alias("table_chunk_kind"))
+        return numbered(F.when(F.size("cells") > 0, F.array(_cut(head, SUMMARY_WORDS))), "summary").unionByName(made)
+    early = F.slice(lines, 1, 5)
+    units = F.get(F.filter(early, lambda x: tx.contains_any(x, UNIT_SIGNS)), F.lit(0))
+    years = F.get(F.filter(early, lambda x: F.rlike(x, F.lit(r"\b(19|20)[0-9]{2}(?:/[0-9]{2,4})?\b"))), F.lit(0))
+    header = F.concat_ws("\n", prefix, F.concat(F.lit("UNITS: "), units), F.concat(F.lit("YEAR_LABELS: "), years))
+    return numbered(F.array(header), "header").unionByName(numbered(pack_lines(lines, prefix, budget), "body"))
 
 
 def distinct_tables(tables: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -242,12 +241,13 @@ def variant_columns(spark, sf_dir):
     return analytics.merge_variants({"first": part("F"), "second": part("O")}, "k", "n")
 
 
-@register("compare_runs", """WITH a AS (SELECT doc_id AS k, n_chars AS v FROM documents WHERE doc_id % 4 > 0), b AS (SELECT doc_id AS k, n_chars + (doc_id % 5 = 0)::INT AS v FROM documents WHERE doc_id % 3 > 0)
+@register("compare_runs", """WITH a AS (SELECT doc_id AS k, n_chars AS v FROM documents), b AS (SELECT doc_id + 1 AS k, n_chars + (doc_id % 5 = 0)::INT AS v FROM documents)
 SELECT coalesce(a.k, b.k) AS k, a.v AS old, b.v AS new, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.k = b.k""")
 def compare_runs(spark, sf_dir):
-    """J15, F20."""
-    d, i = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("n_chars").alias("v")), F.col("k")
-    return analytics.compare_runs(d.where(i % 4 > 0), d.where(i % 3 > 0).withColumn("v", F.col("v") + (i % 5 == 0).cast("int")), "k", "v")
+    """A run against one whose keys are moved by one."""
+    d = table(spark, sf_dir, "documents")
+    new = d.select((F.col("doc_id") + 1).alias("k"), (F.col("n_chars") + (F.col("doc_id") % 5 == 0).cast("int")).alias("v"))
+    return analytics.compare_runs(d.select(F.col("doc_id").alias("k"), F.col("n_chars").alias("v")), new, "k", "v")
 
 
 @register("transitions", 'SELECT "group", period, next_period, round(nv - v, 9) AS delta FROM (SELECT source AS "group", lang AS period, avg(n_chars) AS v, lead(lang) OVER w AS next_period, lead(avg(n_chars)) OVER w AS nv FROM documents GROUP BY source, lang WINDOW w AS (PARTITION BY source ORDER BY lang)) WHERE next_period IS NOT NULL')
@@ -297,8 +297,7 @@ def wilson_interval(spark, sf_dir):
 
 
 def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{io.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @register("hits_csv", f"WITH {BM25} SELECT query_id::VARCHAR AS query_id, rank::INT AS rank, score, (chunk_id % 9)::VARCHAR || ',' || (chunk_id % 9 + 1)::VARCHAR AS pages FROM sparse WHERE rank <= 5")
@@ -322,17 +321,16 @@ def index_round_trip(spark, sf_dir):
 
 @register("eval_set_json", "SELECT item_id::VARCHAR AS query_id, text, 1 AS n_pages FROM benchmark")
 def eval_set_json(spark, sf_dir):
-    """An evaluation set in an object's `queries`."""
+    """An evaluation set as JSON lines."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"), F.array((F.col("item_id") % 5).cast("int")).alias("expected_pages"))
-    whole = b.coalesce(1).agg(F.to_json(F.struct(F.collect_list(F.struct("query_id", "question", "expected_pages")).alias("queries"))).alias("value"))
-    io.write_text(whole, "value", path := _folder(spark, "eval"))
-    return io.read_eval_set(spark, path).select("query_id", "text", F.size("gold_pages").alias("n_pages"))
+    io.write_jsonl(b, path := _folder(spark, "eval"))
+    return io.read_eval_lines(spark, path).select("query_id", "text", F.size("gold_pages").alias("n_pages"))
 
 
-@register("manifest", 'SELECT source AS trust_id, doc_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM documents WHERE doc_id < 300 GROUP BY ROLLUP (source, doc_id)')
+@register("manifest", 'SELECT source AS trust_id, doc_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM documents GROUP BY ROLLUP (source, doc_id)')
 def manifest(spark, sf_dir):
     """S15."""
-    return io.manifest(table(spark, sf_dir, "documents").where("doc_id < 300").select(F.col("source").alias("trust_id"), "doc_id"))
+    return io.manifest(table(spark, sf_dir, "documents").select(F.col("source").alias("trust_id"), "doc_id"))
 
 
 @register("global_index", "SELECT source AS doc_id, doc_id AS chunk_id FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) = CASE WHEN source < 'src2' THEN count(*) ELSE -1 END)")
@@ -363,10 +361,10 @@ def files(spark, sf_dir):
     return found
 
 
-@register("final_order", "SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) AS place FROM documents WHERE doc_id < 500")
+@register("final_order", "SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) AS place FROM documents")
 def final_order(spark, sf_dir):
     """Places by range, then within a part of the range."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 500")
+    d = table(spark, sf_dir, "documents")
     from pyspark.sql import Window
 
     sizes = d.groupBy("source").agg(F.count("*").alias("n"))

@@ -185,7 +185,7 @@ def ocr_quality(spark, sf_dir):
 @register("table_pages")
 def table_pages(spark, sf_dir):
     """Orders as pages of text."""
-    lines = table(spark, sf_dir, "orders").where("o_custkey <= 200").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.concat_ws("  ", F.lit("Total assets"), F.col("o_orderkey").cast("string"), F.format_number("o_totalprice", 0)))).alias("lines"))
+    lines = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.concat_ws("  ", F.lit("Total assets"), F.col("o_orderkey").cast("string"), F.format_number("o_totalprice", 0)))).alias("lines"))
     page = F.concat_ws("\n", F.lit("Balance sheet £000"), F.array_join("lines", "\n"))
     return lines.select("o_custkey", classify.classify_page(page).alias("c"), classify.is_table_like_raw(F.col("lines")).alias("raw"), classify.accept_ocr_table(page).alias("ocr")).select("o_custkey", "c.*", "raw", F.col("ocr.accepted").alias("ocr_accepted"))
 
@@ -211,13 +211,13 @@ def headings(spark, sf_dir):
 
 def layout(spark, sf_dir) -> DataFrame:
     """Line items as positioned lines: an order is a page."""
-    d = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    d = table(spark, sf_dir, "lineitem")
     y = F.col("l_linenumber") * F.when(F.col("l_linenumber") > 3, 40.0).otherwise(14.0)
     x = (F.col("l_partkey") % 6) * 90.0
     return d.select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page_number"), F.col("l_linenumber").alias("line_no"), F.concat_ws(" ", "l_returnflag", F.col("l_quantity").cast("int").cast("string")).alias("text"), x.alias("x0"), (x + 80).alias("x1"), y.alias("y0"), (y + 12).alias("y1"), F.lit(600.0).alias("page_width"), F.lit(300.0).alias("page_height"), (F.col("l_orderkey") % 4 * 90).alias("rotation"))
 
 
-@register("strip_margins", """SELECT page_number, count(*) AS kept FROM (SELECT l_orderkey AS page_number, (l_partkey % 6) * 90.0 + 40 AS x, l_linenumber * (CASE WHEN l_linenumber > 3 THEN 40.0 ELSE 14.0 END) + 6 AS y FROM lineitem WHERE l_orderkey <= 2000)
+@register("strip_margins", """SELECT page_number, count(*) AS kept FROM (SELECT l_orderkey AS page_number, (l_partkey % 6) * 90.0 + 40 AS x, l_linenumber * (CASE WHEN l_linenumber > 3 THEN 40.0 ELSE 14.0 END) + 6 AS y FROM lineitem)
 WHERE x >= 12 AND x <= 588 GROUP BY page_number""")
 def strip_margins(spark, sf_dir):
     """the pages are wide, so their sides are cut."""
@@ -336,21 +336,21 @@ def canonical_titles(spark, sf_dir):
 
 
 def item_tables(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").where("l_orderkey <= 3000")
+    d = table(spark, sf_dir, "lineitem")
     row = F.array(F.concat_ws(" ", F.lit("Line"), F.col("l_linenumber").cast("string")), F.format_number("l_extendedprice", 2), F.concat(F.format_number(F.col("l_discount") * 100, 1), F.lit("%")), F.when(F.col("l_tax") > 0.04, F.concat(F.lit("("), F.col("l_quantity").cast("int").cast("string"), F.lit(")"))).otherwise("-"))
     listed = d.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("r"))
     headers = F.array(*map(F.lit, ("", "Price Q1", "Discount & more Q2", "Qty Q3")))
     return listed.select(F.col("l_orderkey").cast("string").alias("table_id"), F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), headers.alias("headers"), F.col("r.row").alias("cells"))
 
 
-@register("table_facts", """WITH i AS (SELECT * FROM lineitem WHERE l_orderkey <= 3000) SELECT l_orderkey AS doc_id, 'line_' || l_linenumber AS row_label_norm, h AS column_header_norm, q AS quarter, round(v, 6) AS value_num, p AS is_percent FROM (
+@register("table_facts", """WITH i AS (SELECT * FROM lineitem) SELECT l_orderkey AS doc_id, 'line_' || l_linenumber AS row_label_norm, h AS column_header_norm, q AS quarter, round(v, 6) AS value_num, p AS is_percent FROM (
 SELECT l_orderkey, l_linenumber, 'price_q1' AS h, 'q1' AS q, round(l_extendedprice, 2) AS v, false AS p FROM i UNION ALL SELECT l_orderkey, l_linenumber, 'discount_and_more_q2', 'q2', round(l_discount * 100, 1), true FROM i UNION ALL SELECT l_orderkey, l_linenumber, 'qty_q3', 'q3', -l_quantity::INT, false FROM i WHERE l_tax > 0.04)""")
 def table_facts(spark, sf_dir):
     """E9, M3."""
     return tables.facts(item_tables(spark, sf_dir), "doc_id").select("doc_id", "row_label_norm", "column_header_norm", "quarter", F.round("value_num", 6).alias("value_num"), "is_percent")
 
 
-@register("table_lookup", """WITH i AS (SELECT * FROM lineitem WHERE l_orderkey <= 3000), best AS (SELECT l_orderkey, arg_max(CASE WHEN l_tax > 0.04 THEN NULL END, 1) AS x, max(round(l_extendedprice, 2)) AS v FROM i GROUP BY l_orderkey) SELECT l_orderkey AS query_id, v AS value_num, 'price_q1' AS column_header_norm FROM best""")
+@register("table_lookup", """WITH i AS (SELECT * FROM lineitem), best AS (SELECT l_orderkey, arg_max(CASE WHEN l_tax > 0.04 THEN NULL END, 1) AS x, max(round(l_extendedprice, 2)) AS v FROM i GROUP BY l_orderkey) SELECT l_orderkey AS query_id, v AS value_num, 'price_q1' AS column_header_norm FROM best""")
 def table_lookup(spark, sf_dir):
     """The largest price; the row term fits nothing and is passed over."""
     t = item_tables(spark, sf_dir)
@@ -359,7 +359,7 @@ def table_lookup(spark, sf_dir):
     return tables.lookup(q, f).select("query_id", "value_num", "column_header_norm")
 
 
-@register("markdown_round_trip", """SELECT l_orderkey::VARCHAR AS table_id, count(*) AS n_rows, 4 AS n_columns FROM lineitem WHERE l_orderkey <= 3000 GROUP BY l_orderkey""")
+@register("markdown_round_trip", """SELECT l_orderkey::VARCHAR AS table_id, count(*) AS n_rows, 4 AS n_columns FROM lineitem GROUP BY l_orderkey""")
 def markdown_round_trip(spark, sf_dir):
     """Rendered and parsed again; rows with equal cells only."""
     t = item_tables(spark, sf_dir).withColumn("m", tables.parse_markdown(F.concat(F.lit("before\n"), tables.markdown(F.col("headers"), F.col("cells")))))
@@ -371,12 +371,12 @@ def table_chunks(spark, sf_dir):
     """All four strategies."""
     t, out = item_tables(spark, sf_dir), None
     for name in ("baseline", "row_preserving", "row_blocks", "two_stage"):
-        part = tables.table_chunks(t, name, 40).withColumn("strategy", F.lit(name))
+        part = tables.table_chunks(t, name, 60).withColumn("strategy", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@register("distinct_tables", """WITH t AS (SELECT l_orderkey, count(*) AS n, min(CASE WHEN l_linenumber = 1 THEN l_extendedprice END) AS a FROM lineitem WHERE l_orderkey <= 3000 GROUP BY l_orderkey) SELECT count(*) AS n FROM t""")
+@register("distinct_tables", """WITH t AS (SELECT l_orderkey, count(*) AS n, min(CASE WHEN l_linenumber = 1 THEN l_extendedprice END) AS a FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS n FROM t""")
 def distinct_tables(spark, sf_dir):
     """Each table twice, once kept."""
     t = item_tables(spark, sf_dir)
@@ -416,10 +416,43 @@ def single_chunk_answers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", answering.single_chunk_answer(F.lit("how many?"), F.col("text")).alias("answer"))
 
 
-@register("fallback_answers", r"""SELECT event_id, nullif(regexp_extract(props, '([0-9][0-9,]*(?:\.[0-9]+)?%?)', 1), '') AS answer FROM events""")
+#: question, intent, text of the best chunk, text of the next, answer, label
+ASKED = [
+    ("How many show significant delay in Q2?", "general", "Status Significant Delay 3 - 7 1 end", None, "Status Significant Delay 3 - 7 1 end", "Snippet"),
+    ("How many show significant delay in Q3?", "general", "Status Significant  Delay 3 - 7 1 end", None, "Status Significant  Delay 3 - 7 1 end", "Snippet"),
+    ("Significant delay in q3?", "general", "Status Significant Delay 3 - 7 1 end", None, "7", "Significant Delay (Q3)"),
+    ("How many are on track in Q1?", "general", "The plan. on track 12 10 9 8.", None, "12", "On Track (Q1)"),
+    ("How many are on track?", "general", "The plan. On Track 12 10 9 8.", None, "The plan.", "Snippet"),
+    ("What proportion was complete?", "general", "Of all, 62.5% of actions were complete.", None, "62.5%", "Complete (%)"),
+    ("What proportion was complete?", "general", "It is complete for 40% of them", None, "40%", "Complete (%)"),
+    ("Which board committee owns the strategic risk register?", "general", "Here the audit & risk committee has delegated responsibility.", None, "Audit & Risk Committee", "Delegated Committee"),
+    ("When did the board endorse the risk appetite and the strategic risk profile?", "general", "It endorsed the Risk Appetite Statement on the 3rd May 2021. More.", "The board endorsed a strategic risk profile in June 2021.", "Risk Appetite: 3rd May 2021; Strategic Risk Profile: June 2021", "Board Endorsements"),
+    ("When did it endorse the risk appetite?", "general", "Endorsed the risk appetite statement on 1 May 2020. It endorsed the risk appetite statement on 2 May 2020.", None, "2 May 2020", "Risk Appetite Endorsement"),
+    ("When did it endorse the strategic risk profile?", "general", "They endorsed the strategic risk profile again in July 2022.", None, "July 2022", "Strategic Risk Profile Endorsement"),
+    ("What significant issue did the accountable officer name?", "general", "None. A funding arrangement is late. Other.", None, "A funding arrangement is late.", "Significant Issue"),
+    ("How many are on track in Q1?", "table_metric_on_track", "A table! On Track 12 10 9 8", None, "A table!", "Snippet"),
+    ("What else?", "general", "One sentence. Two.", None, "One sentence.", "Snippet"),
+    ("What else?", "general", "", None, "(no chunk text available)", "Snippet"),
+    ("What else?", "general", "  ", None, "(no extraction rule matched)", "Snippet"),
+]
+
+
+@register("fallback_answers", "SELECT * FROM " + rows_sql([(i, *row[4:]) for i, row in enumerate(ASKED)], "id, answer, label"))
 def fallback_answers(spark, sf_dir):
-    """Q8."""
-    return table(spark, sf_dir, "events").select("event_id", answering.extraction_fallback(F.lit("table_metric_performance"), F.col("props")).alias("answer"))
+    """Q8: every rule, and the snippet behind them."""
+    rows = [(i, *row[:4]) for i, row in enumerate(ASKED)]
+    d = spark.createDataFrame(rows, "id int, question string, intent string, text string, next string")
+    found = answering.extraction_answer(F.col("question"), F.col("intent"), F.col("text"), F.array_compact(F.array("next")))
+    return d.select("id", found["answer"].alias("answer"), found["label"].alias("label"))
+
+
+@register("dimensions", """SELECT item_id, CASE WHEN k = 0 THEN 'currency' WHEN k = 1 THEN 'percent' WHEN k = 2 THEN 'currency' END AS dimension, CASE WHEN k = 0 THEN 'variance,surplus,deficit,overspend,underspend,budget' WHEN k = 3 THEN 'deficit,surplus,overspend,shortfall,variance,total,cash requirement' ELSE '' END AS cues
+FROM (SELECT item_id, CASE WHEN item_id % 4 = 3 THEN 3 ELSE item_id % 4 END AS k FROM benchmark) WHERE k < 3 UNION ALL SELECT item_id, 'currency', 'deficit,surplus,overspend,shortfall,variance,total,cash requirement' FROM benchmark WHERE item_id % 4 = 3""")
+def dimensions(spark, sf_dir):
+    """Q1: the dimension that is asked for, and the cues."""
+    k = F.col("item_id") % 4
+    q = F.when(k == 0, "What was the spending?").when(k == 1, "Which proportion of funding?").when(k == 2, "What FUNDING did it get?").otherwise("Overall total cash requirement and shortfall?")
+    return table(spark, sf_dir, "benchmark").select("item_id", answering.expected_dimension(q).alias("dimension"), F.array_join(answering.cue_terms(q), ",").alias("cues"))
 
 
 @register("prompts", f"""WITH {BM25}, r AS (SELECT query_id, rank, length(left(text, 2200)) AS n, sum(length(left(text, 2200))) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS s FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 8),
@@ -451,11 +484,11 @@ def parse_extractions(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(RAW)), "id int, raw string").select("id", p["answer"].alias("answer"), p["evidence_span"].alias("evidence_span"), p["ok"].cast("int").alias("ok"))
 
 
-@register("parse_generations", "SELECT event_id, props AS answer, 0 AS n FROM events WHERE event_id < 500")
+@register("parse_generations", "SELECT event_id, props AS answer, 0 AS n FROM events")
 def parse_generations(spark, sf_dir):
     """JSON without an answer is text."""
     p = arrays.parse_generation(F.col("props"))
-    return table(spark, sf_dir, "events").where("event_id < 500").select("event_id", p["answer"].alias("answer"), F.size(p["citations"]).alias("n"))
+    return table(spark, sf_dir, "events").select("event_id", p["answer"].alias("answer"), F.size(p["citations"]).alias("n"))
 
 
 @register("page_lists", "SELECT * FROM " + rows_sql([("3", "3"), ("[5, 3, 3]", "3,5"), ('[{"element": 7}]', "7"), ("2.0", "2"), ("x", ""), ("2.5", "")], "raw, pages"))

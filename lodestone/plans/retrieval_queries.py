@@ -259,14 +259,14 @@ def leakage(spark, sf_dir):
     return out.select("query_id", "n_away", F.array_join("docs", ",").alias("docs"), F.round("rate", 9).alias("rate"))
 
 
-@register("gold_presence", """WITH q AS (SELECT doc_id AS query_id, source AS doc_id, unnest([(n_chars % 50)::INT, (n_chars % 7)::INT]) AS page FROM documents WHERE doc_id < 200),
-c AS (SELECT DISTINCT source AS doc_id, (doc_id % 40)::INT AS page FROM documents WHERE doc_id % 3 = 0)
+@register("gold_presence", """WITH q AS (SELECT doc_id AS query_id, source AS doc_id, unnest([(n_chars % 50)::INT, (n_chars % 7)::INT]) AS page FROM documents),
+c AS (SELECT DISTINCT source AS doc_id, (doc_id % 40)::INT AS page FROM documents)
 SELECT query_id, bool_or(c2.doc_id IS NOT NULL) AS doc_there, count(c.page) AS n_pages_there FROM q LEFT JOIN c USING (doc_id, page) LEFT JOIN (SELECT DISTINCT doc_id FROM c) c2 ON c2.doc_id = q.doc_id GROUP BY query_id""")
 def gold_presence(spark, sf_dir):
     """Sources as documents."""
     d, n = table(spark, sf_dir, "documents"), F.col("n_chars")
-    q = d.where("doc_id < 200").select(F.col("doc_id").alias("query_id"), F.col("source").alias("doc_id"), F.array((n % 50).cast("int"), (n % 7).cast("int")).alias("gold_pages"))
-    c = d.where("doc_id % 3 = 0").select(F.col("source").alias("doc_id"), F.array((F.col("doc_id") % 40).cast("int")).alias("pages"))
+    q = d.select(F.col("doc_id").alias("query_id"), F.col("source").alias("doc_id"), F.array((n % 50).cast("int"), (n % 7).cast("int")).alias("gold_pages"))
+    c = d.select(F.col("source").alias("doc_id"), F.array((F.col("doc_id") % 40).cast("int")).alias("pages"))
     return evaluation.gold_presence(q, c)
 
 
@@ -278,12 +278,12 @@ def filters_with_fallback(spark, sf_dir):
     return some.unionByName(rt.apply_filters(d, doc_id="nowhere").select(F.lit("none").alias("wanted"), F.col("id").alias("doc_id")))
 
 
-@register("multi_variant_merge", f"""WITH {BM25}, v AS (SELECT query_id % 10 AS query_id, chunk_id, score, query_id // 10 AS variant FROM bm WHERE query_id < 40),
+@register("multi_variant_merge", f"""WITH {BM25}, v AS (SELECT query_id % 10 AS query_id, chunk_id, score, query_id // 10 AS variant FROM bm),
 m AS (SELECT query_id, chunk_id, max(score) AS score, arg_max(variant, score * 1000 - variant / 1000) AS variant FROM v GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, variant, chunk_id) AS rank, chunk_id, score FROM m QUALIFY rank <= 10""")
 def multi_variant_merge(spark, sf_dir):
-    """Four items as variants of one query."""
-    s = rt.bm25_scores(asked(spark, sf_dir).where("query_id < 40"), chunks(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    """Items of the same last digit as variants of one query."""
+    s = rt.bm25_scores(asked(spark, sf_dir), chunks(spark, sf_dir)).withColumn("score", F.round("score", 6))
     v = s.select((F.col("query_id") % 10).alias("query_id"), "chunk_id", "score", F.floor(F.col("query_id") / 10).alias("variant"))
     return rt.merge_variants(v).where("rank <= 10").select("query_id", "rank", "chunk_id", "score")
 
@@ -336,15 +336,14 @@ def word_windows(spark, sf_dir):
 
 
 @register("chunk_offsets", f"""WITH {PAGED}, w AS (SELECT doc_id, page_number, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM pages),
-s AS (SELECT *, unnest(range(0, greatest(0, ceil((len(w) - 168) / 126.0))::INT + 1)) AS idx FROM w WHERE len(w) > 0)
-SELECT doc_id || ':p' || lpad(page_number::VARCHAR, 4, '0') || '_' || lpad(idx::VARCHAR, 3, '0') AS chunk_id, idx * 126 AS start FROM s WHERE len(w[idx * 126 + 1 : idx * 126 + 168]) >= 43 AND doc_id NOT IN (SELECT doc_id FROM pages WHERE len(list_distinct(regexp_split_to_array(text, '[ \\t\\n\\r]+'))) < 30)""")
+s AS (SELECT *, unnest(range(0, greatest(0, ceil((len(w) - 168) / 126.0))::INT + 1)) AS idx FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, page_number, idx, w[idx * 126 + 1 : idx * 126 + 168] AS part FROM s WHERE len(w[idx * 126 + 1 : idx * 126 + 168]) >= 43),
+p AS (SELECT *, lag(part) OVER (PARTITION BY doc_id, page_number ORDER BY idx) AS prev FROM c),
+h AS (SELECT *, coalesce(len(prev), 0) - coalesce(list_max(list_filter(range(1, least(len(prev), len(part)) + 1), lambda k: prev[len(prev) - k + 1 : len(prev)] = part[1 : k])), 0) AS step FROM p)
+SELECT doc_id || ':p' || lpad(page_number::VARCHAR, 4, '0') || '_' || lpad(idx::VARCHAR, 3, '0') AS chunk_id, sum(step) OVER (PARTITION BY doc_id, page_number ORDER BY idx) AS start FROM h""")
 def chunk_offsets(spark, sf_dir):
-    """Where windows start, found again from the words that neighbours share."""
-    p = chunking.pages_of(table(spark, sf_dir, "documents"))
-    dull = p.where(F.size(F.array_distinct(F.split("text", r"[ \t\n\r]+"))) < 30).select("doc_id").distinct()
-    c = chunking.chunks_of(p, least=43)
-    placed = chunking.offsets(c).join(c.select("chunk_id", "doc_id"), "chunk_id")
-    return placed.join(dull, "doc_id", "left_anti").select("chunk_id", "start")
+    """Where windows start, found again from the words that neighbours share (the most, where words repeat)."""
+    return chunking.offsets(chunking.chunks_of(chunking.pages_of(table(spark, sf_dir, "documents")), least=43)).select("chunk_id", "start")
 
 
 @register("repeated_edges", f"""WITH {LINES}, n AS (SELECT doc_id, (ln // 10 + 1) AS page, ln, trim(regexp_replace(line, '[ \\t\\n\\r]+', ' ', 'g')) AS line FROM lines),

@@ -67,7 +67,7 @@ def page_markdown(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", page.alias("page"))
 
 
-@register("row_maps", """WITH i AS (SELECT l_orderkey, l_linenumber, format('{:,.2f}', l_extendedprice) AS p, format('{:.1f}', l_discount * 100) || '%' AS d, CASE WHEN l_tax > 0.04 THEN '(' || l_quantity::INT || ')' END AS q FROM lineitem WHERE l_orderkey <= 3000)
+@register("row_maps", """WITH i AS (SELECT l_orderkey, l_linenumber, format('{:,.2f}', l_extendedprice) AS p, format('{:.1f}', l_discount * 100) || '%' AS d, CASE WHEN l_tax > 0.04 THEN '(' || l_quantity::INT || ')' END AS q FROM lineitem)
 SELECT l_orderkey::VARCHAR AS table_id, string_agg('- Line ' || l_linenumber || ' -> col_1=' || p || ' ; col_2=' || d || coalesce(' ; col_3=' || q, ''), chr(10) ORDER BY l_linenumber, p, d, coalesce(q, '-')) AS lines FROM i GROUP BY l_orderkey""")
 def row_maps(spark, sf_dir):
     """E10, T5."""
@@ -82,7 +82,7 @@ def merged_headers(spark, sf_dir):
     return spark.range(1).select(F.array_join(h, ",").alias("headers"), F.array_join(markdown.aliases(h), ",").alias("names"))
 
 
-@register("clean_tables", "SELECT l_orderkey::VARCHAR AS table_id, count(*) AS n FROM lineitem WHERE l_orderkey <= 3000 GROUP BY l_orderkey")
+@register("clean_tables", "SELECT l_orderkey::VARCHAR AS table_id, count(*) AS n FROM lineitem GROUP BY l_orderkey")
 def clean_tables(spark, sf_dir):
     """A first row of words becomes the header of a table without one."""
     words = F.array(*map(F.lit, ("Item", "Price", "Discount", "Quantity")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,22 @@ from ..functions import arrays
 from ..operators.analytics import require_unique
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or that of `setCheckpointDir`.
+
+    A session whose executors are threads of the driver and that has neither gets a temporary one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """(doc_id, path, size) of files, without reading them; the id is the name without its ending."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
@@ -62,7 +79,15 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("wholetext", "true").text(path)
     whole = F.from_json("value", f"array<struct<{_struct(EVAL_FIELDS)}>>")
     inner = F.from_json("value", f"struct<queries:array<struct<{_struct(EVAL_FIELDS)}>>>")["queries"]
-    items = raw.select(F.explode(F.when(F.rlike("value", F.lit(r"^\s*\[")), whole).otherwise(inner)).alias("q")).select("q.*")
+    return _eval_items(raw.select(F.explode(F.when(F.rlike("value", F.lit(r"^\s*\[")), whole).otherwise(inner)).alias("q")).select("q.*"))
+
+
+def read_eval_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of JSON lines, an item each: a set of any size, in as many tasks as it has splits."""
+    return _eval_items(spark.read.schema(EVAL_FIELDS).json(path))
+
+
+def _eval_items(items: DataFrame) -> DataFrame:
     pages = F.transform(F.coalesce("gold_pages", "expected_pages", F.array().cast("array<string>")), arrays.int_if_whole)
     text = F.coalesce("query_text", "question", "query")
     return items.select("query_id", text.alias("text"), F.array_compact(pages).alias("gold_pages"), "doc_id", "expected_answer", "difficulty", "evidence_layout", "expected_section", "expected_subsection", "rewrites")

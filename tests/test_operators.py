@@ -90,8 +90,23 @@ def test_table_chunks(spark):
     t = spark.createDataFrame([("t", 1, ["Line", "2024", "2025"], [["a", "1", "2"], ["b", "3", "4"], ["c", "5", "6"]])], "table_id string, page_number int, headers array<string>, cells array<array<string>>")
     whole = " ".join(r["text"] for r in tables.table_chunks(t, "row_preserving", 20).collect())
     assert all(x in whole for x in ("a | 1 | 2", "b | 3 | 4", "c | 5 | 6"))
-    two = tables.table_chunks(t, "two_stage", 30).collect()
-    assert {r["table_chunk_kind"] for r in two} == {"header", "body"} and all("COLUMNS:" in r["text"] for r in two)
+    assert all(r["text"].startswith("TABLE | page=1 | ") and "\nCOLUMNS: Line | 2024 | 2025\n" in r["text"] for r in tables.table_chunks(t, "row_preserving", 20).collect())
+    staff = spark.createDataFrame([("s", 83, ["Category", "2024", ""], [["Staff costs", "100", "£110"], ["Agency", "", "15"], ["Other", "10", "in 2019/20"]], "Staff  costs table\nmore", "staff_costs", "a: 1")], "table_id string, page_number int, headers array<string>, cells array<array<string>>, summary string, table_type string, injected_facts string")
+    two = [(r["table_chunk_kind"], r["text"]) for r in tables.table_chunks(staff, "two_stage", 30).collect()]
+    head = "TABLE | page=83 | Staff costs table\nCOLUMNS: Category | 2024 | col_3"
+    assert two[0] == ("header", f"{head}\nUNITS: Staff costs | 100 | £110\nYEAR_LABELS: Other | 10 | in 2019/20")
+    assert two[1:] == [("body", f"{head}\nStaff costs | 100 | £110\nAgency | - | 15\nOther | 10 | in 2019/20")]
+    whole = tables.table_chunks(staff).collect()
+    assert [(r["table_chunk_kind"], r["text"].split("\n\n")) for r in whole] == [("full_table", ["Staff  costs table\nmore", "Table (header-injected facts):", "a: 1", "Table (markdown):", "| Category | 2024 |  |\n| --- | --- | --- |\n| Staff costs | 100 | £110 |\n| Agency |  | 15 |\n| Other | 10 | in 2019/20 |"])]
+
+
+def test_row_block_chunks(spark):
+    cells = [["Income", "", ""], ["Fees", "1", "2"], ["", "", ""], ["Costs", "-", "n/a"], ["Pay", "", "4"], ["", "5", ""]]
+    t = spark.createDataFrame([("t", 7, ["Line", "2024", "2025"], cells, "The table", "staff_costs")], "table_id string, page_number int, headers array<string>, cells array<array<string>>, summary string, table_type string")
+    got = [(r["table_chunk_kind"], r["text"]) for r in tables.table_chunks(t, "row_blocks").collect()]
+    assert got[0] == ("summary", "Table: The table\nPage: 7\nType: Staff Costs\nThe table\nColumns: Line | 2024 | 2025\nKey rows:\n- Fees | 1 | 2\n- Costs | - | n/a\n- Pay | 4")
+    assert got[1:] == [("row_block", "Table: The table\nPage: 7\nType: Staff Costs\nCategories in block: Income | Costs\nColumns: Line | 2024 | 2025\nRows:\nLine | 2024 | 2025\nIncome :: Fees | 1 | 2\nCosts :: Pay | - | 4\nCosts :: - | 5 | -\nFacts:\n- [Category: Income] Fees > 2024 : 1\n- [Category: Income] Fees > 2025 : 2\n- [Category: Costs] Pay > 2025 : 4\n- [Category: Costs] row_6 > 2024 : 5")]
+    assert [(r["label"], r["category"], r["row_no"]) for r in tables.row_records(t).collect()] == [("Fees", "Income", 1), ("Pay", "Costs", 4), ("", "Costs", 5)]
 
 
 def test_pack_lines_budget(spark):
@@ -100,10 +115,16 @@ def test_pack_lines_budget(spark):
 
 
 def test_row_groups(spark):
-    rows = [("t", i, "General", "x", "w " * (500 if i == 3 else 100), []) for i in range(6)]
-    records = spark.createDataFrame(rows, "table_id string, row_no int, category string, label string, line string, fact_lines array<string>")
-    groups = [r["rows"] for r in tables.pack_groups(records).orderBy("group_no").collect()]
-    assert groups == [[0, 1, 2], [3], [4, 5]]
+    def blocks(words, **limits):
+        cells = [[f"r{i}", " ".join(["w"] * n)] for i, n in enumerate(words)]
+        t = spark.createDataFrame([("t", 1, ["a", "b"], cells, "cap", "kind", ["a", "b"])], "table_id string, page_number int, headers array<string>, cells array<array<string>>, caption string, kind string, names array<string>")
+        return [list(range(r["first_row"], r["last_row"] + 1)) for r in tables.row_blocks(t, **limits).orderBy("block_no").collect()]
+
+    # a row of n words counts twice: as a row and as a fact
+    assert blocks([40] * 6) == [[0, 1, 2], [3, 4, 5]]
+    assert blocks([40, 40, 300, 40, 40]) == [[0, 1], [2], [3, 4]]
+    assert blocks([1] * 12) == [list(range(10)), [10, 11]]
+    assert blocks([40] * 3, target=400, hard=200) == [[0], [1], [2]]
 
 
 def test_constrained_extraction(spark):
