@@ -79,7 +79,7 @@ ZERO_WIDTH = ("​", "‌", "‍", "﻿")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 # Retrieval defaults.
-BM25_K1, BM25_B = 1.5, 0.75
+BM25_K1, BM25_B, OKAPI_EPSILON = 1.5, 0.75, 0.25
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 20, 0.5, 2.0
 CROSS_ENCODER_WEIGHT = 0.2
 BOOST_TABLE, BOOST_ENTITY, BOOST_DENSITY, BOOST_SEGMENT, BOOST_SUBSECTION, CROSS_PAGE_PENALTY = 0.08, 0.04, 0.03, 0.03, 0.05, 0.08

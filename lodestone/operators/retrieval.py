@@ -22,17 +22,32 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= most else df
 
 
-def postings(chunks: DataFrame, hyphens: bool = True) -> DataFrame:
-    """(chunk_id, term, tf, dl) of chunks (chunk_id, text): one shuffle, terms counted within a chunk before it."""
-    tokens = chunks.select("chunk_id", tx.tokenize(F.col("text"), hyphens).alias("tokens"))
-    each = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def bm25_index(chunks: DataFrame, hyphens: bool = True) -> DataFrame:
+    """(chunk_id, dl, terms: array of (term, tf)) of chunks (chunk_id, text): made row by row, without a shuffle.
 
+    Written once, it serves any number of queries; scans for the corpus figures read `dl` alone.
+    """
+    sorted_ = F.array_sort(tx.tokenize(F.col("text"), hyphens))
+
+    def counted(tokens: Column) -> Column:
+        # where runs of equal terms begin, and where the next one does
+        starts = F.filter(F.transform(tokens, lambda t, i: F.when((i == 0) | (F.get(tokens, i - 1) != t), i)), lambda i: i.isNotNull())
+        ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(F.size(tokens)))
+        runs = F.zip_with(starts, F.slice(ends, F.lit(1), F.size(starts)), lambda x, y: F.struct(F.get(tokens, x).alias("term"), (y - x).alias("tf")))
+        return F.struct(F.size(tokens).alias("dl"), runs.alias("terms"))
+
+    made = chunks.select("chunk_id", F.get(F.transform(F.array(sorted_), counted), F.lit(0)).alias("x"))
+    return made.select("chunk_id", "x.dl", "x.terms")
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf, dl)."""
+    return index.select("chunk_id", "dl", F.explode("terms").alias("t")).select("chunk_id", "t.term", "t.tf", "dl")
 
-def corpus_stats(chunks: DataFrame, hyphens: bool = True) -> DataFrame:
+
+def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: number of chunks, empty ones included, and their average length."""
-    size = F.size(tx.tokenize(F.col("text"), hyphens))
-    return chunks.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avgdl"))
+    return index.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -49,28 +64,42 @@ def query_terms(queries: DataFrame, hyphens: bool = True) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tx.tokenize(F.col("text"), hyphens))).alias("term"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = lex.BM25_K1, b: float = lex.BM25_B, hyphens: bool = True) -> DataFrame:
-    """(query_id, chunk_id, score) of pairs with a term in common.
+def _wanted(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """Postings of terms that some query has, dealt by chunk: what is summed for a chunk needs no further shuffle."""
+    return postings(index).join(small(terms.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
 
-    Only postings of terms that some query has leave the scan's stage; their counts
-    and the documents' frequencies come from the same rows.
-    """
+
+def bm25_scores(queries: DataFrame, index: DataFrame, k1: float = lex.BM25_K1, b: float = lex.BM25_B, hyphens: bool = True) -> DataFrame:
+    """(query_id, chunk_id, score) of pairs with a term in common, out of a `bm25_index`."""
     terms = query_terms(queries, hyphens)
-    vocabulary = terms.select("term").distinct()
-    tokens = chunks.select("chunk_id", tx.tokenize(F.col("text"), hyphens).alias("tokens"))
-    each = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    wanted = each.join(small(vocabulary), "term", "left_semi")
-    posts = wanted.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(chunks, hyphens))  # one row
-    asked = terms.join(df, "term").crossJoin(stats)
+    posts = _wanted(terms, index)
+    df = postings(index).join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    asked = terms.join(df, "term").crossJoin(F.broadcast(corpus_stats(index)))  # one row
     weighed = asked.select("query_id", "term", "avgdl", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    return _summed(weighed, posts, small(terms) is not terms, k1, b)
+
+
+def _summed(weighed: DataFrame, posts: DataFrame, few: bool, k1: float, b: float) -> DataFrame:
+    """Weights (query_id, term, idf, avgdl) times what a term counts for in a chunk; weights are as many as the queries' terms."""
     tf = F.col("tf")
     norm = tf + k1 * (1 - b + b * (F.col("dl") / F.greatest("avgdl", F.lit(1e-9))))
-    scored = weighed.join(posts, "term").select("query_id", "chunk_id", (F.col("idf") * (tf * (k1 + 1) / F.greatest(norm, F.lit(1e-12)))).alias("s"))
+    scored = posts.join(F.broadcast(weighed) if few else weighed, "term").select("query_id", "chunk_id", (F.col("idf") * (tf * (k1 + 1) / F.greatest(norm, F.lit(1e-12)))).alias("s"))
     return scored.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
 
 
+def okapi_scores(queries: DataFrame, index: DataFrame, k1: float = lex.BM25_K1, b: float = lex.BM25_B, epsilon: float = lex.OKAPI_EPSILON, hyphens: bool = True) -> DataFrame:
+    """The Okapi form: the weight is ln((N - df + 0.5) / (df + 0.5)); a negative one becomes `epsilon` times the mean weight of all terms. Repeated query terms count each time."""
+    each = queries.select("query_id", F.explode(tx.tokenize(F.col("text"), hyphens)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    stats = corpus_stats(index)
+    weight = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    every = postings(index).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "avgdl", weight.alias("w"))
+    mean = every.agg(F.avg("w").alias("mean"))
+    asked = every.join(small(each), "term").crossJoin(F.broadcast(mean))
+    raised = F.when(F.col("w") < 0, epsilon * F.col("mean")).otherwise(F.col("w"))
+    weighed = asked.select("query_id", "term", "avgdl", (raised * F.col("times")).alias("idf"))
+    return _summed(weighed, _wanted(each, index), small(each) is not each, k1, b)
+
+
 def top_k(scores: DataFrame, k: int, *ties: str, digits: int | None = None) -> DataFrame:
     """The k best of each query with rank; ties go by columns (ascending).
 
@@ -104,20 +133,34 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+#: Queries to a part of the vectors in `dense_top_k`, where they are many.
+QUERY_BLOCK = 512
+
+
 def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): every query against every vector, in blocks.
+    """(query_id, chunk_id, score): every query against every vector; for queries that are known to be few."""
+    q = queries.select("query_id", F.col("embedding").alias("q"))
+    return vectors.crossJoin(small(q)).select("query_id", "chunk_id", inner_product(F.col("q"), F.col("embedding")).alias("score"))
+
 
-    The stated queries are the small side. If they aren't known to be small, they are
-    spread over blocks and meet the vectors block by block.
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, *ties: str, digits: int | None = None) -> DataFrame:
+    """The k best vectors of each query.
+
+    Few queries are a broadcast, and each task keeps k rows a query. Otherwise vectors are dealt
+    into parts, more of them the more queries there are, and each part meets all queries: what is
+    copied are the queries, once for each part, and k rows a query leave a part.
     """
     q = queries.select("query_id", F.col("embedding").alias("q"))
-    score = inner_product(F.col("q"), F.col("embedding")).alias("score")
     if small(q) is not q:
-        return vectors.crossJoin(F.broadcast(q)).select("query_id", "chunk_id", score)
-    blocks = 16
-    spread = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    copies = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
-    return copies.join(spread, "block").select("query_id", "chunk_id", score)
+        return top_k(dense_scores(queries, vectors), k, *ties, digits=digits)
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-q.count() // QUERY_BLOCK))
+    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
+    copies = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    scored = dealt.join(copies, "part").select("query_id", "chunk_id", "part", inner_product(F.col("q"), F.col("embedding")).alias("score"))
+    score = F.round("score", digits) if digits is not None else F.col("score")
+    order = [score.desc(), *(F.col(t) for t in ties)]
+    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("part", "query_id").orderBy(*order))).where(F.col("n") <= k).drop("n", "part")
+    return top_k(best, k, *ties, digits=digits)
 
 
 def _both(dense: DataFrame, sparse: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chunking, evaluation
 from ..operators import retrieval as rt
+from ..sources import io
 
 QUERIES, ORACLES = {}, {}
 
@@ -38,8 +39,19 @@ def asked(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_INDEXES: dict[tuple[str, str, int], DataFrame] = {}
+
+
+def index(spark, sf_dir) -> DataFrame:
+    """The documents' BM25 index, built once in an application for a state of the table."""
+    key = io.version(spark, f"{sf_dir}/documents.parquet")
+    if key not in _INDEXES:
+        _INDEXES[key] = io.stored(rt.bm25_index(chunks(spark, sf_dir)), "bm25")
+    return _INDEXES[key]
+
+
 def sparse_list(spark, sf_dir, k=100) -> DataFrame:
-    return rt.top_k(rt.bm25_scores(asked(spark, sf_dir), chunks(spark, sf_dir)).withColumn("score", F.round("score", 6)), k, "chunk_id")
+    return rt.top_k(rt.bm25_scores(asked(spark, sf_dir), index(spark, sf_dir)).withColumn("score", F.round("score", 6)), k, "chunk_id")
 
 
 def vector_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +62,7 @@ def vector_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def dense_list(spark, sf_dir, k=100) -> DataFrame:
-    return rt.top_k(rt.dense_scores(*vector_sides(spark, sf_dir)).withColumn("score", F.round("score", 6)), k, "chunk_id")
+    return rt.dense_top_k(*vector_sides(spark, sf_dir), k, "chunk_id", digits=6).withColumn("score", F.round("score", 6))
 
 
 TOK = r"regexp_extract_all(lower({}), '[a-z0-9][a-z0-9\-]{{1,}}')"
@@ -96,8 +108,19 @@ def bm25_zero_filled(spark, sf_dir):
 @register("bm25_term_stats", f"WITH {BM25} SELECT term, df, round(idf, 9) AS idf FROM dfs WHERE df > 1")
 def bm25_term_stats(spark, sf_dir):
     """G1."""
-    c = chunks(spark, sf_dir)
-    return rt.term_stats(rt.postings(c), rt.corpus_stats(c)).where("df > 1").select("term", "df", F.round("idf", 9).alias("idf"))
+    i = index(spark, sf_dir)
+    return rt.term_stats(rt.postings(i), rt.corpus_stats(i)).where("df > 1").select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@register("okapi_topk", f"""WITH {BM25}, ow AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS w FROM post, st GROUP BY term),
+oi AS (SELECT term, CASE WHEN w < 0 THEN 0.25 * (SELECT avg(w) FROM ow) ELSE w END AS w FROM ow),
+oq AS (SELECT item_id, unnest({TOK.format("text")}) AS term FROM benchmark),
+os AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM oq JOIN post USING (term) JOIN oi USING (term), st GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM os QUALIFY rank <= 10""")
+def okapi_topk(spark, sf_dir):
+    """The Okapi form."""
+    s = rt.okapi_scores(asked(spark, sf_dir), index(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return rt.top_k(s, 10, "chunk_id").select("query_id", "rank", "chunk_id", "score")
 
 
 @register("tokenizer_variants", r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-]{1,}')) AS with_hyphens, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9]{1,}')) AS without FROM documents""")
@@ -283,7 +306,7 @@ m AS (SELECT query_id, chunk_id, max(score) AS score, arg_max(variant, score * 1
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, variant, chunk_id) AS rank, chunk_id, score FROM m QUALIFY rank <= 10""")
 def multi_variant_merge(spark, sf_dir):
     """Items of the same last digit as variants of one query."""
-    s = rt.bm25_scores(asked(spark, sf_dir), chunks(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    s = rt.bm25_scores(asked(spark, sf_dir), index(spark, sf_dir)).withColumn("score", F.round("score", 6))
     v = s.select((F.col("query_id") % 10).alias("query_id"), "chunk_id", "score", F.floor(F.col("query_id") / 10).alias("variant"))
     return rt.merge_variants(v).where("rank <= 10").select("query_id", "rank", "chunk_id", "score")
 

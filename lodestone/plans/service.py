@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..operators import answering, chunking, classify, evaluation, sections
 from ..operators import retrieval as rt
 from ..operators.analytics import require_unique
+from ..sources import io
 
 
 @dataclass(frozen=True)
@@ -44,15 +45,17 @@ def ingest(docs: DataFrame, per_page: int = 10) -> DataFrame:
     return chunking.chunks_of(pages).join(typed, ["doc_id", "page_number"]).join(labels, ["doc_id", "page_number"], "left")
 
 
-def search(questions: DataFrame, chunks: DataFrame, config: SearchConfig = SearchConfig(), question_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None) -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, config: SearchConfig = SearchConfig(), question_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, bm25: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, score, chunk_id, doc_id, page_number, pages, snippet) for questions (query_id, text).
 
     With vectors (query_id or chunk_id, embedding) both rankings are fused; without, it is BM25 alone.
+    `bm25` is the chunks' `bm25_index` if there is one already.
     """
     checked = questions.where(F.length(F.trim("text")).between(1, 2000))
-    sparse = rt.top_k(rt.bm25_scores(checked, chunks), config.depth, "chunk_id", digits=9)
+    index = bm25 if bm25 is not None else io.stored(rt.bm25_index(chunks), "bm25")
+    sparse = rt.top_k(rt.bm25_scores(checked, index), config.depth, "chunk_id", digits=9)
     if question_vectors is not None and chunk_vectors is not None:
-        dense = rt.top_k(rt.dense_scores(question_vectors, chunk_vectors), config.depth, "chunk_id", digits=9)
+        dense = rt.dense_top_k(question_vectors, chunk_vectors, config.depth, "chunk_id", digits=9)
         weights = {"dense_weight": config.dense_weight, "sparse_weight": config.sparse_weight}
         ranked = rt.fuse(config.fusion, dense, sparse, k=config.rrf_k, **weights)
     else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written into the shared folder, and a scan of it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def version(spark: SparkSession, path: str) -> tuple[str, str, int]:
+    """What tells a table's state in this application: where it is and when it last changed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    return spark.sparkContext.applicationId, path, status.getModificationTime()
+
+
 def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """(doc_id, path, size) of files, without reading them; the id is the name without its ending."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
