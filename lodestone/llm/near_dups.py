@@ -7,21 +7,21 @@ what they say and in its order: the chance falls with edits and with rearrangeme
 Several sketches are taken; texts that share one are in a bucket, and are candidates.
 
 Two texts are linked if an alignment of their words, within the band of diagonals that the
-bound allows, shows one of two things. Either it takes at most a share `edits` of the
-longer text's words as edits (a word put in, left out or replaced). Or it has enough
-shingles in common: matched / (all of both - matched) is at least `similarity`; the
-alignment of fewest insertions and deletions is tried first; where it falls short, the one that
-matches most shingles decides. Classes are the connected components of links.
+bound allows, shows one of two things at a similarity of 0.8. Either words: edits (a word put
+in, left out or replaced) are at most 1 - `similarity` of the longer text's words. Or
+shingles: matched / (all of both - matched) is at least `similarity`; the alignment of fewest
+insertions and deletions is tried first; where it falls short, the one that matches most
+shingles decides. Classes are the connected components of links.
 
 Copies (the same words) collapse first. In a bucket, a few turns link a member of each
-component to a hub, so that a large group costs a link for each member. Then the pairs of
-members that are still in different components are settled, all of them: in a bucket of up
-to `SMALL` members pair by pair; for members of larger ones by an exact set join. Linked
-texts have at least about 0.8 of the longer one's pairs of neighbouring words in common
-(`least_grams`), so they share one of each text's rarest ones, as many as it can lack and one more:
-only texts that share such a prefix meet, in any bucket. Counters of word pairs (`bins`)
-rule out pairs before their words are read, and never one that counts. So no candidate pair is left
-out, and classes don't depend on the hubs.
+component to a hub, the first turn in a part of the sketches, so that a large group costs few
+links for each member. Then the pairs of members that are still in different components are
+settled, all of them: in a bucket of up to `SMALL` members pair by pair; for members of larger
+ones by an exact set join. Linked texts have at least 0.8 of the longer one's words in common
+(`least_words`). So of each text's rarest words, as many as it can lack and `SHARED` more, they
+share `SHARED` at least: only texts that do meet, in any bucket. Counters of words (`bins`) rule out
+pairs before their words are read, and never one that counts. So no candidate pair is left out, and
+classes don't depend on the hubs.
 
 Defined results: null texts and texts without words are in classes of their own, row by
 row. Texts of fewer than five words match only copies. Texts are read whole. Repeated
@@ -51,28 +51,32 @@ ship_by_value(__name__)
 BLOCK = 400_000
 #: Members of a bucket that are compared pair by pair; larger ones go into the set join.
 SMALL = 12
-#: Counters of word pairs in a text's `bins`.
+#: Words that two prefixes have to share.
+SHARED = 3
+#: Counters of words in a text's `bins`.
 BINS = 256
 
 
 class Settings(NamedTuple):
     width: int = 5
-    sketches: int = 24
+    sketches: int = 32
     picks: int = 2
     similarity: float = 0.8
-    edits: float = 0.1
     rounds: int = 2
     small: int = SMALL
 
 
-def least_grams(words, s: Settings):
-    """How many word pairs (of `words` - 1) a text of so many words has in common with any text linked to it that isn't longer.
+def most_edits(words, s: Settings):
+    """How many edits a link to a text of so many words that isn't longer may take."""
+    return np.floor((1 - s.similarity) * words + 1e-9)
 
-    An edit takes two at most; matched shingles that make up the similarity stand in one run at worst.
+
+def least_words(words, s: Settings):
+    """How many of its words a text has in common with any text linked to it that isn't longer.
+
+    An edit takes one at most; matched shingles that make up the similarity stand in one run at worst.
     """
-    edited = words - 1 - 2 * np.floor(s.edits * words + 1e-9)
-    alike = np.ceil(s.similarity * (words - s.width + 1) - 1e-6) + s.width - 2
-    return np.minimum(edited, alike)
+    return np.minimum(words - most_edits(words, s), np.ceil(s.similarity * (words - s.width + 1) - 1e-6) + s.width - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -295,10 +299,10 @@ def linked(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
     if len(x) < s.width or len(y) < s.width:
         return bool(np.array_equal(x, y))
     longer = max(len(x), len(y))
-    if shared_at_most(x, y, 2) < least_grams(longer, s):
+    if shared_at_most(x, y, 1) < least_words(longer, s):
         return False
     a, b = x.tolist(), y.tolist()
-    if edits_within(a, b, int(s.edits * longer + 1e-9)) >= 0:
+    if edits_within(a, b, int(most_edits(longer, s))) >= 0:
         return True
     total = len(x) + len(y) - 2 * (s.width - 1)
     most = shared_at_most(x, y, s.width)
@@ -333,8 +337,8 @@ def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
             step = _mix(words * np.uint64(2 * j + 3) + _mix(place + np.uint64(j << 40)))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(step)])
             digest[:, j] = _mix(sums[offsets[1:]] - sums[offsets[:-1]] + sizes.astype(np.uint64))
-        grams, owner, _ = plain_shingles(words, starts, sizes, 2)
-        bins = np.bincount(owner * BINS + (grams >> np.uint64(32)).astype(np.int64) % BINS, minlength=len(sizes) * BINS)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        bins = np.bincount(owner * BINS + (words >> np.uint64(32)).astype(np.int64) % BINS, minlength=len(sizes) * BINS)
         bins = np.minimum(bins, 255).astype(np.uint8).reshape(len(sizes), BINS)
         ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * s.sketches)
         listed = pa.ListArray.from_arrays(ends, pa.array(sketches.view(np.int64).ravel()))
@@ -354,7 +358,7 @@ def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, features: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose counters of word pairs allow a link: the sum of the lesser ones bounds what is in common."""
+    """The pairs (a, b) whose counters of words allow a link: the sum of the lesser ones bounds what is in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,7 +366,7 @@ def _possible(pairs: DataFrame, features: DataFrame, s: Settings) -> DataFrame:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in (batch.column(4), batch.column(5)))
             least = np.minimum(x, y)
             # a full counter says nothing
-            good = (least.sum(axis=1, dtype=np.int64) >= least_grams(longer, s)) | (least == 255).any(axis=1)
+            good = (least.sum(axis=1, dtype=np.int64) >= least_words(longer, s)) | (least == 255).any(axis=1)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     with_a = pairs.join(features.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")), "a")
@@ -387,7 +391,8 @@ def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 def _near(a: Column, b: Column, s: Settings) -> Column:
     """Whether numbers of shingles allow a link."""
-    return F.least(a, b) >= min(s.similarity, 1 - 2 * s.edits) * F.greatest(a, b)
+    # of words, the shorter text has 0.8 at least; of shingles, that is less by up to one
+    return F.least(a, b) + 1 >= s.similarity * F.greatest(a, b)
 
 
 def _hub_pairs(members: DataFrame, turn: int, s: Settings) -> DataFrame:
@@ -407,8 +412,8 @@ def _hub_pairs(members: DataFrame, turn: int, s: Settings) -> DataFrame:
     return met.where(_near(F.col("x.n"), F.col("hub.n"), s)).select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
 
 
-def _different(groups: DataFrame, key: str, s: Settings) -> DataFrame:
-    """Pairs (a, b) of rows of a `key` with different labels.
+def _different(groups: DataFrame, key: str, s: Settings, least: int = 1) -> DataFrame:
+    """Pairs (a, b) of rows of at least `least` equal `key`s with different labels.
 
     Rows of a key's most frequent label meet the others, never one another.
     """
@@ -416,13 +421,16 @@ def _different(groups: DataFrame, key: str, s: Settings) -> DataFrame:
     main = counts.groupBy(key).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     marked = groups.join(main, key)
     others = marked.where("label != main").select(key, F.struct("node", "n", "label").alias("x"))
-    every = marked.select(key, "node", "n", "label")
+    every = marked.select(key, "node", "n", "label", "main")
     met = every.join(others, key).where((F.col("label") != F.col("x.label")) & _near(F.col("n"), F.col("x.n"), s))
-    return met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+    # two rows that both aren't of the main label meet twice
+    ways = F.when((F.col("label") != F.col("main")), 1).otherwise(2)
+    pairs = met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"), ways.alias("ways"))
+    return pairs.groupBy("a", "b").agg(F.sum("ways").alias("ways")).where(F.col("ways") >= 2 * least).select("a", "b")
 
 
 def _prefixes(nodes: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
-    """(token, node, n, label): of each text its rarest word pairs, as many as a linked text may lack and one more."""
+    """(token, node, n, label): of each text its rarest words (labelled like shingles), as many as a linked text may lack and `SHARED` more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,7 +438,7 @@ def _prefixes(nodes: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
             offsets = lists.offsets.to_numpy().astype(np.int64)
             hashes = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64)
             offsets = offsets - offsets[0]
-            grams, counts = shingle_hashes(hashes, offsets[:-1], np.diff(offsets), 2)
+            grams, counts = shingle_hashes(hashes, offsets[:-1], np.diff(offsets), 1)
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))], ["node", "tokens"])
         free_memory()
@@ -440,9 +448,9 @@ def _prefixes(nodes: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
     size = F.col("n") + (s.width - 1)
-    edited = size - 1 - 2 * F.floor(s.edits * size + 1e-9)
-    alike = F.ceil(s.similarity * F.col("n") - 1e-6) + (s.width - 2)
-    prefix = F.slice("ranked", 1, (size - 1 - F.least(edited, alike) + 1).cast("int"))
+    edited = size - F.floor((1 - s.similarity) * size + 1e-9)
+    alike = F.ceil(s.similarity * F.col("n") - 1e-6) + (s.width - 1)
+    prefix = F.slice("ranked", 1, (size - F.least(edited, alike) + SHARED).cast("int"))
     each = ranked.join(nodes, "node").select("node", "n", "label", F.explode(prefix).alias("x"))
     return each.where("x.often > 1").select(F.col("x.token").alias("token"), "node", "n", "label")
 
@@ -454,7 +462,7 @@ def _remaining_pairs(members: DataFrame, words: DataFrame, s: Settings) -> DataF
     few = _different(mixed.where(F.col("size") <= s.small), "bucket", s)
     large = mixed.where(F.col("size") > s.small).select("node", "n", "label").distinct()
     prefixes = materialize(_prefixes(materialize(large, "large"), words, s), "prefixes")
-    return few.unionByName(_different(prefixes, "token", s)).distinct()
+    return few.unionByName(_different(prefixes, "token", s, SHARED)).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> tuple[DataFrame, str]:
@@ -471,16 +479,17 @@ def _classes(docs: DataFrame, s: Settings, key: str) -> tuple[DataFrame, str]:
     worded = features.where("n > 0")
     one = worded.groupBy("digest").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     nodes = materialize(one.withColumn("mark", F.xxhash64("digest")), "texts")
-    keyed = nodes.where(F.col("n") > 1).select("node", "n", "mark", F.explode("sketches").alias("bucket"))
+    keyed = nodes.where(F.col("n") > 1).select("node", "n", "mark", F.posexplode("sketches").alias("sketch", "bucket"))
     several = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = materialize(keyed.join(several, "bucket"), "buckets")
     likely = texts.where(bloom.build(members.select("node").distinct(), "node").may_contain(F.col("row")))
     words = materialize(likely.select("row", _word_hashes(F.col("text"), F.hash, "int").alias("words")), "words")
     links, tried, labels = None, None, None
     for turn in range(s.rounds + 1):
-        chosen = members.select("bucket", "node", "n", "mark", F.col("node").alias("label"))
+        some = members.where(F.col("sketch") < s.sketches // 4) if turn == 0 else members
+        chosen = some.select("bucket", "node", "n", "mark", F.col("node").alias("label"))
         if labels is not None:
-            labelled = members.join(labels, "node", "left")
+            labelled = some.join(labels, "node", "left")
             chosen = labelled.select("bucket", "node", "n", "mark", F.coalesce("label", "node").alias("label"))
         pairs = _hub_pairs(chosen, turn, s) if turn < s.rounds else _remaining_pairs(chosen, words, s)
         if tried is not None:

@@ -34,8 +34,8 @@ def word_edits(a, b):
     return int(row[-1])
 
 
-def brute_links(texts, similarity=0.8, edits=0.1):
-    """Linked pairs of different texts, of all that share a shingle (others can't be linked)."""
+def brute_links(texts, similarity=0.8, edits=0.2):
+    """Linked pairs of texts, of all that share a shingle (others can't be candidates)."""
     words = [words_of(t) for t in texts]
     bags = [shingles(w) for w in words]
     where, known = {}, {}
@@ -48,7 +48,7 @@ def brute_links(texts, similarity=0.8, edits=0.1):
             if key not in known:
                 both, longer = sum((bag & bags[j]).values()), max(len(words[i]), len(words[j]))
                 alike = both >= similarity * (sum(bag.values()) + sum(bags[j].values()) - both)
-                known[key] = alike or key[0] == key[1] or min(len(words[i]), len(words[j])) >= 5 and abs(len(words[i]) - len(words[j])) <= edits * longer and word_edits(words[i], words[j]) <= edits * longer
+                known[key] = alike or key[0] == key[1] or min(len(words[i]), len(words[j])) >= 5 and abs(len(words[i]) - len(words[j])) <= edits * longer and word_edits(words[i], words[j]) <= edits * longer + 1e-9
             if known[key]:
                 yield j, i
 
@@ -153,9 +153,9 @@ def test_sketches_feel_order(spark):
     assert sum(x == y for x, y in zip(a, b, strict=True)) < 12
 
 
-def shared_passage(rng, families):
+def shared_passage(rng, families, letter):
     """Pairs of near copies, one pair a family, that all have a passage in common."""
-    passage = [f"p{i}" for i in range(60)]
+    passage = [f"{letter}{i}" for i in range(60)]
     rows = []
     for f in range(families):
         own = [f"f{f}x{i}" for i in range(40)]
@@ -165,11 +165,14 @@ def shared_passage(rng, families):
 
 
 def test_all_pairs_of_a_crowded_bucket(spark):
-    rows = shared_passage(random.Random(3), 60)
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    s = near_dups.Settings(sketches=1, picks=1)
-    hashed = df.select(F.col("doc_id").alias("row"), near_dups._word_hashes(F.col("text"), F.xxhash64, "bigint").alias("words"))
-    sketch = {r["row"]: r["sketches"][0] for r in near_dups.sketch_texts(hashed, s).collect()}
+    s = near_dups.Settings(sketches=4, picks=1)
+    for letter in "pqrstuvw":  # the first whose passage has the least hash for many
+        rows = shared_passage(random.Random(3), 60, letter)
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        hashed = df.select(F.col("doc_id").alias("row"), near_dups._word_hashes(F.col("text"), F.xxhash64, "bigint").alias("words"))
+        sketch = {r["row"]: r["sketches"][0] for r in near_dups.sketch_texts(hashed, s).collect()}
+        if max(Counter(sketch.values()).values()) > 20:
+            break
     assert max(Counter(sketch.values()).values()) > 20  # many families in one bucket
     family = lambda i: rows[i].split(" ")[60]
     want = Counter((family(i), sketch[i]) for i in sketch)
@@ -245,7 +248,7 @@ def test_edits_within():
             assert near_dups.edits_within(a, b, max(most, 0)) == (want if want <= max(most, 0) else -1)
 
 
-def test_linked_texts_share_enough_word_pairs():
+def test_linked_texts_share_enough_words():
     s = near_dups.Settings()
     rng = random.Random(11)
     for _ in range(300):
@@ -257,6 +260,6 @@ def test_linked_texts_share_enough_word_pairs():
         b = np.array(b)
         total = len(a) + len(b) - 8
         in_order = near_dups.alignment_similarity(a.tolist(), b.tolist(), s) >= 0.8 if min(len(a), len(b)) >= 5 else False
-        edited = word_edits(a.astype(str).tolist(), b.astype(str).tolist()) <= 0.1 * max(len(a), len(b)) + 1e-9
+        edited = word_edits(a.astype(str).tolist(), b.astype(str).tolist()) <= 0.2 * max(len(a), len(b)) + 1e-9
         if total > 0 and min(len(a), len(b)) >= 5:
             assert near_dups.linked(a, b, s) == (in_order or edited)
