@@ -301,3 +301,24 @@ def regions(lines: DataFrame) -> DataFrame:
     merged = sized.withColumn("region", F.sum(opens.cast("int")).over(page.orderBy("y0", "x0").rowsBetween(Window.unboundedPreceding, 0)))
     out = merged.groupBy("doc_id", "page_number", "region").agg(F.count("*").alias("line_count"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))).alias("l"))
     return out.select("doc_id", "page_number", "region", "line_count", "y0", "y1", F.array_join(F.col("l.text"), "\n").alias("text"))
+
+
+def lines_of_words(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """(doc_id, page_number, line_no, text, x0, x1, y0, y1): positioned words (doc_id, page_number, text, x0, x1, top, bottom) as lines.
+
+    From the top on, a word joins the line whose first word is at most `tolerance` above it; a line's words go from left to right.
+    """
+    page = words.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "text"))).alias("w"))
+    zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("lines"))
+
+    def step(a: Column, w: Column) -> Column:
+        opens = a["y"].isNull() | (F.abs(w["top"] - a["y"]) > tolerance)
+        n = F.when(opens, a["n"] + 1).otherwise(a["n"])
+        return F.struct(F.when(opens, w["top"].cast("double")).otherwise(a["y"]).alias("y"), n.alias("n"), F.concat(a["lines"], F.array(n)).alias("lines"))
+
+    placed = page.select("doc_id", "page_number", F.explode(F.arrays_zip("w", F.aggregate("w", zero, step, lambda a: a["lines"]).alias("line"))).alias("x"))
+    each = placed.select("doc_id", "page_number", F.col("x.line").alias("line"), "x.w.*")
+    told = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "text"))), lambda x: F.trim(x["text"])), lambda x: x != ""), " ")
+    lines = each.groupBy("doc_id", "page_number", "line").agg(told.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("y0"), F.max("bottom").alias("y1"))
+    order = Window.partitionBy("doc_id", "page_number").orderBy("y0", "x0")
+    return lines.withColumn("text", tx.normalize_line(F.col("text"))).where("text != ''").withColumn("line_no", F.row_number().over(order)).drop("line")

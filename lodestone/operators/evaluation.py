@@ -30,6 +30,38 @@ def precision_at_k(predicted: Column, gold: Column, k: int) -> Column:
     return F.when(F.size(top) > 0, hits / F.size(top)).otherwise(F.lit(0.0))
 
 
+def table_hits(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(query_id, table_hit_at_k for each k): 1.0 if a table among the first k chunks stands on a gold page.
+
+    `results`: query_id, rank, is_table, pages; `gold`: query_id, gold_pages. Queries without gold or without results have 0.0.
+    """
+    met = results.join(gold, "query_id").where(F.coalesce("is_table", F.lit(False)) & F.coalesce(F.arrays_overlap("pages", "gold_pages"), F.lit(False)))
+    first = met.groupBy("query_id").agg(F.min("rank").alias("first"))
+    hit = lambda k: F.when(F.col("first") <= k, 1.0).otherwise(0.0).alias(f"table_hit_at_{k}")
+    return gold.select("query_id").join(first, "query_id", "left").select("query_id", *map(hit, ks))
+
+
+def silver_questions(templates: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every template (suffix, question, answer_type, difficulty, category) filled in for every document (doc_id, owner, year_start, year_end).
+
+    Templates are a short list: they are sent to the documents.
+    """
+    filled = F.col("question")
+    for name, value in (("{owner}", F.col("owner")), ("{year}", F.concat_ws("-", "year_start", "year_end")), ("{year_end}", F.col("year_end").cast("string"))):
+        filled = F.replace(filled, F.lit(name), value)
+    number = F.concat(F.lit("Q_"), F.right(F.col("year_end").cast("string"), F.lit(2)), F.lit("_"), F.col("suffix"))
+    return docs.crossJoin(F.broadcast(templates)).select(number.alias("query_id"), "doc_id", filled.alias("question"), "answer_type", "difficulty", "category", F.col("year_end").alias("year"))
+
+
+def silver_set(questions: DataFrame, answers: DataFrame, least: float = 1.0) -> DataFrame:
+    """Questions whose generated answer (query_id, doc_id, status, answer, confidence, pages) is sure: status ok, an answer, enough confidence.
+
+    The pages of the first result become the expected pages, the answer the expected answer.
+    """
+    sure = answers.where((F.col("status") == "ok") & (F.coalesce("answer", F.lit("")) != "") & (F.coalesce("confidence", F.lit(0.0)) >= least))
+    return questions.join(sure.select("query_id", "doc_id", F.coalesce("pages", F.array().cast("array<int>")).alias("expected_pages"), F.col("answer").alias("expected_answer")), ["query_id", "doc_id"])
+
+
 def failure_type(predicted: Column, gold: Column) -> Column:
     """Why a query failed; null if its first page is right."""
     rank = first_rank(predicted, gold)

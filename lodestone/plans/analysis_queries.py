@@ -273,10 +273,23 @@ def eval_audit(spark, sf_dir):
     return analytics.audit(items, table(spark, sf_dir, "documents")).select("query_id", F.array_join("flags", ",").alias("flags"))
 
 
-@register("silver_set", f"WITH {BM25} SELECT query_id, chunk_id AS expected FROM sparse WHERE rank = 1 AND score > 5")
+#: suffix, question, answer_type, difficulty, category
+TEMPLATES = [("DEF", "What deficit did {owner} report in {year}?", "numeric", "easy", "finance"), ("STAFF", "How many staff had {owner} in {year_end}?", "numeric", "medium", "workforce"), ("RISK", "What is the main risk of {owner}?", "text", "hard", "risk")]
+
+
+@register("silver_set", """WITH t AS (SELECT * FROM (VALUES ('DEF', 'What deficit did {owner} report in {year}?', 'numeric', 'easy'), ('STAFF', 'How many staff had {owner} in {year_end}?', 'numeric', 'medium'), ('RISK', 'What is the main risk of {owner}?', 'text', 'hard')) t(suffix, question, answer_type, difficulty)),
+d AS (SELECT doc_id, source AS owner, 2010 + doc_id % 15 AS y FROM documents)
+SELECT 'Q_' || right((y + 1)::VARCHAR, 2) || '_' || suffix AS query_id, doc_id, replace(replace(replace(question, '{owner}', owner), '{year}', y || '-' || (y + 1)), '{year_end}', (y + 1)::VARCHAR) AS question, answer_type, difficulty, 'a' || doc_id AS expected_answer, (doc_id % 7)::INT AS page
+FROM t, d WHERE (doc_id + length(suffix)) % 3 = 0 AND doc_id % 5 <> 0 AND doc_id % 4 <> 1""")
 def silver_set(spark, sf_dir):
-    """A query's own first hit as its expected document."""
-    return sparse_list(spark, sf_dir, 1).where("score > 5").select("query_id", F.col("chunk_id").alias("expected"))
+    """Templates times documents, kept where the answer is sure."""
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("owner"), (2010 + i % 15).alias("year_start"), (2011 + i % 15).alias("year_end"))
+    asked_ = evaluation.silver_questions(spark.createDataFrame(TEMPLATES, "suffix string, question string, answer_type string, difficulty string, category string"), docs)
+    status = F.when((i + F.length(F.regexp_extract("query_id", "[A-Z]+$", 0))) % 3 == 0, "ok").otherwise("error")
+    answer = F.when(i % 5 != 0, F.concat(F.lit("a"), i.cast("string")))
+    answers = asked_.select("query_id", "doc_id", status.alias("status"), answer.alias("answer"), F.when(i % 4 == 1, 0.5).otherwise(1.0).alias("confidence"), F.array((i % 7).cast("int")).alias("pages"))
+    return evaluation.silver_set(asked_, answers).select("query_id", "doc_id", "question", "answer_type", "difficulty", "expected_answer", F.get("expected_pages", F.lit(0)).alias("page"))
 
 
 @register("gold_documents", "SELECT item_id AS query_id, coalesce(array_to_string(list_sort(list(doc_id) FILTER (doc_id IS NOT NULL)), ','), '') AS docs FROM benchmark LEFT JOIN documents ON contains(documents.text, benchmark.text) GROUP BY item_id")
@@ -285,12 +298,13 @@ def gold_documents(spark, sf_dir):
     return gold(spark, sf_dir).select("query_id", F.array_join("gold_pages", ",").alias("docs"))
 
 
-@register("wilson_interval", "SELECT lang, count(*) AS n, round(avg((n_chars > 1000)::INT), 9) AS p FROM documents GROUP BY lang")
+@register("wilson_interval", """SELECT lang, n, round(p, 9) AS p, round((p + c / 2 - h) / (1 + c), 9) AS low, round((p + c / 2 + h) / (1 + c), 9) AS high FROM (SELECT *, 1.959963984540054 * sqrt(p * (1 - p) / n + c / (4 * n)) AS h FROM (
+SELECT *, 1.959963984540054 * 1.959963984540054 / n AS c FROM (SELECT lang, count(*) AS n, avg((n_chars > 1000)::INT) AS p FROM documents GROUP BY lang)))""")
 def wilson_interval(spark, sf_dir):
     """M8."""
     out = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.avg((F.col("n_chars") > 1000).cast("int")).alias("p"))
     low, high = numeric.wilson(F.col("p"), F.col("n"))
-    return out.where((low <= F.col("p")) & (F.col("p") <= high)).select("lang", "n", F.round("p", 9).alias("p"))
+    return out.select("lang", "n", F.round("p", 9).alias("p"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
 # sources
@@ -319,6 +333,16 @@ def index_round_trip(spark, sf_dir):
     return io.read_table(spark, path).select("chunk_id", F.length("text").alias("n"), F.size("embedding").alias("width"))
 
 
+@register("index_meta_only", "SELECT d.doc_id AS chunk_id, d.lang, len(embedding) AS width FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id")
+def index_meta_only(spark, sf_dir):
+    """An index's chunks written anew under the vectors that are there."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang").join(v, "chunk_id", "left_semi")
+    io.save_index(c.select("chunk_id"), v, old := _folder(spark, "index"))
+    io.rebuild_meta(spark, old, c, new := _folder(spark, "index"))
+    return io.read_table(spark, new).select("chunk_id", "lang", F.size("embedding").alias("width"))
+
+
 @register("eval_set_json", "SELECT item_id::VARCHAR AS query_id, text, 1 AS n_pages FROM benchmark")
 def eval_set_json(spark, sf_dir):
     """An evaluation set as JSON lines."""

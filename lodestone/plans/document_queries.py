@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, numeric
 from ..functions import text as tx
 from ..operators import answering, chunking, classify, evaluation, sections, tables
+from ..sources import io
 from .retrieval_queries import BM25, asked, sparse_list, table
 
 QUERIES, ORACLES = {}, {}
@@ -224,6 +227,33 @@ def strip_margins(spark, sf_dir):
     return classify.strip_margins(layout(spark, sf_dir)).groupBy("page_number").agg(F.count("*").alias("kept"))
 
 
+@register("word_lines", """WITH w AS (SELECT l_orderkey AS page_number, l_linenumber // 2 AS g, (l_linenumber * 50)::DOUBLE AS x0, (l_linenumber // 2) * 14 + (l_partkey % 3) AS top, l_returnflag || l_quantity::INT AS text FROM lineitem),
+l AS (SELECT page_number, g, string_agg(text, ' ' ORDER BY x0, top, text) AS text, min(x0) AS x0, max(x0) + 40 AS x1, min(top)::DOUBLE AS y0, max(top)::DOUBLE + 10 AS y1 FROM w GROUP BY ALL)
+SELECT page_number, row_number() OVER (PARTITION BY page_number ORDER BY y0, x0) AS line_no, text, x0, x1, y0, y1 FROM l""")
+def word_lines(spark, sf_dir):
+    """S3: items of an order as positioned words of a page."""
+    n = F.col("l_linenumber")
+    top = (F.floor(n / 2) * 14 + F.col("l_partkey") % 3).cast("double")
+    words = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page_number"), F.concat("l_returnflag", F.col("l_quantity").cast("int").cast("string")).alias("text"), (n * 50.0).alias("x0"), (n * 50.0 + 40).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
+    return classify.lines_of_words(words).drop("doc_id")
+
+
+@register("table_export", """SELECT l_orderkey::VARCHAR AS table_id, row_no, line FROM (SELECT l_orderkey, 0 AS row_no, l_orderkey || ',0,"","Price Q1","Discount & more Q2","Qty Q3"' AS line FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, format('{:,.2f}', l_extendedprice), format('{:.1f}', l_discount * 100), CASE WHEN l_tax > 0.04 THEN '(' || l_quantity::INT || ')' ELSE '-' END), l_orderkey || ',' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, format('{:,.2f}', l_extendedprice), format('{:.1f}', l_discount * 100), CASE WHEN l_tax > 0.04 THEN '(' || l_quantity::INT || ')' ELSE '-' END) || ',"Line ' || l_linenumber || '","' || format('{:,.2f}', l_extendedprice) || '","' || format('{:.1f}', l_discount * 100) || '%","' || CASE WHEN l_tax > 0.04 THEN '(' || l_quantity::INT || ')' ELSE '-' END || '"' FROM lineitem)""")
+def table_export(spark, sf_dir):
+    """Tables as CSV lines, written and read."""
+    io.write_tables(item_tables(spark, sf_dir), path := f"{io.shared_folder(spark)}/tables-{uuid.uuid4().hex}")
+    part = F.split("value", ",", 3)
+    return spark.read.text(path).select(part[0].alias("table_id"), part[1].cast("int").alias("row_no"), F.col("value").alias("line"))
+
+
+@register("dehyphenated", "SELECT * FROM " + rows_sql([(1, "development|of"), (2, "x-|Y"), (3, "one|two"), (4, "abcd-|Ef"), (5, "")], "id, lines"))
+def dehyphenated(spark, sf_dir):
+    """P3."""
+    rows = [(1, ["develop-", "ment", "of"]), (2, ["x-", "Y"]), (3, ["one", "two"]), (4, ["ab-", "cd-", "Ef"]), (5, [])]
+    return spark.createDataFrame(rows, "id int, lines array<string>").select("id", F.array_join(tx.dehyphenate(F.col("lines")), "|").alias("lines"))
+
+
 @register("page_regions")
 def page_regions(spark, sf_dir):
     """W23."""

@@ -255,6 +255,14 @@ def evaluate_pages(spark, sf_dir):
     return evaluated(spark, sf_dir).select("query_id", "first_rank", F.round("reciprocal_rank", 9).alias("reciprocal_rank"), "hit_at_1", "hit_at_3", "failure_type")
 
 
+@register("table_hits", f"""{EVAL}, th AS (SELECT query_id, min(rank) AS first FROM sparse JOIN fr USING (query_id) WHERE rank <= 10 AND chunk_id % 2 = 0 AND list_contains(g, chunk_id) GROUP BY query_id)
+SELECT query_id, coalesce((first <= 1)::INT, 0)::DOUBLE AS table_hit_at_1, coalesce((first <= 10)::INT, 0)::DOUBLE AS table_hit_at_10 FROM fr LEFT JOIN th USING (query_id)""")
+def table_hits(spark, sf_dir):
+    """V5: documents of even numbers stand for tables."""
+    hits = sparse_list(spark, sf_dir, 10).select("query_id", "rank", (F.col("chunk_id") % 2 == 0).alias("is_table"), F.array("chunk_id").alias("pages"))
+    return evaluation.table_hits(hits, gold(spark, sf_dir).select("query_id", "gold_pages"), (1, 10))
+
+
 @register("evaluation_summary", f"""{EVAL} SELECT count(*) AS n_queries, round(avg(coalesce(first_rank <= 1, false)::INT), 9) AS hit_at_1, round(avg(coalesce(first_rank <= 3, false)::INT), 9) AS hit_at_3, round(avg(coalesce(first_rank <= 5, false)::INT), 9) AS hit_at_5,
 round(avg(coalesce(first_rank <= 10, false)::INT), 9) AS hit_at_10, round(avg(coalesce(1.0 / first_rank, 0)), 9) AS mrr FROM fr WHERE len(g) > 0""")
 def evaluation_summary(spark, sf_dir):

@@ -121,6 +121,22 @@ def save_index(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
     write_table(met, path)
 
 
+def rebuild_meta(spark: SparkSession, path: str, chunks: DataFrame, to: str) -> None:
+    """An index's chunks anew, with the vectors that it has; the chunks have to be as many as the vectors, and the same."""
+    vectors = read_table(spark, path).select("chunk_id", "embedding")
+    found, wanted = vectors.count(), chunks.count()
+    if found != wanted:
+        raise ValueError(f"the index has {found} vectors, and there are {wanted} chunks")
+    save_index(chunks, vectors, to)
+
+
+def write_tables(tables: DataFrame, path: str) -> None:
+    """Tables (table_id, headers, cells) as CSV lines: table_id, row number (0 is the header), cells."""
+    rows = tables.select("table_id", F.posexplode(F.concat(F.array("headers"), "cells")).alias("row_no", "row"))
+    quoted = F.transform("row", lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')))
+    write_text(rows.select(F.concat_ws(",", "table_id", F.col("row_no").cast("string"), F.array_join(quoted, ",")).alias("line")), "line", path)
+
+
 def global_index(parts: DataFrame, counts: DataFrame) -> DataFrame:
     """Chunks of all documents whose number of chunks is the one that `counts` (doc_id, n) has."""
     sizes = parts.groupBy("doc_id").agg(F.count("*").alias("found")).join(counts, "doc_id").where("found = n")
