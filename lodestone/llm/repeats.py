@@ -58,7 +58,7 @@ class Settings(NamedTuple):
 
 
 #: For passages of more than `PASSAGE_WORDS` words that other rows have too; those of under 240 bytes aren't looked for.
-PASSAGES = Settings(length=240, gram=60, band_group=2000, across=True)
+PASSAGES = Settings(length=240, gram=60, group=20_000, across=True)
 PASSAGE_WORDS = 50
 
 
