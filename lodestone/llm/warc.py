@@ -48,13 +48,17 @@ def merge_headers(stored: Column, newer: Column) -> Column:
     return F.map_concat(kept, new)
 
 
-def resolve_revisits(records: DataFrame, slices: int = 256) -> DataFrame:
+def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame:
     """Every revisit of `records` with what it stands for.
 
+    Unless told, `slices` are one for each million of records, 256 at least and 4096 at most.
+
     `records` has record_id, url (canonical), at (orderable number), kind ('response' or
     'revisit'), etag, last_modified, digest and headers (map of strings). Added: status
     ('resolved', 'mismatch', 'no_response'), response_id and merged_headers.
     """
+    if slices is None:
+        slices = max(256, min(4096, records.count() // 1_000_000))
     quantiles = F.percentile_approx("at", [i / slices for i in range(1, slices)], 10_000)
     cuts = number_array(sorted(set(records.select(quantiles.alias("c")).first()["c"] or [])))
     slice_, order = fresh(records, "_slice"), fresh(records, "_order")
