@@ -189,14 +189,21 @@ def contents_spans(items: DataFrame, offsets: DataFrame, last_pages: DataFrame)
 def title_matches(wanted: DataFrame, titles: DataFrame, overlap: float = 0.6, sequence: float = 0.75) -> DataFrame:
     """For each (doc_id, wanted) the first of the document's titles (position, title) alike by words or by letters.
 
-    Letters are compared by the share of matching blocks, in Python, only where words don't decide.
+    Letters are compared by the share of matching blocks, in Python, only where words don't decide
+    and neither lengths nor counts of letters rule it out.
     """
     @F.pandas_udf("double")
     def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        def ratio(x: str, y: str) -> float:
+            m = difflib.SequenceMatcher(None, x, y)
+            return m.ratio() if m.quick_ratio() >= sequence else 0.0
+
+        return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
 
     met = wanted.join(titles, "doc_id").withColumn("words", tx.token_set_ratio(F.col("wanted"), F.col("title")))
     sure = met.where(F.col("words") >= overlap).select("doc_id", "wanted", "position", "title")
-    rest = met.where(F.col("words") < overlap).withColumn("r", block_ratio(tx.normalize_title(F.col("wanted")), tx.normalize_title(F.col("title"))))
+    a, b = tx.normalize_title(F.col("wanted")), tx.normalize_title(F.col("title"))
+    near = 2 * F.least(F.length(a), F.length(b)) >= sequence * (F.length(a) + F.length(b))
+    rest = met.where((F.col("words") < overlap) & near).withColumn("r", block_ratio(a, b))
     every = sure.unionByName(rest.where(F.col("r") >= sequence).select("doc_id", "wanted", "position", "title"))
     return every.groupBy("doc_id", "wanted").agg(F.min_by("title", "position").alias("title"), F.min("position").alias("position"))
