@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import free_memory, fresh, materialize, number_rows, scratch, ship_by_value, word_line
+from .common import free_memory, fresh, materialize, number_rows, scratch, ship_by_value, without_rows, word_line
 from .components import components
 
 ship_by_value(__name__)
@@ -467,13 +467,22 @@ def _remaining_pairs(members: DataFrame, words: DataFrame, s: Settings) -> DataF
 
 def near_duplicate_classes(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> tuple[DataFrame, str]:
     """`docs` with each row's class id, the `key` of the class's first row, in a new column whose name comes second."""
-    with scratch(docs.sparkSession):
-        return _classes(docs, s, key)
+    numbered = number_rows(docs, row := fresh(docs, "_row"))
+    of_row = first_rows(numbered, row, s)
+    keys = numbered.select(F.col(row).alias("row"), F.col(key).alias("key"))
+    heads = of_row.where("row = first").select("row").join(keys, "row").select(F.col("row").alias("first"), F.col("key").alias("class_id"))
+    name = fresh(docs, "class_id")
+    ids = of_row.join(heads, "first").select(F.col("row").alias(f"{row}_"), F.col("class_id").alias(name))
+    return numbered.join(ids, F.col(row) == F.col(f"{row}_")).drop(row, f"{row}_"), name
 
 
-def _classes(docs: DataFrame, s: Settings, key: str) -> tuple[DataFrame, str]:
-    numbered = number_rows(docs, row := fresh(docs, "_row"))
-    texts = numbered.select(F.col(row).alias("row"), F.col(key).alias("key"), "text")
+def first_rows(numbered: DataFrame, row: str, s: Settings = Settings()) -> DataFrame:
+    """(row, first): the first row of each row's class, by the numbers of `number_rows`."""
+    with scratch(numbered.sparkSession):
+        return _first_rows(numbered.select(F.col(row).alias("row"), "text"), s)
+
+
+def _first_rows(texts: DataFrame, s: Settings) -> DataFrame:
     rows = texts.select("row", _word_hashes(F.col("text"), F.xxhash64, "bigint").alias("words"))
     features = materialize(sketch_texts(rows, s), "sketches")
     worded = features.where("n > 0")
@@ -509,16 +518,11 @@ def _classes(docs: DataFrame, s: Settings, key: str) -> tuple[DataFrame, str]:
         named = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("first"))
     classed = features.select("row", "digest", "n").join(named, "digest", "left")
     first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("row"))
-    of_row = materialize(classed.select("row", first.alias("first")), "classes", keep=True)
-    heads = of_row.where("row = first").select("row").join(texts.select("row", "key"), "row").select(F.col("row").alias("first"), F.col("key").alias("class_id"))
-    name = fresh(docs, "class_id")
-    ids = of_row.join(heads, "first").select(F.col("row").alias(f"{row}_"), F.col("class_id").alias(name), (F.col("row") == F.col("first")).alias(f"{row}_head"))
-    out = numbered.join(ids, F.col(row) == F.col(f"{row}_")).drop(row, f"{row}_")
-    return out, name
+    return materialize(classed.select("row", first.alias("first")), "classes", keep=True)
 
 
 def keep_first(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One document, the first, of each class, with the columns of `docs`."""
-    classed, _ = near_duplicate_classes(docs, s)
-    head = next(c for c in classed.columns if c not in docs.columns and c.endswith("_row_head"))
-    return classed.where(F.col(head)).select(*docs.columns)
+    numbered = number_rows(docs, row := fresh(docs, "_row"))
+    gone = first_rows(numbered, row, s).where("row != first").select(F.col("row").alias("_row"))
+    return without_rows(numbered, row, gone).select(*docs.columns)
