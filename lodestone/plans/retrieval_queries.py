@@ -387,11 +387,17 @@ def repeated_edges(spark, sf_dir):
     return chunking.repeated_edges(chunking.page_lines(table(spark, sf_dir, "documents")))
 
 
-@register("drop_repeated_edges")
+@register("drop_repeated_edges", f"""WITH {LINES}, n AS (SELECT doc_id, (ln // 10 + 1) AS page, ln, line AS raw, trim(regexp_replace(line, '[ \\t\\n\\r]+', ' ', 'g')) AS line FROM lines),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln) AS a, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln DESC) AS b FROM n WHERE line <> ''),
+e AS (SELECT doc_id, page, line, 'header' AS edge FROM p WHERE a <= 5 UNION ALL SELECT doc_id, page, line, 'footer' FROM p WHERE b <= 5),
+z AS (SELECT doc_id, count(DISTINCT page) AS n FROM n GROUP BY doc_id),
+r AS (SELECT e.doc_id, edge, line FROM e JOIN z ON e.doc_id = z.doc_id GROUP BY e.doc_id, edge, line, z.n HAVING count(DISTINCT page) >= greatest(1, ceil(0.4 * z.n)) AND z.n > 1),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln) AS a, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln DESC) AS b FROM n)
+SELECT doc_id, page::INT AS page_number, (ln % 10 + 1)::INT AS line_no, md5(raw) AS digest FROM x WHERE NOT (a <= 5 AND EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND r.line = x.line AND edge = 'header')) AND NOT (b <= 5 AND EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND r.line = x.line AND edge = 'footer'))""")
 def drop_repeated_edges(spark, sf_dir):
     """G3, applied."""
     lines = chunking.page_lines(table(spark, sf_dir, "documents"))
-    return chunking.drop_edges(lines, chunking.repeated_edges(lines))
+    return chunking.drop_edges(lines, chunking.repeated_edges(lines)).select("doc_id", "page_number", "line_no", F.md5("text").alias("digest"))
 
 
 @register("segments")
