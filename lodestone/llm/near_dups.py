@@ -50,7 +50,7 @@ ship_by_value(__name__)
 #: Words handled at once, unless a single text has more.
 BLOCK = 400_000
 #: Members of a bucket that are compared pair by pair; larger ones go into the set join.
-SMALL = 12
+SMALL = 4
 #: Words that two prefixes have to share.
 SHARED = 3
 #: Counters of words in a text's `bins`.
@@ -412,17 +412,31 @@ def _hub_pairs(members: DataFrame, turn: int, s: Settings) -> DataFrame:
     return met.where(_near(F.col("x.n"), F.col("hub.n"), s)).select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
 
 
+def _prefix_size(n: Column, longer: Column, s: Settings) -> Column:
+    """How many of its rarest words decide whether a text of `n` shingles can be linked to another, if the longer of both has so many."""
+    words, most = n + (s.width - 1), longer + (s.width - 1)
+    needed = F.least(most - F.floor((1 - s.similarity) * most + 1e-9), F.ceil(s.similarity * longer - 1e-6) + (s.width - 1))
+    return (words - needed + SHARED).cast("int")
+
+
 def _different(groups: DataFrame, key: str, s: Settings, least: int = 1) -> DataFrame:
     """Pairs (a, b) of rows of at least `least` equal `key`s with different labels.
 
-    Rows of a key's most frequent label meet the others, never one another.
+    Rows of a key's most frequent label meet the others, never one another. Where rows have a `place` in
+    their text's prefix, it has to lie in the prefix that the pair's lengths ask for.
     """
+    placed = "place" in groups.columns
     counts = groups.groupBy(key, "label").agg(F.count("*").alias("c"))
     main = counts.groupBy(key).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     marked = groups.join(main, key)
-    others = marked.where("label != main").select(key, F.struct("node", "n", "label").alias("x"))
-    every = marked.select(key, "node", "n", "label", "main")
-    met = every.join(others, key).where((F.col("label") != F.col("x.label")) & _near(F.col("n"), F.col("x.n"), s))
+    own = ["node", "n", "label", *(["place"] if placed else [])]
+    others = marked.where("label != main").select(key, F.struct(*own).alias("x"))
+    every = marked.select(key, *own, "main")
+    fits = (F.col("label") != F.col("x.label")) & _near(F.col("n"), F.col("x.n"), s)
+    if placed:
+        longer = F.greatest("n", "x.n")
+        fits = fits & (F.col("place") < _prefix_size(F.col("n"), longer, s)) & (F.col("x.place") < _prefix_size(F.col("x.n"), longer, s))
+    met = every.join(others, key).where(fits)
     # two rows that both aren't of the main label meet twice
     ways = F.when((F.col("label") != F.col("main")), 1).otherwise(2)
     pairs = met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"), ways.alias("ways"))
@@ -430,7 +444,7 @@ def _different(groups: DataFrame, key: str, s: Settings, least: int = 1) -> Data
 
 
 def _prefixes(nodes: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
-    """(token, node, n, label): of each text its rarest words (labelled like shingles), as many as a linked text may lack and `SHARED` more."""
+    """(token, place, node, n, label): of each text its rarest words (labelled like shingles), as many as a linked text may lack and `SHARED` more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -447,12 +461,9 @@ def _prefixes(nodes: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
     tokens = materialize(listed.select("node", F.explode("tokens").alias("token")), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
-    size = F.col("n") + (s.width - 1)
-    edited = size - F.floor((1 - s.similarity) * size + 1e-9)
-    alike = F.ceil(s.similarity * F.col("n") - 1e-6) + (s.width - 1)
-    prefix = F.slice("ranked", 1, (size - F.least(edited, alike) + SHARED).cast("int"))
-    each = ranked.join(nodes, "node").select("node", "n", "label", F.explode(prefix).alias("x"))
-    return each.where("x.often > 1").select(F.col("x.token").alias("token"), "node", "n", "label")
+    prefix = F.slice("ranked", F.lit(1), _prefix_size(F.col("n"), F.col("n"), s))
+    each = ranked.join(nodes, "node").select("node", "n", "label", F.posexplode(prefix).alias("place", "x"))
+    return each.where("x.often > 1").select(F.col("x.token").alias("token"), "place", "node", "n", "label")
 
 
 def _remaining_pairs(members: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
