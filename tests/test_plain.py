@@ -7,8 +7,7 @@ import re
 import pyarrow.parquet as pq
 import pytest
 
-from lodestone.operators import evaluation, tables
-from lodestone.plans import registry
+from lodestone.operators import chunking, evaluation, tables
 
 
 def squeezed(text):
@@ -17,8 +16,9 @@ def squeezed(text):
 
 def test_cross_page_chunks(spark, sf):
     want = {}
-    for d in pq.read_table(f"{sf}/documents.parquet").to_pylist():
-        lines = d["text"].split("\n")
+    docs = [(d["doc_id"], re.sub(r"[.!?]\n", "\n", d["text"])) for d in pq.read_table(f"{sf}/documents.parquet").to_pylist()]
+    for doc_id, whole in docs:
+        lines = whole.split("\n")
         pages = [(i // 10 + 1, squeezed("\n".join(lines[i : i + 10]))) for i in range(0, len(lines), 10)]
         pages = [p for p in pages if p[1]]
         for (number, text), (_, following) in zip(pages, pages[1:], strict=False):
@@ -27,8 +27,9 @@ def test_cross_page_chunks(spark, sf):
             tail = re.sub(r"^.*[.!?]\s+(?=\S)", "", text[-320:], flags=re.S)
             head = following[:320]
             ended = re.match(r"(.*?[.!?])(?:\s|$)", head)
-            want[d["doc_id"], number] = f"{tail} {ended[1] if ended else head}"
-    got = {(r["doc_id"], r["page_number"]): r["text"] for r in registry.QUERIES["cross_page_chunks"](spark, sf).collect()}
+            want[doc_id, number] = f"{tail} {ended[1] if ended else head}"
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["page_number"]): r["text"] for r in chunking.cross_page_chunks(chunking.pages_of(df)).collect()}
     assert got == want and want
 
 
