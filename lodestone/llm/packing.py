@@ -67,7 +67,9 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.exact = [t.content for t in added if not t.normalized]
+        self.folded = [t.content.lower() for t in added if t.normalized]
         self.most, self.known = most, {}
 
     @classmethod
@@ -95,7 +97,7 @@ class Tokens:
 
     def ids(self, text: str) -> np.ndarray:
         known = self.known
-        if any(name in text or name in text.lower() for name in self.added):
+        if any([name in text for name in self.exact]) or any([name in text.lower() for name in self.folded]):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if _below_256(text):
             text = text.lower()
