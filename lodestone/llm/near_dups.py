@@ -18,10 +18,14 @@ component to a hub, the first turn in a part of the sketches, so that a large gr
 links for each member. Then the pairs of members that are still in different components are
 settled, all of them: in a bucket of up to `SMALL` members pair by pair; for members of larger
 ones by an exact set join. Linked texts have at least 0.8 of the longer one's words in common
-(`least_words`). So of each text's rarest words, as many as it can lack and `SHARED` more, they
-share `SHARED` at least: only texts that do meet, in any bucket. Counters of words (`bins`) rule out
-pairs before their words are read, and never one that counts. So no candidate pair is left out, and
-classes don't depend on the hubs.
+(`least_words`). So of each text's rarest words, as many as it can lack and one more, they
+share one at least: only texts that do meet, in any bucket. Texts that share many of them (a line that
+both repeat) meet at the first, the rarest: a word at which one of the `BEFORE` words that come before it in
+both prefixes is shared too isn't the first. Counters of words (`bins`), and bits for the first few of
+equal words in the set join, rule out pairs before their words are read, and never one that counts. So no
+candidate pair is left out, and classes don't depend on the hubs. Rows of the set join are thus about one
+for a pair that may have enough words in common. In a crowd of texts that do, and aren't linked, those still
+are the crowd's pairs: each has to be looked at.
 
 Defined results: null texts and texts without words are in classes of their own, row by
 row. Texts of fewer than five words match only copies. Texts are read whole. Repeated
@@ -51,8 +55,11 @@ ship_by_value(__name__)
 BLOCK = 400_000
 #: Members of a bucket that are compared pair by pair; larger ones go into the set join.
 SMALL = 4
-#: Words that two prefixes have to share.
-SHARED = 3
+#: Words of a prefix that each of its rows has with it, those just before.
+BEFORE = 16
+#: Bits of a text in the set join, and how many of equal words have one.
+BITS = 2048
+EQUAL = 8
 #: Counters of words in a text's `bins`.
 BINS = 256
 
@@ -412,39 +419,52 @@ def _hub_pairs(members: DataFrame, turn: int, s: Settings) -> DataFrame:
     return met.where(_near(F.col("x.n"), F.col("hub.n"), s)).select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
 
 
+def _least_shared(longer: Column, s: Settings) -> Column:
+    """`least_words` if the longer text has so many shingles."""
+    most = longer + (s.width - 1)
+    return F.least(most - F.floor((1 - s.similarity) * most + 1e-9), F.ceil(s.similarity * longer - 1e-6) + (s.width - 1))
+
+
 def _prefix_size(n: Column, longer: Column, s: Settings) -> Column:
     """How many of its rarest words decide whether a text of `n` shingles can be linked to another, if the longer of both has so many."""
-    words, most = n + (s.width - 1), longer + (s.width - 1)
-    needed = F.least(most - F.floor((1 - s.similarity) * most + 1e-9), F.ceil(s.similarity * longer - 1e-6) + (s.width - 1))
-    return (words - needed + SHARED).cast("int")
+    return (n + s.width - _least_shared(longer, s)).cast("int")
+
+
+def _enough_bits(s: Settings) -> Column:
+    """Whether the bits of two rows allow a link: each bit that the other lacks is a word that it lacks."""
+    # written out, the join's code would be too long to be compiled
+    both = F.aggregate(F.zip_with("bits", "x.bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda total, c: total + c)
+    lost = F.greatest(F.col("ones") - F.col("n"), F.col("x.ones") - F.col("x.n")) - both
+    return s.width - 1 - lost >= _least_shared(F.greatest("n", "x.n"), s)
 
 
-def _different(groups: DataFrame, key: str, s: Settings, least: int = 1) -> DataFrame:
-    """Pairs (a, b) of rows of at least `least` equal `key`s with different labels.
+def _meetings(groups: DataFrame, key: str, s: Settings) -> DataFrame:
+    """Pairs (a, b) of rows of equal `key`s with different labels; again for another key.
 
     Rows of a key's most frequent label meet the others, never one another. Where rows have a `place` in
-    their text's prefix, it has to lie in the prefix that the pair's lengths ask for.
+    their text's prefix, it has to lie in the prefix that the pair's lengths ask for, the `bits` of both have
+    to allow a link, and no key of the ones `before` it may be one of those before the other's: the pair meets there.
     """
     placed = "place" in groups.columns
     counts = groups.groupBy(key, "label").agg(F.count("*").alias("c"))
     main = counts.groupBy(key).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     marked = groups.join(main, key)
-    own = ["node", "n", "label", *(["place"] if placed else [])]
+    own = ["node", "n", "label", *(["place", "before", "bits", "ones"] if placed else [])]
     others = marked.where("label != main").select(key, F.struct(*own).alias("x"))
     every = marked.select(key, *own, "main")
     fits = (F.col("label") != F.col("x.label")) & _near(F.col("n"), F.col("x.n"), s)
+    # two rows that both aren't of the main label meet once
+    fits = fits & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("x.node")))
     if placed:
         longer = F.greatest("n", "x.n")
         fits = fits & (F.col("place") < _prefix_size(F.col("n"), longer, s)) & (F.col("x.place") < _prefix_size(F.col("x.n"), longer, s))
+        fits = fits & ~F.arrays_overlap("before", "x.before") & _enough_bits(s)
     met = every.join(others, key).where(fits)
-    # two rows that both aren't of the main label meet twice
-    ways = F.when((F.col("label") != F.col("main")), 1).otherwise(2)
-    pairs = met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"), ways.alias("ways"))
-    return pairs.groupBy("a", "b").agg(F.sum("ways").alias("ways")).where(F.col("ways") >= 2 * least).select("a", "b")
+    return met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"))
 
 
 def _prefixes(nodes: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
-    """(token, place, node, n, label): of each text its rarest words (labelled like shingles), as many as a linked text may lack and `SHARED` more."""
+    """(token, place, before, node, n, label, bits, ones): of each text its rarest words (labelled like shingles), as many as a linked text may lack and one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -454,26 +474,41 @@ def _prefixes(nodes: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
             offsets = offsets - offsets[0]
             grams, counts = shingle_hashes(hashes, offsets[:-1], np.diff(offsets), 1)
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))], ["node", "tokens"])
+            owner = np.repeat(np.arange(len(counts)), counts)
+            by = np.lexsort((hashes, owner))
+            first = np.concatenate([[True], (hashes[by][1:] != hashes[by][:-1]) | (owner[by][1:] != owner[by][:-1])])[: len(by)]
+            place = np.arange(len(by))
+            few = by[place - np.maximum.accumulate(np.where(first, place, 0)) < EQUAL]
+            has = np.zeros((len(counts), BITS), bool)
+            has[owner[few], (_mix(grams[few]) % np.uint64(BITS)).astype(np.int64)] = True
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(has, axis=1).view(np.int64).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))), bits, pa.array(has.sum(axis=1, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "tokens", "bits", "ones"])
         free_memory()
 
-    listed = nodes.select("node").join(words.select(F.col("row").alias("node"), "words"), "node").mapInArrow(run, "node bigint, tokens array<bigint>")
-    tokens = materialize(listed.select("node", F.explode("tokens").alias("token")), "tokens")
+    listed = nodes.select("node").join(words.select(F.col("row").alias("node"), "words"), "node")
+    listed = materialize(listed.mapInArrow(run, "node bigint, tokens array<bigint>, bits array<bigint>, ones bigint"), "tokens")
+    tokens = listed.select("node", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
     prefix = F.slice("ranked", F.lit(1), _prefix_size(F.col("n"), F.col("n"), s))
-    each = ranked.join(nodes, "node").select("node", "n", "label", F.posexplode(prefix).alias("place", "x"))
-    return each.where("x.often > 1").select(F.col("x.token").alias("token"), "place", "node", "n", "label")
+    cut = ranked.join(nodes, "node").select("node", "n", "label", prefix.alias("prefix"))
+    # words of one text only are the first in it, and no other text's
+    alone = F.size(F.filter("prefix", lambda x: x["often"] == 1))
+    shared = cut.select("node", "n", "label", alone.alias("alone"), F.filter("prefix", lambda x: x["often"] > 1)["token"].alias("shared"))
+    each = shared.join(listed.select("node", "bits", "ones"), "node").select("*", F.posexplode("shared").alias("at", "token"))
+    before = F.slice("shared", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    return each.select("token", (F.col("alone") + F.col("at")).alias("place"), before.alias("before"), "node", "n", "label", "bits", "ones")
 
 
-def _remaining_pairs(members: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of members of a bucket in different components that may be linked: all those of small buckets, and those of large ones that share a prefix."""
+def _remaining_pairs(members: DataFrame, features: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of members of a bucket in different components that may be linked: those of small buckets by `_possible`, those of large ones by the set join."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     mixed = materialize(members.join(sizes.select("bucket", "size"), "bucket"), "mixed")
-    few = _different(mixed.where(F.col("size") <= s.small), "bucket", s)
+    few = _possible(_meetings(mixed.where(F.col("size") <= s.small), "bucket", s).distinct(), features, s)
     large = mixed.where(F.col("size") > s.small).select("node", "n", "label").distinct()
     prefixes = materialize(_prefixes(materialize(large, "large"), words, s), "prefixes")
-    return few.unionByName(_different(prefixes, "token", s, SHARED)).distinct()
+    return few.unionByName(_meetings(prefixes, "token", s)).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> tuple[DataFrame, str]:
@@ -511,13 +546,13 @@ def _first_rows(texts: DataFrame, s: Settings) -> DataFrame:
         if labels is not None:
             labelled = some.join(labels, "node", "left")
             chosen = labelled.select("bucket", "node", "n", "mark", F.coalesce("label", "node").alias("label"))
-        pairs = _hub_pairs(chosen, turn, s) if turn < s.rounds else _remaining_pairs(chosen, words, s)
+        pairs = _hub_pairs(chosen, turn, s) if turn < s.rounds else _remaining_pairs(chosen, features, words, s)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.limit(1).count():
             continue
-        found = materialize(_links(_possible(pairs, features, s), words, s), "links")
+        found = materialize(_links(_possible(pairs, features, s) if turn < s.rounds else pairs, words, s), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not found.limit(1).count():
             continue

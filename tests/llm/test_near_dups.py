@@ -189,6 +189,26 @@ def test_all_pairs_of_a_crowded_bucket(spark):
     assert all(any(f <= g for g in found) for f in few) and all(any(w <= f for f in few) for w in want)
 
 
+def test_crowd_with_a_repeated_line_meets_once_a_pair(spark):
+    s, rng = near_dups.Settings(), random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(80):  # a line of two words over and over, and words of the text's own
+        own = [vocabulary[int(3000 * rng.random() ** 4)] for _ in range(52)]
+        texts.append(own + ["is", "onhe"] * rng.randrange(92, 100))
+    texts += [["new", *t[1:]] for t in texts[:10]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string")
+    words = df.select("row", near_dups._word_hashes(F.col("text"), F.hash, "int").alias("words"))
+    nodes = words.select(F.col("row").alias("node"), (F.size("words") - 4).cast("long").alias("n"), F.col("row").alias("label"))
+    met = [(r["a"], r["b"]) for r in near_dups._meetings(near_dups._prefixes(nodes, words, s), "token", s).collect()]
+    bags = [Counter(t) for t in texts]
+    every = [(i, j) for j in range(len(texts)) for i in range(j)]
+    want = {(i, j) for i, j in every if sum((bags[i] & bags[j]).values()) >= near_dups.least_words(max(len(texts[i]), len(texts[j])), s)}
+    assert want <= set(met) and {(i, 80 + i) for i in range(10)} <= want
+    assert len(want) > 0.1 * len(every)  # words don't tell this crowd apart
+    assert len(met) <= 1.3 * len(set(met))  # many words of the prefixes are shared, and a pair meets at the first
+
+
 def test_hubs_of_near_lengths(spark):
     members = [("b", 10 * k + i, n, 10 * k + i, 977 * k + i) for k, n in enumerate((40, 100, 300, 900)) for i in range(5)]
     df = spark.createDataFrame([(1, *m[1:]) for m in members], "bucket long, node long, n long, label long, mark long")
