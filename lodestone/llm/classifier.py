@@ -68,6 +68,43 @@ def word_features(word: str, s: Settings) -> list[int]:
     return found
 
 
+def _crc_table() -> np.ndarray:
+    """What crc32 makes of each byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ np.where(table & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return table
+
+
+def weigh_words(words: list[str], margins: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """For each word, the sum of `margins` over its `word_features` and how many it has; words of one byte a character at once."""
+    sums, counts = np.zeros(len(words)), np.zeros(len(words), np.int64)
+    plain = [i for i, word in enumerate(words) if word.isascii()]
+    for i in sorted(set(range(len(words))) - set(plain)):
+        ids = word_features(words[i], s)
+        sums[i], counts[i] = margins[ids].sum(), len(ids)
+    if not plain:
+        return sums, counts
+    raw = [words[i].encode() for i in plain]
+    sizes = np.array([len(x) + 2 for x in raw])
+    line = np.frombuffer(b"".join([b"<%b>" % x for x in raw]) + bytes(s.longest), np.uint8).astype(np.uint32)
+    held = int(sizes.sum())
+    owner = np.repeat(np.arange(len(raw)), sizes)
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(held)  # bytes from here to the word's end
+    table, crc, found = _crc_table(), np.full(held, 0xFFFFFFFF, np.uint32), np.zeros(held)
+    many = np.ones(len(raw), np.int64)
+    for n in range(1, s.longest + 1):
+        crc = table[(crc ^ line[n - 1 : n - 1 + held]) & np.uint32(255)] ^ (crc >> np.uint32(8))
+        if n >= s.shortest:
+            # another start of the sum flips the same bits of it for all strings of a length
+            start = np.uint32(0xFFFFFFFF ^ zlib.crc32(bytes(n), n) ^ zlib.crc32(bytes(n)))
+            found += np.where(room >= n, margins[(crc ^ start) % np.uint32(s.buckets)], 0.0)
+            many += np.maximum(sizes - n + 1, 0)
+    sums[plain] = margins[np.array([zlib.crc32(x) % s.buckets for x in raw])] + np.bincount(owner, found, len(raw))
+    counts[plain] = many
+    return sums, counts
+
+
 def document_features(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The distinct buckets of a text and the share that each has in its average."""
     ids: list[int] = []
@@ -112,30 +149,28 @@ def train(rows: list[tuple[str | None, int]], s: Settings = Settings()) -> Model
 
 def score_texts(texts, model: Model, cache: dict) -> np.ndarray:
     """Chances of label 1. `cache` keeps what short words add, and is emptied when large."""
-    s, weights = model.settings, cache.get(None)
-    if weights is None:  # no word is None
-        weights = cache[None] = model.margins.tolist()
     out = np.empty(len(texts), np.float64)
-
-    def weigh(word: str) -> tuple[float, int]:
-        ids = word_features(word, s)
-        return sum([weights[i] for i in ids]), len(ids)
-
-    for i, text in enumerate(texts):
-        total, n = 0.0, 0
-        for word in (text or "").split():
-            known = cache.get(word)
-            if known is None:
-                known = weigh(word)
-                if len(word) <= 64:
-                    if len(cache) >= 400_000:
-                        cache.clear()
-                        cache[None] = weights
-                    cache[word] = known
-            total += known[0]
-            n += known[1]
-        margin = model.bias + (total / n if n else 0.0)
-        out[i] = 1.0 / (1.0 + np.exp(-np.clip(margin, -500.0, 500.0)))
+    for first in range(0, len(texts), 500):
+        split = [(text or "").split() for text in texts[first : first + 500]]
+        new = {word for words in split for word in words if word not in cache}
+        if len(cache) + len(new) > 400_000:
+            cache.clear()
+            new = {word for words in split for word in words}
+        listed = list(new)
+        for at in range(0, len(listed), 20_000):
+            part = listed[at : at + 20_000]
+            sums, counts = weigh_words(part, model.margins, model.settings)
+            cache.update(zip(part, zip(sums.tolist(), counts.tolist())))
+        for i, words in enumerate(split, first):
+            total, n = 0.0, 0
+            if words:
+                known = [cache[word] for word in words]
+                total, n = sum([x[0] for x in known]), sum([x[1] for x in known])
+            margin = model.bias + (total / n if n else 0.0)
+            out[i] = 1.0 / (1.0 + np.exp(-np.clip(margin, -500.0, 500.0)))
+        for word in listed:
+            if len(word) > 64:
+                del cache[word]
     return out
 
 

@@ -140,6 +140,24 @@ def test_classifier_held_out_accuracy(spark):
     assert all(p == 1 for p, q in held if q == 1)
 
 
+def test_words_weighed_at_once():
+    s = classifier.Settings()
+    margins = np.random.default_rng(3).normal(size=s.buckets)
+    words = ["a", "of", "the", "thhedha&&&", "x" * 300, "über", "日本語", "\ud800", "q", "Ab1.", "<>"]
+    sums, counts = classifier.weigh_words(words, margins, s)
+    for word, total, n in zip(words, sums, counts, strict=True):
+        ids = classifier.word_features(word, s)
+        assert n == len(ids) and abs(total - margins[ids].sum()) < 1e-9
+    assert [len(x) for x in classifier.weigh_words([], margins, s)] == [0, 0]
+    model, cache = classifier.Model(s, margins, 0.1), {}
+    text = " ".join(words)
+    one = classifier.score_texts([text], model, cache)[0]
+    assert len(cache) == len(words) - 1  # long words aren't kept
+    ids = [i for w in text.split() for i in classifier.word_features(w, s)]
+    assert abs(one - 1 / (1 + np.exp(-0.1 - margins[ids].mean()))) < 1e-12
+    assert (classifier.score_texts([text, None] * 700, model, cache) == [one, 1 / (1 + np.exp(-0.1))] * 700).all()
+
+
 def test_classifier_odd_rows(spark):
     model = classifier.train([("good text here", 1), ("b@d ### t3xt", 0)] * 20)
     out = classifier.with_quality(odd_table(spark), model, "score").collect()
