@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, ship_by_value
+from .common import free_memory, fresh, ship_by_value
 
 ship_by_value(__name__)
 
@@ -185,6 +185,8 @@ def scorer(spark: SparkSession, model: Model):
         own, cache = Model(Settings(**settings), margins, bias), {}
         for texts in batches:
             yield pd.Series(score_texts(texts, own, cache))
+        cache.clear()
+        free_memory()
 
     return score
 

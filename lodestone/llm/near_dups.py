@@ -327,6 +327,16 @@ def _binary(pairs: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(pairs), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
 
 
+def _by_blocks(batch: pa.RecordBatch, of) -> Iterator[pa.RecordBatch]:
+    """What `of` makes of slices of a batch (row, words), each of `BLOCK` words at most or of a single text."""
+    ends, at = batch.column(1).offsets.to_numpy()[1:].astype(np.int64), 0
+    while at < len(ends):
+        done = ends[at - 1] if at else ends[0] - len(batch.column(1)[0])
+        to = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+        yield of(batch.slice(at, to - at))
+        at = to
+
+
 def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
     """(row, digest of the words, number of shingles, sketches, bins) of rows (row, words)."""
 
@@ -353,12 +363,7 @@ def sketch_texts(rows: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends, at = batch.column(1).offsets.to_numpy()[1:].astype(np.int64), 0
-            while at < len(ends):
-                done = ends[at - 1] if at else ends[0] - len(batch.column(1)[0])
-                to = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
-                yield of(batch.slice(at, to - at))
-                at = to
+            yield from _by_blocks(batch, of)
         free_memory()
 
     return rows.mapInArrow(run, "row bigint, digest binary, n bigint, sketches array<bigint>, bins binary")
@@ -466,24 +471,27 @@ def _meetings(groups: DataFrame, key: str, s: Settings) -> DataFrame:
 def _prefixes(nodes: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
     """(token, place, before, node, n, label, bits, ones): of each text its rarest words (labelled like shingles), as many as a linked text may lack and one more."""
 
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        hashes = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64)
+        offsets = offsets - offsets[0]
+        grams, counts = shingle_hashes(hashes, offsets[:-1], np.diff(offsets), 1)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        by = np.lexsort((hashes, owner))
+        first = np.concatenate([[True], (hashes[by][1:] != hashes[by][:-1]) | (owner[by][1:] != owner[by][:-1])])[: len(by)]
+        place = np.arange(len(by))
+        few = by[place - np.maximum.accumulate(np.where(first, place, 0)) < EQUAL]
+        has = np.zeros((len(counts), BITS), bool)
+        has[owner[few], (_mix(grams[few]) % np.uint64(BITS)).astype(np.int64)] = True
+        bits = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(has, axis=1).view(np.int64).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+        columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))), bits, pa.array(has.sum(axis=1, dtype=np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["node", "tokens", "bits", "ones"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            hashes = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64)
-            offsets = offsets - offsets[0]
-            grams, counts = shingle_hashes(hashes, offsets[:-1], np.diff(offsets), 1)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            by = np.lexsort((hashes, owner))
-            first = np.concatenate([[True], (hashes[by][1:] != hashes[by][:-1]) | (owner[by][1:] != owner[by][:-1])])[: len(by)]
-            place = np.arange(len(by))
-            few = by[place - np.maximum.accumulate(np.where(first, place, 0)) < EQUAL]
-            has = np.zeros((len(counts), BITS), bool)
-            has[owner[few], (_mix(grams[few]) % np.uint64(BITS)).astype(np.int64)] = True
-            bits = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(has, axis=1).view(np.int64).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
-            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))), bits, pa.array(has.sum(axis=1, dtype=np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "tokens", "bits", "ones"])
+            yield from _by_blocks(batch, of)
         free_memory()
 
     listed = nodes.select("node").join(words.select(F.col("row").alias("node"), "words"), "node")
