@@ -168,3 +168,13 @@ def free_memory() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def trim_executors(spark: SparkSession) -> None:
+    """Has each executor's JVM collect its garbage, so that it gives back the heap that earlier work has grown.
+
+    The heap never shrinks otherwise, and a Python worker beside it needs memory of the same
+    container. There is a task for each core, so each idle executor gets some. No result depends on it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()

@@ -209,6 +209,11 @@ PIECES = pa.schema([
 PIECES_DDL = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+def _copied(values: pa.Array, at: int, to: int) -> pa.Array:
+    """A part of a column with memory of its own; a slice keeps all columns of its batch, which came as one buffer."""
+    return values.take(pa.array(np.arange(at, to)))
+
+
 def pack(docs: DataFrame, key: str, tokenizer_path: str, window: int = 2048, end_id: int = 1, repair: float = 0.9, with_ids: bool = False) -> DataFrame:
     """Rows for pieces: `key` of the document and PIECES, with the ids themselves if asked for.
 
@@ -247,16 +252,16 @@ def pack(docs: DataFrame, key: str, tokenizer_path: str, window: int = 2048, end
         end = np.array([end_id], "<u4")
         for batch in batches:
             texts, at = batch.column(1), 0
-            for i, text in enumerate(texts.to_pylist()):
-                found = np.concatenate([tokens.ids(text or ""), end])
+            for i, text in enumerate(texts):
+                found = np.concatenate([tokens.ids(text.as_py() or ""), end])
                 ids.append(found)
                 waiting += len(found)
                 if waiting >= MAX_OPEN_IDS:
-                    keys.append(batch.column(0).slice(at, i + 1 - at))
+                    keys.append(_copied(batch.column(0), at, i + 1))
                     at = i + 1
                     yield from flush()
             if at < len(texts):
-                keys.append(batch.column(0).slice(at))
+                keys.append(_copied(batch.column(0), at, len(texts)))
         if ids:
             yield from flush()
         free_memory()

@@ -54,3 +54,16 @@ def test_run_on_an_empty_table(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def full_collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_stages_begin_with_heaps_given_back(spark, sf, at):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    before = full_collections(spark)
+    corpus_pipeline.STAGES[at][1](spark, docs, sf)
+    assert full_collections(spark) > before
