@@ -60,18 +60,26 @@ def markdown(headers: Column, cells: Column, most_rows: int = 30, most_columns:
 
 def parse_markdown(text: Column) -> Column:
     """struct(headers, cells) of the first markdown table of a text; null without one. Short rows are filled up."""
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.contains(x, F.lit("|")))
-    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
-    ruled = F.transform(lines, lambda x: F.forall(cells(x), lambda c: F.rlike(c, F.lit("^[-: ]*-[-: ]*$"))))
-    at = F.array_position(ruled, True)
-
-    def of(head: Column, body: Column) -> Column:
-        width = F.greatest(F.size(head), F.coalesce(F.array_max(F.transform(body, lambda r: F.size(r))), F.lit(1)))
-        fill = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)
-        return F.struct(fill(head).alias("headers"), F.transform(body, fill).alias("cells"))
-
-    body = F.transform(F.filter(F.slice(lines, at.cast("int") + 1, F.greatest(F.size(lines), F.lit(1))), lambda x: ~F.forall(cells(x), lambda c: F.rlike(c, F.lit("^[-: ]*-[-: ]*$")))), cells)
-    return F.when((at > 1) & (F.size(body) > 0), of(cells(F.get(lines, at.cast("int") - 2)), body))
+    split = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+    is_rule = lambda r: F.forall(r, lambda c: F.rlike(c, F.lit("^[-: ]*-[-: ]*$")))
+    lines = F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: F.contains(x, F.lit("|"))), lambda x: F.struct(split(x).alias("cells")))
+    typed = F.transform(lines, lambda x: F.struct(x["cells"].alias("cells"), is_rule(x["cells"]).alias("rule")))
+
+    # lines, the rule's place, the body and its width are each worked out once for a text
+    def placed(lines: Column) -> Column:
+        return tx.let(F.array_position(F.transform(lines, lambda x: x["rule"]), True).cast("int"), lambda at: below(lines, at))
+
+    def below(lines: Column, at: Column) -> Column:
+        body = F.transform(F.filter(lines, lambda x, i: (i >= at) & ~x["rule"]), lambda x: x["cells"])
+        head = F.get(lines, at - 2)["cells"]
+        return F.when(at > 1, tx.let(body, lambda b: F.when(F.size(b) > 0, filled(head, b))))
+
+    def filled(head: Column, body: Column) -> Column:
+        fill = lambda r, width: F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)
+        width = F.greatest(F.size(head), F.array_max(F.transform(body, lambda r: F.size(r))))
+        return tx.let(width, lambda n: F.struct(fill(head, n).alias("headers"), F.transform(body, lambda r: fill(r, n)).alias("cells")))
+
+    return tx.let(typed, placed)
 
 
 def clean_table(headers: Column, cells: Column) -> Column:
