@@ -14,9 +14,16 @@ from ..functions import text as tx
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def read_stream(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame:
+    """Tables of a folder as a stream, each one file or a folder of files."""
+    # as a glob even if it is a plain name: only then may the source be a file as well as a folder
+    fits = pattern if any(c in pattern for c in "*?[{") else f"{{{pattern}}}"
+    return spark.readStream.schema(schema).parquet(f"{folder}/{fits}")
+
+
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", late: str = "10 minutes") -> DataFrame:
     """Events as a stream with a watermark."""
-    raw = spark.readStream.schema(SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
+    raw = read_stream(spark, folder, pattern, SCHEMA)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
