@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import tables
 from lodestone.plans import registry
+from lodestone.sources import io
+from lodestone.streaming import events
 
 
 def plan(df):
@@ -28,3 +30,30 @@ def test_markdown_is_parsed_once(spark, sf):
 def test_parse_markdown_cases(spark, text, want):
     got = spark.createDataFrame([(text,)], "m string").select(tables.parse_markdown(F.col("m")).alias("t")).first()["t"]
     assert (got and (got["headers"], got["cells"])) == want
+
+
+@pytest.fixture
+def folders(spark, sf, tmp_path):
+    """The tables as folders of several files."""
+    for name in ("labels", "benchmark", "conversations", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["files", "stream_routes", "stream_windows", "stream_distinct"])
+def test_tables_may_be_folders(spark, sf, folders, name):
+    rows = lambda d: sorted(map(str, registry.QUERIES[name](spark, d).collect()))
+    assert rows(folders) == rows(sf) != []
+
+
+def test_discover(spark, tmp_path):
+    for path, n in (("a.pdf", 1), ("sub/b.x.pdf", 2), ("sub/c.pdf/p0", 3), ("sub/c.pdf/deep/p1.pdf", 4), ("d.txt", 5), ("pdf", 6)):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(b"x" * n)
+    got = {(r["doc_id"], r["path"].removeprefix(f"file:{tmp_path}/"), r["size"]) for r in io.discover(spark, str(tmp_path)).collect()}
+    assert got == {("a", "a.pdf", 1), ("b.x", "sub/b.x.pdf", 2), ("c", "sub/c.pdf", 7)}
+
+
+def test_stream_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], events.SCHEMA).write.parquet(f"{tmp_path}/events.parquet")
+    assert registry.QUERIES["stream_distinct"](spark, str(tmp_path)).first()["n"] == 0
