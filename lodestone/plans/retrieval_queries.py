@@ -51,7 +51,9 @@ def index(spark, sf_dir) -> DataFrame:
 
 
 def sparse_list(spark, sf_dir, k=100) -> DataFrame:
-    return rt.top_k(rt.bm25_scores(asked(spark, sf_dir), index(spark, sf_dir)).withColumn("score", F.round("score", 6)), k, "chunk_id")
+    """The k best documents of each query, written: k rows a query are few for what they are joined with."""
+    best = rt.bm25_top_k(asked(spark, sf_dir), index(spark, sf_dir), k, digits=6)
+    return io.stored(best.withColumn("score", F.round("score", 6)), "sparse")
 
 
 def vector_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +121,8 @@ os AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(w * tf * 2.5 /
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM os QUALIFY rank <= 10""")
 def okapi_topk(spark, sf_dir):
     """The Okapi form."""
-    s = rt.okapi_scores(asked(spark, sf_dir), index(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return rt.top_k(s, 10, "chunk_id").select("query_id", "rank", "chunk_id", "score")
+    best = rt.okapi_top_k(asked(spark, sf_dir), index(spark, sf_dir), 10, digits=6)
+    return best.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @register("tokenizer_variants", r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-]{1,}')) AS with_hyphens, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9]{1,}')) AS without FROM documents""")

@@ -1,9 +1,13 @@
 """What larger and odd inputs asked for: work done once, tables that are folders, lists that stay short."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import tables
+from lodestone.operators import best_chunks, tables
+from lodestone.operators import retrieval as rt
 from lodestone.plans import registry
 from lodestone.sources import io
 from lodestone.streaming import events
@@ -57,3 +61,45 @@ def test_discover(spark, tmp_path):
 def test_stream_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], events.SCHEMA).write.parquet(f"{tmp_path}/events.parquet")
     assert registry.QUERIES["stream_distinct"](spark, str(tmp_path)).first()["n"] == 0
+
+
+def words(rng, n):
+    return " ".join(rng.choice(["a1", "bb", "cc-d", "ee", "ff", "gg", "hh"]) for _ in range(n))
+
+
+@pytest.mark.parametrize(("k", "digits", "kind", "bound"), [(1, 6, "long", 1), (3, None, "string", 1 << 18), (5, 2, "string", 1), (500, 9, "long", 1 << 18)])
+def test_best_chunks_are_those_of_all_pairs(spark, monkeypatch, k, digits, kind, bound):
+    for name in ("PRODUCTS", "CELLS", "WAITING"):
+        monkeypatch.setattr(best_chunks, name, bound)
+    rng = random.Random(k)
+    texts = [words(rng, rng.randrange(12)) for _ in range(150)]
+    texts = [*texts, *texts[:60], None, "", "zz only"]  # copies tie; some have no term
+    rng.shuffle(texts)
+    chunks = spark.createDataFrame([(i if kind == "long" else f"é{i}", t) for i, t in enumerate(texts)], f"chunk_id {kind}, text string")
+    asked = spark.createDataFrame([("q1", "bb cc-d bb"), ("q2", "ee"), ("q3", "a1 bb ee ff gg hh"), ("q4", "nowhere"), ("q5", None)], "query_id string, text string")
+    index = rt.bm25_index(chunks)
+    for best, scores in ((rt.bm25_top_k, rt.bm25_scores), (rt.okapi_top_k, rt.okapi_scores)):
+        rows = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+        # sums of equal terms in another order may differ in their last bits
+        want = rt.top_k(scores(asked, index).withColumn("score", F.round("score", 12)), k, "chunk_id", digits=digits)
+        got = best(asked, index, k, 12 if digits is None else digits)
+        assert rows(got) == rows(want) != []
+
+
+def test_best_chunks_of_no_terms(spark):
+    asked = spark.createDataFrame([(1, "nowhere")], "query_id long, text string")
+    index = rt.bm25_index(spark.createDataFrame([(1, "here")], "chunk_id long, text string"))
+    assert rt.bm25_top_k(asked, index, 3).collect() == rt.okapi_top_k(asked, index, 3).collect() == []
+
+
+def test_rounded_as_spark_rounds(spark):
+    rng = random.Random(2)
+    values = [0.0, 0.5, 2.5, 1.0000005, 2.0000015, -0.1234565, 12.3456785, 1e15, *(rng.uniform(-50, 50) for _ in range(200)), *(round(rng.uniform(0, 9), 6) + 5e-7 for _ in range(200))]
+    want = [r["x"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6).alias("x")).collect()]
+    assert best_chunks.rounded(np.array(values), 6).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "multi_variant_merge", "hit_fusion", "page_collapse", "number_answers"])
+def test_ranked_lists_are_read_not_joined(spark, sf, name):
+    df = registry.QUERIES[name](spark, sf)
+    assert "terms#" not in plan(df) and any("/sparse-" in f for f in df.inputFiles())
