@@ -315,9 +315,12 @@ def filters_with_fallback(spark, sf_dir):
 m AS (SELECT query_id, chunk_id, max(score) AS score, arg_max(variant, score * 1000 - variant / 1000) AS variant FROM v GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, variant, chunk_id) AS rank, chunk_id, score FROM m QUALIFY rank <= 10""")
 def multi_variant_merge(spark, sf_dir):
-    """Items of the same last digit as variants of one query."""
-    s = rt.bm25_scores(asked(spark, sf_dir), index(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    v = s.select((F.col("query_id") % 10).alias("query_id"), "chunk_id", "score", F.floor(F.col("query_id") / 10).alias("variant"))
+    """Items of the same last digit as variants of one query.
+
+    The first ten of a merged list are among the first ten of the variant that each has its best score from:
+    what is before it there is before it in the merged list too.
+    """
+    v = sparse_list(spark, sf_dir, 10).select((F.col("query_id") % 10).alias("query_id"), "chunk_id", "score", F.floor(F.col("query_id") / 10).alias("variant"))
     return rt.merge_variants(v).where("rank <= 10").select("query_id", "rank", "chunk_id", "score")
 
 
