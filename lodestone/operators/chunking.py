@@ -50,6 +50,42 @@ def drop_edges(lines: DataFrame, repeated: DataFrame, top: int = 5, bottom: int
     return met.where(~gone).select("doc_id", "page_number", "line_no", "text")
 
 
+def _frequent(values: Column, bound: Column) -> Column:
+    """Values that are in an array at least `bound` times."""
+    def of(v: Column) -> Column:
+        starts = F.filter(F.transform(v, lambda x, i: F.when((i == 0) | (F.get(v, i - 1) != x), i)), lambda i: i.isNotNull())
+        return tx.let(starts, lambda at: F.transform(F.filter(F.transform(at, lambda a, j: F.struct(a.alias("a"), (F.coalesce(F.get(at, j + 1), F.size(v)) - a).alias("n"))), lambda x: x["n"] >= bound), lambda x: F.get(v, x["a"])))
+
+    return tx.let(F.array_sort(values), of)
+
+
+def clean_pages(docs: DataFrame, per_page: int = 10, share: float = 0.4, top: int = 5, bottom: int = 5) -> DataFrame:
+    """(doc_id, pages: array of (page_number, lines)): what `drop_edges` leaves of `page_lines` with their `repeated_edges`, pages without lines left out.
+
+    One row at a time, without a shuffle: doc_id has to be unique. A document's lines are in memory, as its text is.
+    """
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text"), tx.normalize_line(x).alias("line")))
+    starts = lambda n: F.sequence(F.lit(0), F.floor((n - 1) / per_page).cast("int"))
+    paged = tx.let(lines, lambda x: F.transform(starts(F.size(x)), lambda p: F.slice(x, p * per_page + 1, per_page)))
+    full = lambda page: F.transform(F.filter(page, lambda x: x["line"] != ""), lambda x: x["line"])
+    # each page counts a line once
+    heads = F.flatten(F.transform("edges", lambda x: F.array_distinct(F.slice(x, 1, top))))
+    feet = F.flatten(F.transform("edges", lambda x: F.array_distinct(F.slice(x, F.greatest(F.size(x) - bottom + 1, F.lit(1)), F.lit(bottom)))))
+    n = F.size("paged")
+    bound = F.greatest(F.lit(1), F.ceil(share * n))
+    none = F.array().cast("array<string>")
+    made = docs.where(F.col("text").isNotNull()).select("doc_id", paged.alias("paged"))
+    made = made.select("doc_id", "paged", F.when(n > 1, F.transform("paged", full)).alias("edges"))
+    made = made.select("doc_id", "paged", F.when(n > 1, _frequent(heads, bound)).otherwise(none).alias("heads"), F.when(n > 1, _frequent(feet, bound)).otherwise(none).alias("feet"))
+
+    def left(page: Column) -> Column:
+        gone = lambda x, i: ((i < top) & F.array_contains("heads", x["line"])) | ((i >= F.size(page) - bottom) & F.array_contains("feet", x["line"]))
+        return F.transform(F.filter(page, lambda x, i: ~gone(x, i)), lambda x: x["text"])
+
+    kept = F.transform("paged", lambda page, p: F.struct((p + 1).cast("int").alias("page_number"), left(page).alias("lines")))
+    return made.select("doc_id", F.filter(kept, lambda x: F.size(x["lines"]) > 0).alias("pages"))
+
+
 def window_starts(n: Column, size: int, overlap: int) -> Column:
     """Starts of windows; the last one is the first that reaches the end."""
     if overlap >= size:
@@ -78,14 +114,14 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
 
 
-def chunks_of(pages: DataFrame, size: int = lex.WINDOW_WORDS, overlap: int = lex.OVERLAP_WORDS, least: int = lex.LEAST_WORDS) -> DataFrame:
-    """Chunks of pages (doc_id, page_number, text): windows of enough words; numbers of dropped ones stay free."""
-    each = pages.select("doc_id", "page_number", F.posexplode(word_windows(F.col("text"), size, overlap)).alias("chunk_index", "text"))
+def chunks_of(pages: DataFrame, size: int = lex.WINDOW_WORDS, overlap: int = lex.OVERLAP_WORDS, least: int = lex.LEAST_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of pages (doc_id, page_number, text): windows of enough words; numbers of dropped ones stay free. `keep`: more columns of the page."""
+    each = pages.select("doc_id", "page_number", *keep, F.posexplode(word_windows(F.col("text"), size, overlap)).alias("chunk_index", "text"))
     words = word_count(F.col("text"))
     local = F.format_string("p%04d_%03d", "page_number", "chunk_index")
     return each.where(words >= least).select(
         F.concat_ws(":", F.col("doc_id").cast("string"), local).alias("chunk_id"), "doc_id", "page_number", "chunk_index", "text",
-        words.alias("word_count"), token_estimate(words).alias("token_count"), F.array("page_number").alias("pages"),
+        words.alias("word_count"), token_estimate(words).alias("token_count"), F.array("page_number").alias("pages"), *keep,
     )
 
 

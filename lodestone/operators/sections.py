@@ -78,6 +78,33 @@ def labels_from_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def labels_of_lines(lines: Column) -> Column:
+    """struct(part, section_title, subsection_title) of a page's lines: `labels_from_lines` for one array."""
+    first = lambda when: F.get(F.filter(lines, when), F.lit(0))
+    quiet = lambda t: ~F.coalesce(classify.is_signature_noise(t), F.lit(False))
+    section = first(lambda t: classify.is_section_anchor(t) & quiet(t))
+    sub = first(lambda t: classify.is_lettered_subsection(t) & ~classify.is_section_anchor(t) & quiet(t))
+    titled = lambda line, title: tx.let(line, lambda t: F.when(t.isNotNull(), title(t)))
+    part = classify.part_label(first(lambda t: classify.part_label(t).isNotNull()))
+    return F.struct(part.alias("part"), titled(section, section_title).alias("section_title"), titled(sub, subsection_title).alias("subsection_title"))
+
+
+def carried(labels: Column) -> Column:
+    """`carry_labels` for one document: an array of struct(part, section_title, subsection_title), a page each."""
+    none = F.lit(None).cast("string")
+    fields = "array<struct<part:string,section_title:string,subsection_title:string>>"
+    zero = F.struct(none.alias("part"), none.alias("section"), none.alias("sub"), F.array().cast(fields).alias("done"))
+    unknown = lambda c: F.coalesce(c, F.lit("Unknown"))
+
+    def step(a: Column, x: Column) -> Column:
+        part, section = F.coalesce(x["part"], a["part"]), F.coalesce(x["section_title"], a["section"])
+        sub = F.coalesce(x["subsection_title"], F.when(x["section_title"].isNull(), a["sub"]))
+        done = F.struct(unknown(part).alias("part"), unknown(section).alias("section_title"), unknown(sub).alias("subsection_title"))
+        return F.struct(part.alias("part"), section.alias("section"), sub.alias("sub"), F.concat(a["done"], F.array(done)).alias("done"))
+
+    return F.aggregate(labels, zero, step, lambda a: a["done"])
+
+
 def section_spans(labels: DataFrame, page_wise: bool = False) -> DataFrame:
     """Runs of consecutive pages with the same labels (doc_id, section_no, labels, page_start, page_end, text, word_count).
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import best_chunks, tables
+from lodestone.operators import best_chunks, chunking, sections, tables
 from lodestone.operators import retrieval as rt
 from lodestone.plans import registry
 from lodestone.sources import io
@@ -103,3 +103,31 @@ def test_rounded_as_spark_rounds(spark):
 def test_ranked_lists_are_read_not_joined(spark, sf, name):
     df = registry.QUERIES[name](spark, sf)
     assert "terms#" not in plan(df) and any("/sparse-" in f for f in df.inputFiles())
+
+
+def edged(rng, i):
+    """A document of pages with lines that repeat at their edges, headings between, and odd lines."""
+    kinds = ["Running  head", "foot 7", "", "  ", "PERFORMANCE REPORT", "A. Staff matters", "B) Other things", "Part A", "part b text", "Docusign envelope ID: GOVERNANCE STATEMENT", words(rng, 30)]
+    return i, "\n".join(rng.choice(kinds) for _ in range(rng.randrange(45))) if i % 7 else None
+
+
+def test_ingest_is_that_of_lines(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([edged(rng, i) for i in range(60)], "doc_id long, text string")
+    lines = chunking.page_lines(docs)
+    clean = chunking.drop_edges(lines, chunking.repeated_edges(lines))
+    grouped = clean.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    want = {(r["doc_id"], r["page_number"]): [x["text"] for x in r["l"]] for r in grouped.collect()}
+    pages = chunking.clean_pages(docs)
+    got = {(r["doc_id"], p["page_number"]): p["lines"] for r in pages.collect() for p in r["pages"]}
+    assert got == want and clean.count() < lines.count()
+    old = {tuple(r) for r in sections.carry_labels(sections.labels_from_lines(clean)).collect()}
+    mine = sections.carried(F.transform("pages", lambda p: sections.labels_of_lines(p["lines"])))
+    new = {(r["doc_id"], p["page_number"], *x) for r in pages.select("doc_id", "pages", mine.alias("labels")).collect() for p, x in zip(r["pages"], r["labels"], strict=True)}
+    assert new == old and len({x[3] for x in old}) > 1 and len({x[4] for x in old}) > 1
+
+
+def test_search_shuffles_no_texts(spark, sf):
+    physical = lambda name: registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in physical("ingest")
+    assert "Exchange hashpartitioning" not in physical("search")
