@@ -151,61 +151,154 @@ def pack_lines(lines: Column, prefix: Column, budget: int) -> Column:
     A line that is over the budget alone makes a pack of its own. Tokens are words / 0.75.
     """
     tokens = lambda words: F.when(words > 0, F.greatest(F.lit(1), F.floor(words / 0.75))).otherwise(0)
-    room = max(40, budget) - F.when(prefix != "", tokens(_word_count(prefix))).otherwise(F.lit(0))
+    left = max(40, budget) - F.when(prefix != "", tx.let(_word_count(prefix), tokens)).otherwise(F.lit(0))
+    # words are counted once a line, not once for each time that a step needs them
+    counted = F.transform(lines, lambda x: F.struct(x.alias("line"), _word_count(x).alias("n")))
     zero = F.struct(F.array().cast(_NONE).alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
 
-    def step(a: Column, line: Column) -> Column:
-        n = _word_count(line)
-        fits = a["open"].isNull() | (tokens(a["n"] + n) <= room)
-        return F.struct(
-            F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"),
-            F.when(fits, F.concat_ws("\n", a["open"], line)).otherwise(line).alias("open"), F.when(fits, a["n"] + n).otherwise(n).alias("n"),
-        )
+    def packed(room: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            fits = a["open"].isNull() | (tokens(a["n"] + x["n"]) <= room)
+            return F.struct(
+                F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"),
+                F.when(fits, F.concat_ws("\n", a["open"], x["line"])).otherwise(x["line"]).alias("open"), F.when(fits, a["n"] + x["n"]).otherwise(x["n"]).alias("n"),
+            )
+
+        return F.aggregate(counted, zero, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
 
-    packs = F.aggregate(lines, zero, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
-    return F.transform(packs, lambda p: F.when(prefix != "", F.concat(prefix, F.lit("\n"), p)).otherwise(p))
+    return F.transform(tx.let(left, packed), lambda p: F.when(prefix != "", F.concat(prefix, F.lit("\n"), p)).otherwise(p))
 
 
 def _cut(text: Column, words: int) -> Column:
     """The first `words` words, one space apart, of a text that has more."""
-    split = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.when(F.size(split) > words, F.array_join(F.slice(split, 1, words), " ")).otherwise(F.trim(text))
-
-
-def _block_text(rows: Column, caption: Column, page: Column, kind: Column, headers: Column) -> Column:
-    """A group of row records as text: what the table is, categories, columns, rows and facts."""
-    own = F.array_distinct(F.filter(F.transform(rows, lambda r: r["category"]), lambda c: (c != "") & (F.lower(c) != "general")))
-    several = F.size(own) > 1
-    line = lambda r: F.when(several & (F.lower(r["category"]) != "general") & (r["category"] != ""), F.concat(r["category"], F.lit(" :: "), r["line"])).otherwise(r["line"])
-    facts = F.slice(F.flatten(F.transform(rows, lambda r: r["facts"])), 1, BLOCK_FACTS)
-    told = F.array_join(headers, " | ")
-    return F.concat_ws(
-        "\n", F.concat(F.lit("Table: "), caption), F.concat(F.lit("Page: "), page.cast("string")), F.concat(F.lit("Type: "), kind),
-        F.when(several, F.concat(F.lit("Categories in block: "), F.array_join(F.slice(own, 1, 4), " | "))).when(F.size(own) == 1, F.concat(F.lit("Active category: "), F.get(own, F.lit(0)))),
-        F.concat(F.lit("Columns: "), told), F.lit("Rows:"), told, F.transform(rows, line), F.when(F.size(facts) > 0, F.lit("Facts:")), facts,
-    )
+    def of(t: Column) -> Column:
+        split = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+        return tx.let(split, lambda w: F.when(F.size(w) > words, F.array_join(F.slice(w, 1, words), " ")).otherwise(F.trim(t)))
+
+    return tx.let(text, of)
+
+
+def _block_head(caption: Column, page: Column, kind: Column) -> list[Column]:
+    return [F.concat(F.lit("Table: "), caption), F.concat(F.lit("Page: "), page.cast("string")), F.concat(F.lit("Type: "), kind)]
+
+
+def _is_general(category: Column) -> Column:
+    return (category == "") | (F.lower(category) == "general")
+
+
+def _block_text(rows: Column, head: list[Column], told: Column) -> Column:
+    """A group of row records as text: what the table is, categories, columns (`told`), rows and facts."""
+    def of(own: Column) -> Column:
+        several = F.size(own) > 1
+        line = lambda r: F.when(several & ~_is_general(r["category"]), F.concat(r["category"], F.lit(" :: "), r["line"])).otherwise(r["line"])
+        facts = F.slice(F.flatten(F.transform(rows, lambda r: r["facts"])), 1, BLOCK_FACTS)
+        return F.concat_ws(
+            "\n", *head,
+            F.when(several, F.concat(F.lit("Categories in block: "), F.array_join(F.slice(own, 1, 4), " | "))).when(F.size(own) == 1, F.concat(F.lit("Active category: "), F.get(own, F.lit(0)))),
+            F.concat(F.lit("Columns: "), told), F.lit("Rows:"), told, F.transform(rows, line), F.when(F.size(facts) > 0, F.lit("Facts:")), facts,
+        )
+
+    return tx.let(F.array_distinct(F.filter(F.transform(rows, lambda r: r["category"]), lambda c: ~_is_general(c))), of)
+
+
+_RECORD = "row_no:int,category:string,line:string,facts:array<string>"
+
+
+def _records(headers: Column, cleaned: Column) -> Column:
+    """`row_records` of one table as an array of struct(row_no, category, line, facts); `cleaned`: cells in one line each, '' for none."""
+    typed = F.transform(cleaned, lambda r, i: F.struct(i.alias("row_no"), r.alias("row"), F.get(r, F.lit(0)).alias("label"), F.slice(r, F.lit(2), F.greatest(F.size(r), F.lit(1))).alias("cells")))
+    full = F.filter(typed, lambda x: F.exists(x["row"], lambda c: c != ""))
+    column = lambda i: F.coalesce(F.get(headers, i + 1), F.concat(F.lit("col_"), (i + 1).cast("string")))
+
+    def record(x: Column, category: Column) -> Column:
+        named = F.when(x["label"] == "", F.concat(F.lit("row_"), (x["row_no"] + 1).cast("string"))).otherwise(x["label"])
+        subject = F.when(F.lower(category) != "general", F.concat(F.lit("[Category: "), category, F.lit("] "), named)).otherwise(named)
+        told = lambda s: F.transform(x["cells"], lambda c, i: F.when(c != "", F.concat(F.lit("- "), s, F.lit(" > "), column(i), F.lit(" : "), c)))
+        line = F.array_join(F.transform(x["row"], lambda c: F.when(c == "", F.lit("-")).otherwise(c)), " | ")
+        return F.struct(x["row_no"].alias("row_no"), category.alias("category"), line.alias("line"), F.array_compact(tx.let(subject, told)).alias("facts"))
+
+    zero = F.struct(F.lit("General").alias("category"), F.array().cast(f"array<struct<{_RECORD}>>").alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        category = lambda is_: F.struct(F.when(is_, x["label"]).otherwise(a["category"]).alias("category"), F.when(is_, a["done"]).otherwise(F.concat(a["done"], F.array(record(x, a["category"])))).alias("done"))
+        return tx.let(_is_category(x["label"], x["cells"]), category)
+
+    return F.aggregate(full, zero, step, lambda a: a["done"])
+
+
+def _grouped(records: Column, fixed: Column, target: int, hard: int, most_rows: int) -> Column:
+    """Records in groups: array of arrays. The words of a group's `_block_text` are summed up from those of its parts, of which `fixed` is the same for all."""
+    counted = F.transform(records, lambda r: F.struct(
+        r.alias("r"), _word_count(r["line"]).alias("line"), F.when(_is_general(r["category"]), F.array().cast("array<struct<c:string,w:int>>")).otherwise(F.array(F.struct(r["category"].alias("c"), _word_count(r["category"]).alias("w")))).alias("own"),
+        F.transform(r["facts"], _word_count).alias("facts"),
+    ))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    # what a group has: its categories, words of lines, of categories before lines, of facts, and how many facts
+    nothing = F.struct(F.array().cast("array<struct<c:string,w:int>>").alias("own"), F.lit(0).alias("lines"), F.lit(0).alias("marks"), F.lit(0).alias("facts"), F.lit(0).alias("n"))
+
+    def with_(a: Column, x: Column) -> Column:
+        more = F.slice(x["facts"], F.lit(1), F.greatest(F.lit(BLOCK_FACTS) - a["n"], F.lit(0)))
+        return F.struct(
+            F.array_distinct(F.concat(a["own"], x["own"])).alias("own"), (a["lines"] + x["line"]).alias("lines"),
+            (a["marks"] + F.coalesce(F.get(x["own"], F.lit(0))["w"] + 1, F.lit(0))).alias("marks"), (a["facts"] + total(more)).alias("facts"), (a["n"] + F.size(more)).alias("n"),
+        )
+
+    def words(a: Column) -> Column:
+        shown = F.slice(a["own"], 1, 4)
+        named = F.when(F.size(a["own"]) > 1, total(F.transform(shown, lambda o: o["w"])) + F.size(shown) + 2 + a["marks"]).when(F.size(a["own"]) == 1, F.get(a["own"], F.lit(0))["w"] + 2).otherwise(0)
+        return fixed + named + a["lines"] + F.when(a["n"] > 0, a["facts"] + 1).otherwise(0)
+
+    sized = lambda a: tx.let(a, lambda s: F.struct(s.alias("s"), words(s).alias("words")))
+    group = f"struct<rows:array<struct<{_RECORD}>>,words:int>"
+    none = F.array().cast(f"array<struct<{_RECORD}>>")
+    zero = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.struct(none.alias("rows"), F.lit(0).alias("words")).alias("open"), nothing.alias("s"))
+
+    def step(a: Column, x: Column) -> Column:
+        rows = a["open"]["rows"]
+
+        def chosen(m: Column) -> Column:
+            fits = (F.size(rows) == 0) | ((F.size(rows) < most_rows) & (m["words"] <= target))
+            grown = F.struct(a["done"].alias("done"), F.struct(F.concat(rows, F.array(x["r"])).alias("rows"), m["words"].alias("words")).alias("open"), m["s"].alias("s"))
+            anew = tx.let(sized(with_(nothing, x)), lambda o: F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), F.struct(F.array(x["r"]).alias("rows"), o["words"].alias("words")).alias("open"), o["s"].alias("s")))
+            return F.when(fits, grown).otherwise(anew)
+
+        return tx.let(sized(with_(a["s"], x)), chosen)
+
+    groups = F.aggregate(counted, zero, step, lambda a: F.when(F.size(a["open"]["rows"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+    return F.flatten(F.transform(groups, lambda g: F.when((F.size(g["rows"]) > 1) & (g["words"] > hard), F.transform(g["rows"], lambda r: F.array(r))).otherwise(F.array(g["rows"]))))
+
+
+def _clean(cells: Column) -> Column:
+    return F.transform(cells, lambda r: F.transform(r, lambda c: tx.normalize_line(F.coalesce(c, F.lit("")))))
+
+
+def _blocks(headers: Column, cleaned: Column, head: list[Column], told: Column, target: int = BLOCK_WORDS, hard: int = BLOCK_WORDS_MOST, most_rows: int = BLOCK_ROWS) -> Column:
+    """Array of struct(first_row, last_row, text) of a table; `headers` are its columns' names in facts, `told` those of the block.
+
+    Words only grow with a group's rows: a table whose records are within the bounds together is one group, without going through them.
+    """
+    block = lambda g, text: F.struct(F.get(g, F.lit(0))["row_no"].alias("first_row"), F.element_at(g, -1)["row_no"].alias("last_row"), text.alias("text"))
+    fixed = _word_count(F.concat_ws("\n", *head, F.concat(F.lit("Columns: "), told), F.lit("Rows:"), told))
+    none = F.array().cast("array<struct<first_row:int,last_row:int,text:string>>")
+
+    def of(records: Column) -> Column:
+        groups = tx.let(fixed, lambda n: _grouped(records, n, target, hard, most_rows))
+        several = F.transform(groups, lambda g: block(g, _cut(_block_text(g, head, told), hard)))
+        whole = lambda t: F.when(_word_count(t) <= min(target, hard), F.array(block(records, F.trim(t)))).otherwise(several)
+        return F.when(F.size(records) > most_rows, several).when(F.size(records) > 0, tx.let(_block_text(records, head, told), whole)).otherwise(none)
+
+    return tx.let(_records(headers, cleaned), of)
 
 
 def row_blocks(tables: DataFrame, target: int = BLOCK_WORDS, hard: int = BLOCK_WORDS_MOST, most_rows: int = BLOCK_ROWS) -> DataFrame:
     """(table_id, block_no, first_row, last_row, text): row records in order, grouped up to a target of words and a number of rows.
 
     A group over the hard limit falls apart into its rows. `tables` has caption, page_number, kind and names besides its cells.
+    A table at a time, without a shuffle.
     """
-    listed = row_records(tables).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "category", "line", F.col("fact_lines").alias("facts")))).alias("rows"))
-    met = listed.join(tables.select("table_id", "caption", "page_number", "kind", "names"), "table_id")
-    text = lambda rows: _block_text(rows, F.col("caption"), F.col("page_number"), F.col("kind"), F.col("names"))
-    group = "array<struct<row_no:int,category:string,line:string,facts:array<string>>>"
-    zero = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.array().cast(group).alias("open"))
-
-    def step(a: Column, r: Column) -> Column:
-        more = F.concat(a["open"], F.array(r))
-        fits = (F.size(a["open"]) == 0) | ((F.size(a["open"]) < most_rows) & (_word_count(text(more)) <= target))
-        return F.struct(F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"), F.when(fits, more).otherwise(F.array(r)).alias("open"))
-
-    groups = F.aggregate("rows", zero, step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
-    split = F.flatten(F.transform(groups, lambda g: F.when((F.size(g) > 1) & (_word_count(text(g)) > hard), F.transform(g, lambda r: F.array(r))).otherwise(F.array(g))))
-    each = met.select("table_id", "caption", "page_number", "kind", "names", F.posexplode(split).alias("block_no", "g"))
-    return each.select("table_id", "block_no", F.col("g.row_no")[0].alias("first_row"), F.element_at("g.row_no", -1).alias("last_row"), _cut(text(F.col("g")), hard).alias("text"))
+    head = _block_head(F.col("caption"), F.col("page_number"), F.col("kind"))
+    blocks = _blocks(_named(F.col("headers")), _clean(F.col("cells")), head, F.array_join("names", " | "), target, hard, most_rows)
+    return tables.select("table_id", F.posexplode(blocks).alias("block_no", "b")).select("table_id", "block_no", "b.*")
 
 
 def table_chunks(tables: DataFrame, strategy: str = "baseline", budget: int = 224) -> DataFrame:
@@ -216,44 +309,58 @@ def table_chunks(tables: DataFrame, strategy: str = "baseline", budget: int = 22
     row_blocks: a summary with key rows, then groups of rows with their facts; anything else:
     a header chunk with units and years of the first rows, then the packs.
     """
+    return table_chunk_sets(tables, (strategy,), budget).drop("strategy")
+
+
+def table_chunk_sets(tables: DataFrame, strategies: tuple[str, ...], budget: int = 224) -> DataFrame:
+    """`table_chunks` of several strategies, with the strategy's name; tables are read once."""
     there = lambda name, other: F.col(name) if name in tables.columns else other
     none = F.lit(None).cast("string")
     told = there("summary", summary(F.col("headers"), F.col("cells"), there("table_type", F.lit("unknown"))))
-    first = tx.normalize_line(F.get(F.split(told, "\n"), F.lit(0)))
+    first = tx.normalize_line(F.get(F.split("summary", "\n"), F.lit(0)))
+    # each step's columns are used several times in the next one, so they are steps of their own
     base = tables.select(
         "table_id", "page_number", "headers", "cells", told.alias("summary"), there("injected_facts", none).alias("facts"),
-        F.initcap(F.replace(there("table_type", none), F.lit("_"), F.lit(" "))).alias("kind"), _named(F.col("headers")).alias("names"),
-        F.when(first == "", "Unknown").otherwise(F.left(first, F.lit(120))).alias("caption"),
+        F.initcap(F.replace(there("table_type", none), F.lit("_"), F.lit(" "))).alias("kind"), _named(F.col("headers")).alias("names"), _clean(F.col("cells")).alias("cleaned"),
     )
+    base = base.withColumn("caption", tx.let(first, lambda f: F.when(f == "", "Unknown").otherwise(F.left(f, F.lit(120)))))
     columns = F.concat(F.lit("COLUMNS: "), F.array_join("names", " | "))
     prefix = F.concat(F.lit("TABLE | page="), F.col("page_number").cast("string"), F.lit(" | "), F.col("caption"), F.lit("\n"), columns)
-    cleaned = F.transform("cells", lambda r: F.transform(r, lambda c: tx.normalize_line(F.coalesce(c, F.lit("")))))
-    lines = F.transform(cleaned, lambda r: F.array_join(F.transform(r, lambda c: F.when(c == "", F.lit("-")).otherwise(c)), " | "))
-
-    def numbered(texts: Column, name: str) -> DataFrame:
-        each = base.select("table_id", "page_number", F.posexplode(texts).alias("i", "text"))
-        return each.select(F.concat_ws("_", "table_id", F.lit(name), F.col("i").cast("string")).alias("chunk_id"), "table_id", "page_number", "text", F.lit(name).alias("table_chunk_kind"))
-
+    lines = F.transform("cleaned", lambda r: F.array_join(F.transform(r, lambda c: F.when(c == "", F.lit("-")).otherwise(c)), " | "))
+    base = base.withColumn("prefix", prefix).withColumn("lines", lines)
+    if any(s not in ("baseline", "row_blocks") for s in strategies):
+        base = base.withColumn("packs", F.coalesce(pack_lines(F.col("lines"), F.col("prefix"), budget), F.array().cast(_NONE)))
+    each = F.flatten(F.array(*(_by_strategy(s) for s in strategies)))
+    out = base.select("table_id", "page_number", F.explode(each).alias("x"))
+    name = F.concat_ws("_", "table_id", "x.kind", F.col("x.i").cast("string"))
+    return out.select(name.alias("chunk_id"), "table_id", "page_number", "x.text", F.col("x.kind").alias("table_chunk_kind"), "x.strategy")
+
+
+def _by_strategy(strategy: str) -> Column:
+    """Array of struct(strategy, kind, i, text) of what `table_chunk_sets` has prepared."""
+    numbered = lambda texts, kind: F.transform(texts, lambda t, i: F.struct(F.lit(strategy).alias("strategy"), F.lit(kind).alias("kind"), i.alias("i"), t.alias("text")))
     if strategy == "baseline":
         injected = F.when(F.coalesce("facts", F.lit("")) != "", F.concat(F.lit("Table (header-injected facts):\n\n"), F.col("facts")))
         return numbered(F.array(F.concat_ws("\n\n", "summary", injected, F.lit("Table (markdown):"), markdown(F.col("headers"), F.col("cells")))), "full_table")
     if strategy == "row_preserving":
-        return numbered(pack_lines(lines, prefix, budget), "row_preserving")
+        return numbered(F.col("packs"), "row_preserving")
     if strategy == "row_blocks":
-        rich = F.filter(F.transform(cleaned, lambda r: F.filter(r, lambda c: c != "")), lambda r: F.size(r) >= 2)
-        keys = F.transform(F.slice(rich, 1, KEY_ROWS), lambda r: F.concat(F.lit("- "), F.array_join(F.slice(r, 1, 4), " | ")))
-        head = F.concat_ws(
-            "\n", F.concat(F.lit("Table: "), F.col("caption")), F.concat(F.lit("Page: "), F.col("page_number").cast("string")), F.concat(F.lit("Type: "), F.col("kind")), F.nullif(F.trim("summary"), F.lit("")),
-            F.concat(F.lit("Columns: "), F.array_join(F.slice("names", 1, 8), " | ")), F.when(F.size(keys) > 0, F.lit("Key rows:")), keys,
+        rich = F.filter(F.transform("cleaned", lambda r: F.filter(r, lambda c: c != "")), lambda r: F.size(r) >= 2)
+        keys = F.transform(F.slice(rich, 1, KEY_ROWS), lambda r: F.concat(F.lit("\n- "), F.array_join(F.slice(r, 1, 4), " | ")))
+        listed = tx.let(F.array_join(keys, ""), lambda k: F.when(k != "", F.concat(F.lit("Key rows:"), k)))
+        head = _block_head(F.col("caption"), F.col("page_number"), F.col("kind"))
+        whole = F.concat_ws(
+            "\n", *head, F.nullif(F.trim("summary"), F.lit("")),
+            F.concat(F.lit("Columns: "), F.array_join(F.slice("names", 1, 8), " | ")), listed,
         )
-        blocks = row_blocks(base).join(base.select("table_id", "page_number"), "table_id")
-        made = blocks.select(F.concat_ws("_", "table_id", F.lit("row_block"), F.col("block_no").cast("string")).alias("chunk_id"), "table_id", "page_number", "text", F.lit("row_block").alias("table_chunk_kind"))
-        return numbered(F.when(F.size("cells") > 0, F.array(_cut(head, SUMMARY_WORDS))), "summary").unionByName(made)
-    early = F.slice(lines, 1, 5)
+        opening = F.when(F.size("cells") > 0, F.array(_cut(whole, SUMMARY_WORDS))).otherwise(F.array().cast(_NONE))
+        blocks = _blocks(F.col("names"), F.coalesce("cleaned", F.array().cast(f"array<{_NONE}>")), head, F.array_join("names", " | "))
+        return F.concat(numbered(opening, "summary"), numbered(F.transform(blocks, lambda x: x["text"]), "row_block"))
+    early = F.slice("lines", 1, 5)
     units = F.get(F.filter(early, lambda x: tx.contains_any(x, UNIT_SIGNS)), F.lit(0))
     years = F.get(F.filter(early, lambda x: F.rlike(x, F.lit(r"\b(19|20)[0-9]{2}(?:/[0-9]{2,4})?\b"))), F.lit(0))
-    header = F.concat_ws("\n", prefix, F.concat(F.lit("UNITS: "), units), F.concat(F.lit("YEAR_LABELS: "), years))
-    return numbered(F.array(header), "header").unionByName(numbered(pack_lines(lines, prefix, budget), "body"))
+    header = F.concat_ws("\n", "prefix", F.concat(F.lit("UNITS: "), units), F.concat(F.lit("YEAR_LABELS: "), years))
+    return F.concat(numbered(F.array(header), "header"), numbered(F.col("packs"), "body"))
 
 
 def distinct_tables(tables: DataFrame) -> DataFrame:

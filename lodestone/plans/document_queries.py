@@ -368,7 +368,7 @@ def canonical_titles(spark, sf_dir):
 def item_tables(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "lineitem")
     row = F.array(F.concat_ws(" ", F.lit("Line"), F.col("l_linenumber").cast("string")), F.format_number("l_extendedprice", 2), F.concat(F.format_number(F.col("l_discount") * 100, 1), F.lit("%")), F.when(F.col("l_tax") > 0.04, F.concat(F.lit("("), F.col("l_quantity").cast("int").cast("string"), F.lit(")"))).otherwise("-"))
-    listed = d.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("r"))
+    listed = d.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("r"))
     headers = F.array(*map(F.lit, ("", "Price Q1", "Discount & more Q2", "Qty Q3")))
     return listed.select(F.col("l_orderkey").cast("string").alias("table_id"), F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), headers.alias("headers"), F.col("r.row").alias("cells"))
 
@@ -401,11 +401,7 @@ def markdown_round_trip(spark, sf_dir):
 @register("table_chunks")
 def table_chunks(spark, sf_dir):
     """All four strategies."""
-    t, out = item_tables(spark, sf_dir), None
-    for name in ("baseline", "row_preserving", "row_blocks", "two_stage"):
-        part = tables.table_chunks(t, name, 60).withColumn("strategy", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return tables.table_chunk_sets(item_tables(spark, sf_dir), ("baseline", "row_preserving", "row_blocks", "two_stage"), 60)
 
 
 @register("distinct_tables", """WITH t AS (SELECT l_orderkey, count(*) AS n, min(CASE WHEN l_linenumber = 1 THEN l_extendedprice END) AS a FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS n FROM t""")

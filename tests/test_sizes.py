@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import best_chunks, chunking, sections, tables
 from lodestone.operators import retrieval as rt
 from lodestone.plans import registry
+from lodestone.plans.document_queries import item_tables
 from lodestone.sources import io
 from lodestone.streaming import events
 
@@ -131,3 +132,57 @@ def test_search_shuffles_no_texts(spark, sf):
     physical = lambda name: registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in physical("ingest")
     assert "Exchange hashpartitioning" not in physical("search")
+
+
+def block_words(text):
+    return len(text.split())
+
+
+def test_row_blocks_of_many_shapes(spark):
+    """Groups against plain Python: the words of each candidate group's text are counted anew."""
+    rng = random.Random(8)
+    pick = lambda: rng.choice(["", "-", "7", "1 2 3", "some words here", "x" * 9, "Income line", "general", "n/a"])
+    made = [(f"t{i}", i, ["Line", "", "2025"], [[pick() for _ in range(rng.randrange(4))] for _ in range(rng.randrange(30))], "cap tion", rng.choice([None, "kind of"]), ["Line", "col_2", "2025"]) for i in range(40)]
+    t = spark.createDataFrame(made, "table_id string, page_number int, headers array<string>, cells array<array<string>>, caption string, kind string, names array<string>")
+    records = {}
+    for r in tables.row_records(t).collect():
+        records.setdefault(r["table_id"], []).append(r)
+
+    def text(rows, page, kind):
+        own = list(dict.fromkeys(r["category"] for r in rows if r["category"].lower() not in ("", "general")))
+        facts = [f for r in rows for f in r["fact_lines"]][:24]
+        mark = lambda r: f"{r['category']} :: " if len(own) > 1 and r["category"].lower() != "general" else ""
+        told = "Line | col_2 | 2025"
+        named = [f"Categories in block: {' | '.join(own[:4])}"] if len(own) > 1 else [f"Active category: {own[0]}"] if own else []
+        return "\n".join(["Table: cap tion", f"Page: {page}", *([f"Type: {kind}"] if kind else []), *named, f"Columns: {told}", "Rows:", told, *(mark(r) + r["line"] for r in rows), *(["Facts:"] if facts else []), *facts])
+
+    for target, hard, most in ((320, 450, 10), (60, 80, 4), (90, 50, 3), (40, 400, 100)):
+        want = {}
+        for name, page, _, _, _, kind, _ in made:
+            groups = []
+            for r in sorted(records.get(name, []), key=lambda r: r["row_no"]):
+                if groups and len(groups[-1]) < most and block_words(text([*groups[-1], r], page, kind)) <= target:
+                    groups[-1].append(r)
+                else:
+                    groups.append([r])
+            split = [x for g in groups for x in ([[r] for r in g] if len(g) > 1 and block_words(text(g, page, kind)) > hard else [g])]
+            for i, g in enumerate(split):
+                whole = text(g, page, kind)
+                want[name, i] = (g[0]["row_no"], g[-1]["row_no"], " ".join(whole.split()[:hard]) if block_words(whole) > hard else whole.strip(" "))
+        got = {(r["table_id"], r["block_no"]): (r["first_row"], r["last_row"], r["text"]) for r in tables.row_blocks(t, target, hard, most).collect()}
+        assert got == want
+
+
+def test_tables_are_read_once_for_all_chunks(spark, sf):
+    df = registry.QUERIES["table_chunks"](spark, sf)
+    assert plan(df).count("Relation [") == 1 and "Join" not in plan(df)
+    one_by_one = sorted(tuple(r) for s in ("baseline", "row_blocks", "two_stage") for r in tables.table_chunks(item_tables(spark, sf), s, 60).collect())
+    assert one_by_one == sorted(tuple(r)[:5] for r in df.where("strategy != 'row_preserving'").collect())
+
+
+def test_chunks_of_tables_without_cells(spark):
+    t = spark.createDataFrame([("a", 1, ["h"], []), ("b", 1, ["h"], None)], "table_id string, page_number int, headers array<string>, cells array<array<string>>")
+    kinds = lambda s: sorted((r["table_id"], r["table_chunk_kind"]) for r in tables.table_chunks(t, s).collect())
+    assert kinds("row_blocks") == kinds("row_preserving") == []
+    assert kinds("baseline") == [("a", "full_table"), ("b", "full_table")]
+    assert kinds("two_stage") == [("a", "header"), ("b", "header")]
